@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weft.llm import line_dedup as lines
+from weft.llm import mixing
+from weft.llm.decontamination import find_contamination
 from weft.llm.jaccard_join import jaccard_join
 from weft.llm.substring_dedup import substring_dedup
 
@@ -12,13 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    done = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark, sf_dir):
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op6_ngram_jaccard_join)}
-ORACLES: dict[str, str] = {}
+def op10_mix_sources(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_substring_dedup, op5_benchmark_decontamination, op6_ngram_jaccard_join, op10_mix_sources)}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.SQL, "op10_mix_sources": mixing.SQL}
