@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import line_dedup as lines
-from weft.llm import mixing
+from weft.llm import max_score, mixing
 from weft.llm.decontamination import find_contamination
 from weft.llm.jaccard_join import jaccard_join
 from weft.llm.substring_dedup import substring_dedup
+from weft.llm.token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op1_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_max_score_topk(spark, sf_dir):
+    rows = max_score.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return max_score.max_score_top_k(rows.where("id % 100 = 0"), rows, 10)
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,9 +39,15 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_substring_dedup, op5_benchmark_decontamination, op6_ngram_jaccard_join, op10_mix_sources)}
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.SQL, "op10_mix_sources": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_max_score_topk, op3_substring_dedup, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_token_counts, op10_mix_sources)}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.SQL, "op2_max_score_topk": max_score.SQL, "op10_mix_sources": mixing.SQL}
