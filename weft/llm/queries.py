@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from weft.llm import line_dedup as lines
 from weft.llm import max_score, mixing
 from weft.llm.decontamination import find_contamination
+from weft.llm.html_text import extract_text
 from weft.llm.jaccard_join import jaccard_join
+from weft.llm.secrets import scan_secrets
 from weft.llm.substring_dedup import substring_dedup
 from weft.llm.token_counts import token_counts
 
@@ -45,9 +47,17 @@ def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_max_score_topk, op3_substring_dedup, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_token_counts, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_max_score_topk, op3_substring_dedup, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_token_counts, op8_html_text, op9_secret_scan, op10_mix_sources)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.SQL, "op2_max_score_topk": max_score.SQL, "op10_mix_sources": mixing.SQL}
