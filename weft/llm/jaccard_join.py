@@ -36,7 +36,7 @@ BLOCKS = pa.schema([("pairwise", pa.int32()), ("a", pa.binary()), ("b", pa.binar
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SETS = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("body", pa.binary())])
 CODE = np.uint64((1 << 40) - 1)
-SEEDS, BLOCK = 3, 512
+SEEDS, BLOCK, CELL_PAIRS = 3, 512, 500_000.0
 
 
 def ngram_sets(c: Chunk, n: int) -> list[np.ndarray]:
@@ -230,12 +230,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def verified(packed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that are similar enough. Pairs are grouped at the smallest candidate partner of their
-    lower class, in a grid where there are many, so that a set moves about once for each group it is in."""
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    root = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("root"))
-    rooted = pairs.join(root, "a")
-    grid = rooted.groupBy("root").agg(F.expr("cast(ceil(sqrt(count(*) / 20000)) as int)").alias("grid"))
+    """The pairs that are similar enough. Pairs are verified by connected component of the candidates, in a grid of
+    tasks where a component has many, so that nearly every set moves once."""
+    groups = star_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), cut)
+    rooted = pairs.join(groups.select(F.col("id").alias("a"), F.col("component").alias("root")), "a")
+    rooted = cut(rooted, "jaccard-rooted")
+    grid = rooted.groupBy("root").agg(F.expr(f"cast(ceil(sqrt(count(*) / {CELL_PAIRS})) as int)").alias("grid"))
     keyed = rooted.join(grid, "root").select("a", "b", F.expr("xxhash64(root, pmod(xxhash64(a), grid), pmod(xxhash64(b), grid))").alias("key"))
     keyed = cut(keyed, "jaccard-keyed")
     needs = keyed.select("key", F.col("a").alias("cid")).unionAll(keyed.select("key", F.col("b").alias("cid"))).distinct()
