@@ -1,8 +1,76 @@
-"""Stages over `documents`; filled as their operators are built."""
+"""A corpus pipeline: each stage takes what its predecessor kept, written as Parquet and read again.
 
-STAGES: list = []
+Every stage but the last returns the columns of `documents`; n_chars follows the text. The last returns the mix:
+how many words of each remaining document are taken.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.llm.common import NO_ID, shared_dir
+from weft.llm.decontamination import find_contamination
+from weft.llm.jaccard_join import jaccard_join
+from weft.llm.line_dedup import line_dedup
+from weft.llm.mixing import mix_sources
+from weft.llm.toxicity import toxicity
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network rates toxic go."""
+    return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and documents of which nothing is left by that."""
+    done = line_dedup(docs).where("n_removed = 0 or kept_text <> ''")
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return done.withColumns(changed).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of the smallest id stays; repeated rows of it become one row.
+    Documents without words are in no group and stay."""
+    links = jaccard_join(docs).select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("_id"), F.coalesce("component_id", F.lit(int(NO_ID))).alias("_c"), F.col("n_shingles").alias("_n"))
+    gone = links.where("_n > 0 and _id <> _c").select("_id").distinct()
+    copies = links.where("_n > 0 and _id = _c").groupBy("_id").agg(F.count("*").alias("_k")).where("_k > 1").select("_id")
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
+    kept = keyed.join(gone.hint("shuffle_hash"), "_id", "left_anti")
+    # rows of one id: equal ones are copies, others are documents of their own
+    single = kept.join(copies.hint("shuffle_hash"), "_id", "left_anti")
+    several = kept.join(copies.hint("shuffle_hash"), "_id", "left_semi").dropDuplicates(["_id", "text"])
+    return single.unionByName(several).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark")).select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("_id"), "_row").distinct()
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))), "_row": F.coalesce(F.xxhash64(text, F.length(text)), F.lit(0))})
+    return keyed.join(found.hint("shuffle_hash"), ["_id", "_row"], "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words to take of each document, so that the sources meet their target weights."""
+    return mix_sources(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_benchmark), ("mixing sources", mix)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    home = f"{shared_dir(spark)}/weft-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(f"{home}/{k}")
+        docs = spark.read.parquet(f"{home}/{k}")
+    return docs

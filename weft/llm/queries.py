@@ -13,6 +13,7 @@ from weft.llm.jaccard_join import jaccard_join
 from weft.llm.secrets import scan_secrets
 from weft.llm.substring_dedup import substring_dedup
 from weft.llm.token_counts import token_counts
+from weft.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op5_benchmark_decontamination(spark, sf_dir):
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
 
@@ -59,5 +64,5 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_max_score_topk, op3_substring_dedup, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_token_counts, op8_html_text, op9_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_max_score_topk, op3_substring_dedup, op4_toxicity, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_token_counts, op8_html_text, op9_secret_scan, op10_mix_sources)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.SQL, "op2_max_score_topk": max_score.SQL, "op10_mix_sources": mixing.SQL}
