@@ -46,3 +46,93 @@ def star_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame]
         before = now
     roots = e.select(F.col("u").alias("id")).distinct()
     return e.select(F.col("v").alias("id"), F.col("u").alias("component")).unionAll(roots.select("id", F.col("id").alias("component")))
+
+
+def contraction_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], seed: int = 42, max_rounds: int = 256) -> DataFrame:
+    """(id, component) by randomised contraction: each round a vertex joins the member of its closed neighbourhood
+    with the smallest hash, edges are contracted, and the representatives are composed at the end. component is the smallest id."""
+    e = cut(canonical(edges), "rc-0")
+    steps = []
+    for k in range(max_rounds):
+        if e.isEmpty():
+            break
+        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        closed = both.unionAll(both.select("x", F.col("x").alias("y")))
+        order = F.struct(F.xxhash64("y", F.lit(seed + k)).alias("h"), F.col("y").alias("y"))
+        rep = cut(closed.groupBy("x").agg(F.min(order).alias("m")).select("x", F.col("m.y").alias("r")), f"rc-rep-{k}")
+        steps.append(rep)
+        a = e.join(rep.select(F.col("x").alias("u"), F.col("r").alias("ru")), "u").join(rep.select(F.col("x").alias("v"), F.col("r").alias("rv")), "v")
+        e = cut(a.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), f"rc-{k + 1}")
+    if not steps:
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    label = steps[0].select(F.col("x").alias("id"), F.col("r").alias("c"))
+    for rep in steps[1:]:
+        label = label.join(rep.select(F.col("x").alias("c"), "r"), "c", "left").select("id", F.coalesce("r", "c").alias("c"))
+    label = cut(label, "rc-labels")
+    least = label.groupBy("c").agg(F.min("id").alias("component"))
+    return label.join(least, "c").select("id", "component")
+
+
+def propagated_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], max_iter: int | None = None) -> DataFrame:
+    """(id, component) by passing on the smallest id; as many rounds as the longest shortest path, unless max_iter ends it."""
+    e = cut(canonical(edges), "mp-0")
+    both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    state = cut(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("component")), "mp-1")
+    changed, k = state, 1
+    while not changed.isEmpty() and (max_iter is None or k < max_iter):
+        news = both.join(changed.select(F.col("id").alias("x"), "component"), "x").groupBy(F.col("y").alias("id")).agg(F.min("component").alias("m"))
+        state = cut(state.select("id", "component").join(news, "id", "left").select("id", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")), f"mp-{k + 1}")
+        changed = state.where("moved").select("id", "component")
+        k += 1
+    return state.select("id", "component")
+
+
+def strong_components(vertices: DataFrame, edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], max_iter: int) -> DataFrame:
+    """(id, component): component is the smallest id of the strongly connected component. Rounds of trimming vertices with no edge in or none out,
+    colouring forwards by the smallest id, and confirming backwards from each colour's root; after max_iter rounds what is left is its own component."""
+    live = cut(vertices.select("id").distinct(), "scc-v")
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    ends = live.select("id")
+    e = cut(e.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "scc-e")
+    done = []
+    for k in range(max_iter):
+        n = None
+        while True:  # trim
+            kept = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), f"scc-t{k}")
+            now, before = kept.count(), e.count() if n is None else n
+            e = kept
+            if now == before:
+                break
+            n = now
+        inner = e.select(F.col("src").alias("id")).unionAll(e.select(F.col("dst").alias("id"))).distinct()
+        done.append(live.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
+        live = cut(inner, f"scc-live{k}")
+        if live.isEmpty():
+            break
+        color = live.select("id", F.col("id").alias("color"))
+        moved = color
+        while True:
+            news = e.join(moved.select(F.col("id").alias("src"), "color"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("m"))
+            color = cut(color.select("id", "color").join(news, "id", "left").select("id", F.least("color", "m").alias("color"), F.coalesce(F.col("m") < F.col("color"), F.lit(False)).alias("moved")), f"scc-c{k}")
+            moved = color.where("moved").select("id", "color")
+            if moved.isEmpty():
+                break
+        color = color.select("id", "color")
+        tinted = cut(e.join(color.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst", F.col("a").alias("color")), f"scc-in{k}")
+        sure = cut(color.where("id = color"), f"scc-r{k}")
+        front = sure
+        while not front.isEmpty():
+            back = tinted.join(front.select(F.col("id").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct()
+            front = cut(back.join(sure, ["id", "color"], "left_anti"), f"scc-b{k}")
+            sure = sure.unionAll(front)
+        sure = cut(sure, f"scc-s{k}")
+        done.append(sure.select("id", F.col("color").alias("component")))
+        live = cut(live.join(sure, "id", "left_anti"), f"scc-v{k}")
+        e = cut(e.join(sure.select(F.col("id").alias("src")), "src", "left_anti").join(sure.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), f"scc-e{k}")
+        if live.isEmpty():
+            break
+    done.append(live.select("id", F.col("id").alias("component")))
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionAll(part)
+    return every.groupBy("id").agg(F.min("component").alias("component"))
