@@ -21,7 +21,7 @@ from weft.llm.common import CHUNK_BYTES, LOWER, FAMILIES, batch_of, flat, hash_w
 WINDOW, STRIDE, HIDDEN, DIMS, BUCKETS, GRAMS = 32, 16, 8, 4, 1 << 17, 10
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-MOST_BYTES = 32_000
+MOST_BYTES = 16_000
 
 
 def word_bounds(data: np.ndarray, offs: np.ndarray):
@@ -224,16 +224,21 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, seed: int = 7)
     pos = labels > 0
     # class log-odds of words and n-grams by document frequency, shrunk where rare
     owner = np.repeat(np.arange(len(texts)), t.count)
-    pairs = np.unique(np.stack([owner, t.number], 1), axis=0) if len(owner) else np.zeros((0, 2), int)
-    for row, ids in ((0, [t.word]), (1, [t.grams[:, c] for c in range(GRAMS)])):
-        seen = np.unique(np.concatenate([pairs[:, 0] * BUCKETS + x[pairs[:, 1]] for x in ids for _ in [0]] if row == 0 else [(pairs[:, 0] * BUCKETS + x[pairs[:, 1]])[x[pairs[:, 1]] >= 0] for x in ids]))
-        doc, bucket = seen // BUCKETS, seen % BUCKETS
-        a, b = (np.bincount(bucket[m], minlength=BUCKETS) for m in (pos[doc], ~pos[doc]))
+    pairs = np.unique(owner * max(1, len(t.word)) + t.number) if len(owner) else np.zeros(0, np.int64)
+    doc, number = pairs // max(1, len(t.word)), pairs % max(1, len(t.word))
+    for row, columns in ((0, [t.word]), (1, [t.grams[:, c] for c in range(GRAMS)])):
+        a, b = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for column in columns:  # one at a time, to bound memory
+            bucket = column[number]
+            seen = np.unique((doc * BUCKETS + bucket)[bucket >= 0])
+            toxic = pos[seen // BUCKETS]
+            a += np.bincount(seen[toxic] % BUCKETS, minlength=BUCKETS)
+            b += np.bincount(seen[~toxic] % BUCKETS, minlength=BUCKETS)
         odds = np.log((a + 0.5) / (pos.sum() + 1)) - np.log((b + 0.5) / ((~pos).sum() + 1))
-        model.odds[row] = np.clip(odds * (a + b) / (a + b + 4), -3, 4)
+        model.odds[row] = np.clip(odds * (a + b) / (a + b + 4 + 0.008 * len(texts)), -3, 4)
     # first rating: the windows' highest log-odds
     numbers = np.concatenate([[0], np.maximum(model.odds[0][t.word], np.where(t.grams >= 0, model.odds[1][np.maximum(t.grams, 0)], -9).max(1))])
-    rating = numbers[t.window(np.arange(len(t.doc)))].max(1)
+    rating = np.concatenate([numbers[t.window(np.arange(lo, min(len(t.doc), lo + 8192)))].max(1) for lo in range(0, len(t.doc), 8192)])
     state: dict = {}
     negatives = np.flatnonzero(~pos[t.doc])
     for k in range(rounds):
@@ -254,7 +259,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, seed: int = 7)
     top = np.flatnonzero(right == right.max())
     cut_at = top[len(top) // 2]
     lo, hi = s[max(cut_at - 1, 0)], s[min(cut_at, len(s) - 1)]
-    model.bo[0] -= (lo + hi) / 2
+    model.bo[0] -= lo + 0.8 * (hi - lo)  # nearer to the toxic ones: texts have many windows, and most are clean
     return model
 
 
@@ -262,16 +267,16 @@ RESULT = pa.schema([("score", pa.float64())])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """At most max_rows labelled texts of each class, of at most 32,000 bytes each, from rows that aren't held out."""
+    """At most max_rows toxic and 2 * max_rows other labelled texts, of at most 16,000 bytes each, from rows that aren't held out."""
     rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     rows = rows.where(F.crc32(F.col("i").cast("string")) % 5 != 0)
     # 3 times as many ids of each class as are wanted, as some have no text that fits: a bounded number
-    wanted = [rows.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(3 * max_rows) for y in (0, 1)]
+    wanted = [rows.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(3 * max_rows * (2 - y)) for y in (0, 1)]
     text = docs.select(F.col(f"`{id_col}`").alias("j"), F.col(f"`{text_col}`").cast("string").alias("t")).where(f"octet_length(t) <= {MOST_BYTES}")
     both = wanted[0].unionAll(wanted[1])
     own = text.join(F.broadcast(both), F.col("i") == F.col("j")).groupBy("i").agg(F.first("y").alias("y"), F.min("t").alias("t"))
-    picked = [own.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(max_rows) for y in (0, 1)]
-    got = picked[0].unionAll(picked[1]).toPandas().sort_values("i")
+    picked = [own.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(max_rows * (2 - y)) for y in (0, 1)]
+    got = picked[0].unionAll(picked[1]).toPandas().sort_values("i").drop_duplicates("t")  # copies would look like evidence
     return got["t"].tolist(), got["y"].to_numpy()
 
 
@@ -300,11 +305,11 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
     return plain.toDF(*schema_names, "t").mapInArrow(run, schema + ", score double, predicted int").toDF(*names, "score", "predicted")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2000, keep: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 1500, keep: list[str] | None = None) -> DataFrame:
     """The input rows (of them the columns `keep`; None: all) with held_out, score and predicted.
 
-    held_out: crc32 of the id as text is divisible by 5; no label of such a row is learnt. max_rows bounds the labelled rows of
-    each class that are learnt from. Nulls: a null text is scored like an empty one; a null id isn't held out; null or other labels than
+    held_out: crc32 of the id as text is divisible by 5; no label of such a row is learnt. max_rows bounds the toxic rows that
+    are learnt from; of the others there are at most twice as many. Nulls: a null text is scored like an empty one; a null id isn't held out; null or other labels than
     0 and 1 are ignored, and of contradictory ones 1 counts. Without labels of both classes all rows get one score. Repeated
     rows get equal scores. Other columns are kept; an empty table gives an empty result.
     """
