@@ -6,13 +6,19 @@ There, their symmetric difference has at most k elements. The feature domain is
 split by a hash into n > k partitions: at most k of them can differ, so at
 least n - k are equal in both sets. A set's signatures are its non-empty
 partitions (first-level PartEnum with subsets of one partition); n is chosen so
-that nearly every set has more than k non-empty ones, which makes at least one
-common signature sure. The few sets with no more than k ("sparse") also emit
+that nearly every set has more than k non-empty ones, which makes a common
+signature sure. Of those, only the k + 1 with the most elements (ties by hash) are
+emitted: two similar sets with e and f empty partitions have at least
+n - k - min(e, f) non-empty ones in common, each leaves out fewer than that of its last ones in an order that
+is the same for all sets, and so the first common one is emitted by both. The
+few sets with no more than k non-empty partitions ("sparse") also emit
 signatures under further hash seeds, and what is sparse under all of them one
 common signature, so no pair is lost.
 
 Equal sets are collapsed to one class before any signature is made. Candidates
-are verified against the whole sets. Within a group of classes with a common
+are first compared by short vectors, one byte for each of about s / 2 partitions of
+the domain: every partition that differs holds an element of the symmetric difference, so
+a pair with too many of them is surely not similar. The rest are verified against the whole sets. Within a group of classes with a common
 signature every pair of different sets has to be verified, as each may be a
 link; large groups are emitted as blocks of ids and expanded in other tasks.
 """
@@ -30,7 +36,7 @@ from weft.llm.common import (NO_ID, Chunk, batch_of, batch_rows, cut, dec, dec_b
 from weft.llm.substring_dedup import ddl, slices
 from weft.operators.components import star_components
 
-MEMBERS = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("cid", pa.int64())])
+MEMBERS = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("cid", pa.int64()), ("vector", pa.binary())])
 SIGNATURES = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("at", pa.binary()), ("high", pa.binary())])
 BLOCKS = pa.schema([("pairwise", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -113,13 +119,32 @@ def signatures(sets: list[np.ndarray], at: np.ndarray, percent: int):
             used = np.flatnonzero(counts)
             doc = np.searchsorted(first, used, "right") - 1
             tag = (inst[doc].astype(np.uint64) << np.uint64(40)) | (np.uint64(seed) << np.uint64(36)) | (used - first[doc]).astype(np.uint64)
-            keys.append(mix(sums[used] + mix(tag)))
-            who.append(doc)
-            high.append(np.full(len(doc), bool(up)))
+            key = mix(sums[used] + mix(tag))
+            order = np.lexsort((key, -counts[used], doc))
+            rank = np.arange(len(order)) - np.searchsorted(doc, doc)  # doc is ascending, before and after
+            emitted = order[rank <= k[doc]]
+            keys.append(key[emitted])
+            who.append(doc[emitted])
+            high.append(np.full(len(emitted), bool(up)))
             open_ = open_ & (np.bincount(doc, minlength=len(at)) <= k)
     return np.concatenate(keys), np.concatenate(who), np.concatenate(high)
 
 
+def vector(s: np.ndarray) -> np.ndarray:
+    """One byte for each of 2 ** i partitions, at least len(s) / 3 of them: the sum of hashes of its elements."""
+    size = 1 << max(0, int(math.log2(max(1.0, 0.75 * len(s)))))
+    h = mix(s ^ np.uint64(0x5851F42D4C957F2D))
+    out = np.bincount((h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(56)).astype(np.float64), size)
+    return out.astype(np.int64).astype(np.uint8)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Partitions that surely differ; vectors of different sizes are folded to the smaller."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a.reshape(-1, len(b)).sum(0, dtype=np.uint8) != b).sum())
+
+
 def candidates(table: pa.Table) -> pa.Table:
     """Pairs of classes with a common signature in one part; big groups as blocks."""
     rows = [r for b in table.to_batches() for r in batch_rows(b)]
@@ -190,7 +215,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i, (doc, s) in enumerate(zip(c.ids.tolist(), ngram_sets(c, n))):
                     with np.errstate(over="ignore"):
                         a, z = (np.sum(mix(s + np.uint64(k))) for k in (1, 2)) if len(s) else (0, 0)
-                    out.append((int(np.uint64(a).astype(np.int64)), int(np.uint64(z).astype(np.int64)), len(s), None if doc == NO_ID else doc, (row["chunk"] << 16) | i))
+                    out.append((int(np.uint64(a).astype(np.int64)), int(np.uint64(z).astype(np.int64)), len(s), None if doc == NO_ID else doc, (row["chunk"] << 16) | i, vector(s).tobytes()))
                 yield batch_of(MEMBERS, out)
 
     member = cut(packed.mapInArrow(members, ddl(MEMBERS)), "jaccard-members")
@@ -216,7 +241,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sigs = packed.join(chosen.hint("shuffle_hash"), "chunk").mapInArrow(emit, ddl(SIGNATURES))
     blocks = sigs.groupBy("part").applyInArrow(candidates, ddl(BLOCKS)).repartition(parts)
     pairs = cut(blocks.mapInArrow(expand, ddl(PAIRS)).distinct(), "jaccard-pairs")
-    links = cut(verified(packed, pairs, n, percent), "jaccard-links")
+    likely = cut(compared(member, pairs, percent), "jaccard-likely")
+    links = cut(verified(packed, likely, n, percent), "jaccard-links")
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("cid").alias("b"), "copies")
     degree = both.join(copies, "b").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("near"))
@@ -229,17 +255,40 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def verified(packed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that are similar enough. Pairs are verified by connected component of the candidates, in a grid of
-    tasks where a component has many, so that nearly every set moves once."""
-    groups = star_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), cut)
-    rooted = pairs.join(groups.select(F.col("id").alias("a"), F.col("component").alias("root")), "a")
-    rooted = cut(rooted, "jaccard-rooted")
+def keyed_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with the key of the task that handles them, and (task, cid) of what each task needs to know. Pairs are grouped at
+    the smallest partner of their lower class, in a grid of tasks where there are many."""
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    root = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("root"))
+    rooted = pairs.join(root, "a")
     grid = rooted.groupBy("root").agg(F.expr(f"cast(ceil(sqrt(count(*) / {CELL_PAIRS})) as int)").alias("grid"))
     keyed = rooted.join(grid, "root").select("a", "b", F.expr("xxhash64(root, pmod(xxhash64(a), grid), pmod(xxhash64(b), grid))").alias("key"))
     keyed = cut(keyed, "jaccard-keyed")
-    needs = keyed.select("key", F.col("a").alias("cid")).unionAll(keyed.select("key", F.col("b").alias("cid"))).distinct()
-    needs = needs.groupBy(F.expr("cid >> 16").alias("chunk")).agg(F.collect_list(F.struct(F.expr("cid & 65535").alias("i"), "key")).alias("needs"))
+    return keyed, keyed.select(F.col("key").alias("task"), F.col("a").alias("cid")).unionAll(keyed.select("key", F.col("b").alias("cid"))).distinct()
+
+
+def compared(member: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and vectors leave it possible that they are similar."""
+    keyed, needs = keyed_pairs(pairs)
+    bodies = needs.join(member.select("cid", "n", "vector"), "cid")
+
+    def check(pair: pa.Table, body: pa.Table) -> pa.Table:
+        size = dict(zip(body["cid"].to_pylist(), body["n"].to_pylist()))
+        known = {i: np.frombuffer(x, np.uint8) for i, x in zip(body["cid"].to_pylist(), body["vector"].to_pylist())}
+        out = []
+        for a, b in zip(pair["a"].to_pylist(), pair["b"].to_pylist()):
+            x, y = size[a], size[b]
+            if 100 * min(x, y) >= percent * max(x, y) and differing(known[a], known[b]) <= (x + y) * (100 - percent) // (100 + percent):
+                out.append((a, b))
+        return table_of(PAIRS, out)
+
+    return keyed.groupBy("key").cogroup(bodies.groupBy("task")).applyInArrow(check, ddl(PAIRS))
+
+
+def verified(packed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs that are similar enough, by their whole sets."""
+    keyed, needs = keyed_pairs(pairs)
+    needs = needs.groupBy(F.expr("cid >> 16").alias("chunk")).agg(F.collect_list(F.struct(F.expr("cid & 65535").alias("i"), F.col("task").alias("key"))).alias("needs"))
 
     def bodies(batches):
         for b in batches:
