@@ -1,4 +1,487 @@
-"""Queries over the driver's tables and the SQL that checks them."""
+"""Queries over the driver's tables and, where SQL can say the same, the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from weft.examples.belief_propagation import run_bp
+from weft.graph import Graph
+from weft.operators import ranking, walks
+from weft.operators.messages import AggregateMessages as AM
+from weft.operators.pregel import Pregel
+from weft.operators.walks import RandomWalkEmbeddings
+from weft.sources import generators, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+SESSION = """
+ev as (select user_id, event_type, event_id, lead(user_id) over (partition by event_type, date_trunc('hour', ts) order by ts, event_id) as nxt from events),
+e as (select user_id as src, nxt as dst, event_type, event_id from ev where nxt is not null),
+v as (select user_id as id, count(*) as n_events from events group by user_id),
+p as (select distinct least(src, dst) as u, greatest(src, dst) as v from e where src <> dst),
+nb as (select u as x, v as y from p union all select v, u from p)
+"""
+GEO = """
+v as (select 'r' || r_regionkey as id, 'region' as kind from region union all select 'n' || n_nationkey, 'nation' from nation union all select 'c' || c_custkey, 'customer' from customer union all select 's' || s_suppkey, 'supplier' from supplier),
+e as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst, 'in' as rel from nation union all select 'c' || c_custkey, 'n' || c_nationkey, 'lives' from customer union all select 's' || s_suppkey, 'n' || s_nationkey, 'sells' from supplier)
+"""
+TRADE = """
+pairs as (select s_nationkey::bigint as src, c_nationkey::bigint as dst, sum(l_quantity::bigint)::bigint as quantity from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey group by 1, 2),
+e as (select src, dst, quantity from pairs where quantity * (select count(*) from pairs) > (select sum(quantity) from pairs)),
+v as (select n_nationkey::bigint as id, n_name as name from nation)
+"""
+TYPES = ["click", "view", "purchase", "signup", "logout"]
+
+
+def query(graph, sql: str | None = None, recursive: bool = False):
+    """Registers f(graph) over one of the table graphs, and its SQL after that graph's CTEs."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(graph(spark, sf_dir))
+        if sql is not None:
+            base = {tables.session_graph: SESSION, tables.geo_graph: GEO, tables.trade_graph: TRADE}[graph]
+            ORACLES[f.__name__] = f"with {'recursive ' if recursive else ''}{base.strip()}{sql}"
+        return f
+
+    return add
+
+
+session, geo, trade = tables.session_graph, tables.geo_graph, tables.trade_graph
+
+# ---------------------------------------------------------------- structure
+
+
+@query(session, " select src as id, count(*)::int as out_degree from e group by 1")
+def out_degrees(g):
+    return g.out_degrees.withColumnRenamed("outDegree", "out_degree")
+
+
+@query(session, " select dst as id, count(*)::int as in_degree from e group by 1")
+def in_degrees(g):
+    return g.in_degrees.withColumnRenamed("inDegree", "in_degree")
+
+
+@query(session, " select id, count(*)::int as degree from (select src as id from e union all select dst from e) group by 1")
+def degrees(g):
+    return g.degrees
+
+
+def typed(df, name):
+    return df.select("id", *[F.coalesce(F.col(name)[t], F.lit(0)).alias(t) for t in df.schema[name].dataType.names])
+
+
+def typed_sql(ends: str) -> str:
+    return f" select id, count(*) filter (event_type = 'click')::int as click, count(*) filter (event_type = 'purchase')::int as purchase from ({ends}) group by 1"
+
+
+@query(session, typed_sql("select src as id, event_type from e"))
+def type_out_degree(g):
+    return typed(g.type_out_degree("event_type", ["click", "purchase"]), "outDegrees")
+
+
+@query(session, typed_sql("select dst as id, event_type from e"))
+def type_in_degree(g):
+    return typed(g.type_in_degree("event_type", ["click", "purchase"]), "inDegrees")
+
+
+@query(session, typed_sql("select src as id, event_type from e union all select dst, event_type from e"))
+def type_degree(g):
+    return typed(g.type_degree("event_type", ["click", "purchase"]), "degrees")
+
+
+@query(session, " select e.src, e.dst, e.event_type, e.event_id, a.n_events as src_events, b.n_events as dst_events from e join v a on a.id = e.src join v b on b.id = e.dst")
+def triplets(g):
+    return g.triplets.select("edge.src", "edge.dst", "edge.event_type", "edge.event_id", F.col("src.n_events").alias("src_events"), F.col("dst.n_events").alias("dst_events"))
+
+
+@query(session, " select e.src, e.dst, e.event_id from e join v a on a.id = e.src and a.n_events > 66 join v b on b.id = e.dst and b.n_events > 66")
+def filter_vertices(g):
+    return g.filter_vertices("n_events > 66").edges.select("src", "dst", "event_id")
+
+
+@query(session, " select src, dst, event_id from e where event_type = 'purchase' and src <> dst")
+def filter_edges(g):
+    return g.filter_edges(F.col("event_type") == "purchase").remove_self_edges().edges.select("src", "dst", "event_id")
+
+
+@query(geo, " select id, kind from v where id in (select dst from e where rel = 'sells' union all select src from e where rel = 'sells')")
+def drop_isolated_vertices(g):
+    return g.filter_edges("rel = 'sells'").drop_isolated_vertices().vertices
+
+
+@query(session, " select src, dst, event_id from e union all select dst, src, event_id from e")
+def as_undirected(g):
+    return g.as_undirected().edges.select("src", "dst", "event_id")
+
+
+@query(session, " select dst as src, src as dst, event_id from e")
+def as_reversed(g):
+    return g.as_reversed().edges.select("src", "dst", "event_id")
+
+
+@query(session, " select src, dst, count(*) as n, max(event_id) as last from e group by 1, 2")
+def group_edges(g):
+    return g.group_edges(F.count("*").alias("n"), F.max("event_id").alias("last")).edges
+
+
+@query(session, " select least(src, dst) as src, greatest(src, dst) as dst, count(*) as n from e group by 1, 2")
+def canonical_edges(g):
+    return g.canonical_edges(F.count("*").alias("n")).edges
+
+
+@query(session, " select id, len(l)::int as n, l[1] as first, l[-1] as last from (select id, list_sort(list(distinct y)) as l from (select src as id, dst as y from e union all select dst, src from e) group by id)")
+def collect_neighbor_ids(g):
+    return g.collect_neighbor_ids().select("id", F.size("neighbors").alias("n"), F.col("neighbors")[0].alias("first"), F.element_at("neighbors", -1).alias("last"))
+
+
+@query(session, " select e.src, e.dst, e.event_id from e where (src, dst) in (select dst, src from e)")
+def mask_mutual(g):
+    return g.mask(g.as_reversed()).edges.select("src", "dst", "event_id")
+
+
+@query(session, " select count(*) as n, count(distinct id) as ids, (select count(*) from (select src as id from e union all select dst from e) x where id not in (select id from v)) as lost from v")
+def validate(g):
+    g.validate()
+    lost = g.edges.select(F.explode(F.array("src", "dst")).alias("id")).join(g.vertices, "id", "left_anti")
+    return g.vertices.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).crossJoin(lost.agg(F.count("*").alias("lost")))  # one row each
+
+
+# ---------------------------------------------------------------- motifs
+
+
+@query(session, " select a.src as a, a.dst as b, a.event_id as e1, b.event_id as e2 from e a join e b on a.dst = b.src and b.dst = a.src where a.event_type = 'purchase'")
+def motif_mutual(g):
+    return g.find("(a)-[e]->(b); (b)-[e2]->(a)").where("e.event_type = 'purchase'").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("e.event_id").alias("e1"), F.col("e2.event_id").alias("e2"))
+
+
+@query(session, " select x.src as a, y.dst as c, count(*) as n from e x join e y on x.dst = y.src group by 1, 2")
+def motif_two_hops(g):
+    return g.find("(a)-[]->(b); (b)-[]->(c)").groupBy(F.col("a.id").alias("a"), F.col("c.id").alias("c")).agg(F.count("*").alias("n"))
+
+
+@query(trade, " select x.src as a, y.src as b, z.src as c from e x join e y on x.dst = y.src join e z on y.dst = z.src and z.dst = x.src")
+def motif_directed_triangle(g):
+    return g.find("(a)-[]->(b); (b)-[]->(c); (c)-[]->(a)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"))
+
+
+@query(session, " select distinct a.src as a, a.dst as b from e a where not exists (select 1 from e b where b.src = a.dst and b.dst = a.src)")
+def motif_negation(g):
+    return g.find("(a)-[]->(b); !(b)-[]->(a)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+@query(trade, " select a.id as a, b.id as b from v a, v b where not exists (select 1 from e where (src = a.id and dst = b.id) or (src = b.id and dst = a.id))")
+def motif_negated_undirected(g):
+    return g.find("!(a)-[]-(b)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+@query(session, " select src as a, event_id from e where src = dst")
+def motif_self_loop(g):
+    return g.find("(a)-[e]->(a)").select(F.col("a.id").alias("a"), F.col("e.event_id").alias("event_id"))
+
+
+@query(trade, " select e.src as a, e.dst as b, v.id as c from e, v")
+def motif_lone_vertex(g):
+    return g.find("(a)-[]->(b); (c)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"))
+
+
+@query(session, " select src as u, dst as w, event_id, 'out' as direction from e where event_type = 'signup' union all select dst, src, event_id, 'in' from e where event_type = 'signup'")
+def motif_undirected(g):
+    return g.find("(u)-[e]-(w)").where("e.event_type = 'signup'").select(F.col("u.id").alias("u"), F.col("w.id").alias("w"), F.col("e.event_id").alias("event_id"), F.col("_direction").alias("direction"))
+
+
+@query(trade, " select x.src as u, x.dst as m1, y.dst as m2, z.dst as w from e x join e y on x.dst = y.src join e z on y.dst = z.src")
+def motif_fixed_length(g):
+    return g.find("(u)-[e*3]->(w)").select(F.col("u.id").alias("u"), F.col("_uw1.id").alias("m1"), F.col("_uw2.id").alias("m2"), F.col("w.id").alias("w"))
+
+
+@query(trade, " select src as u, dst as w, 1 as hop, quantity as q from e union all select x.src, y.dst, 2, x.quantity + y.quantity from e x join e y on x.dst = y.src")
+def motif_variable_length(g):
+    found = g.find("(u)-[e*1..2]->(w)")
+    return found.select(F.col("u.id").alias("u"), F.col("w.id").alias("w"), F.col("_hop").alias("hop"), (F.col("_e1.quantity") + F.coalesce(F.col("_e2.quantity"), F.lit(0))).alias("q"))
+
+
+@query(trade, " select x.src as a, x.dst as b, y.dst as c, x.quantity + y.quantity as q from e x join e y on x.dst = y.src where x.quantity < y.quantity")
+def motif_stateful_filter(g):
+    return g.find("(a)-[x]->(b); (b)-[y]->(c)").where("x.quantity < y.quantity").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"), (F.col("x.quantity") + F.col("y.quantity")).alias("q"))
+
+
+# ---------------------------------------------------------------- messages
+
+
+@query(session, " select id, sum(n)::bigint as total, max(n) as top from (select e.dst as id, v.n_events as n from e join v on v.id = e.src union all select e.src, v.n_events from e join v on v.id = e.dst) group by 1")
+def aggregate_messages(g):
+    return g.aggregate_messages([F.sum(AM.msg).alias("total"), F.max(AM.msg).alias("top")], to_src=AM.dst["n_events"], to_dst=AM.src["n_events"])
+
+
+@query(session, ", r0 as (select id, id as m from v), " + ", ".join(f"r{k + 1} as (select r.id, greatest(r.m, coalesce((select max(s.m) from e join r{k} s on s.id = e.src where e.dst = r.id), r.m)) as m from r{k} r)" for k in range(3)) + " select id, m as largest from r3")
+def pregel_largest_source(g):
+    p = g.pregel.setMaxIter(3).withVertexColumn("largest", F.col("id"), F.greatest("largest", F.coalesce(Pregel.msg(), F.col("largest"))))
+    return p.sendMsgToDst(Pregel.src("largest")).aggMsgs(F.max(Pregel.msg())).run().select("id", "largest")
+
+
+@query(geo, " select c.src as customer, c.src || '>' || c.dst || '>' || n.dst as path, 2 as hop from e c join e n on n.src = c.dst where c.rel = 'lives'")
+def aggregate_neighbors(g):
+    found = g.aggregate_neighbors("kind = 'customer'", ["path"], [F.col("id")], [F.concat_ws(">", "path", "dst_id")], max_hops=3, target_condition=g.dst_attr("kind") == "region")
+    return found.select(F.split("path", ">")[0].alias("customer"), "path", "hop")
+
+
+@query(tables.geo_graph)
+def belief_propagation(g):
+    return run_bp(generators.ising_grid(g.vertices.sparkSession, 6), 5).select("id", F.round("belief", 4).alias("belief"))
+
+
+# ---------------------------------------------------------------- paths
+
+
+@query(geo, " select c.src as a, c.dst as n, r.dst as b from e c join e r on r.src = c.dst where c.rel = 'sells' and r.dst = 'r1'")
+def bfs(g):
+    return g.bfs("kind = 'supplier'", "id = 'r1'").select(F.col("from.id").alias("a"), F.col("v1.id").alias("n"), F.col("to.id").alias("b"))
+
+
+LANDMARKS = [1, 2, 3]
+DISTANCES = """, d(id, landmark, k) as (
+  select id, id, 0 from v where id in (1, 2, 3)
+  union
+  select b.id, d.landmark, d.k + 1 from d join (select distinct src as id, dst from e where src <> dst) b on b.dst = d.id where d.k < 12)
+select id, landmark, min(k)::int as distance from d group by 1, 2"""
+
+
+def distances(g, directed=True):
+    maps = g.shortest_paths(LANDMARKS, directed).select("id", F.explode("distances").alias("landmark", "distance"))
+    return maps
+
+
+@query(session, DISTANCES, True)
+def shortest_paths(g):
+    return distances(g)
+
+
+@query(session, DISTANCES.replace("select distinct src as id, dst from e where src <> dst", "select x as id, y as dst from nb"), True)
+def shortest_paths_undirected(g):
+    return distances(g, False)
+
+
+@query(trade, """ select n, count(*) as cycles, sum(s)::bigint as total from (
+  select 1 as n, src as s from e where src = dst
+  union all select 2, x.src + x.dst from e x join e y on x.dst = y.src and y.dst = x.src where x.src < x.dst
+  union all select 3, x.src + y.src + z.src from e x join e y on x.dst = y.src join e z on y.dst = z.src and z.dst = x.src where x.src < y.src and x.src < z.src and y.src <> z.src) group by n""")
+def detect_cycles(g):
+    # on so dense a graph there are too many longer cycles for any engine
+    c = g.detect_cycles(max_length=3).select((F.size("found_cycles") - 1).alias("n"), F.expr("aggregate(slice(found_cycles, 1, size(found_cycles) - 1), 0L, (a, x) -> a + x)").alias("s"))
+    return c.groupBy("n").agg(F.count("*").alias("cycles"), F.sum("s").alias("total"))
+
+
+# ---------------------------------------------------------------- components
+
+REACH = """, sym as (select src as a, dst as b from e union select dst, src from e), r(id, root) as (
+  select id, id from v where kind = 'region' union select s.b, r.root from r join sym s on s.a = r.id)
+select v.id, v.kind, min(m.least) as component from v join r on r.id = v.id join (select root, min(id) as least from r group by root) m on m.root = r.root group by 1, 2"""
+
+
+@query(geo, REACH, True)
+def connected_components(g):
+    return g.connected_components()
+
+
+@query(geo, REACH, True)
+def components_by_contraction(g):
+    return g.connected_components("randomized_contraction")
+
+
+@query(geo, REACH, True)
+def components_by_propagation(g):
+    return g.connected_components("propagation")
+
+
+@query(trade, """, r(a, b) as (select id, id from v union select r.a, e.dst from r join e on e.src = r.b)
+select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1""", True)
+def strongly_connected_components(g):
+    return g.strongly_connected_components(20).select("id", "component")
+
+
+# ---------------------------------------------------------------- ranks
+
+
+def rank_sql(rounds: int, home: str, scale: str) -> str:
+    steps = ", ".join(f"r{k + 1} as (select v.id, 0.15 * {home} + 0.85 * coalesce(s.m, 0) as r from v left join (select w.dst, sum(r.r * w.w) as m from w join r{k} r on r.id = w.src group by 1) s on s.dst = v.id)" for k in range(rounds))
+    return f", w as (select src, dst, 1.0::double / count(*) over (partition by src) as w from e), r0 as (select id, {home} as r from v), {steps} select id, round(r * {scale} / (select sum(r) from r{rounds}), 4) as rank from r{rounds}"
+
+
+@query(session, rank_sql(8, "1.0::double", "(select count(*) from v)"))
+def page_rank_fixed(g):
+    return g.page_rank(max_iter=8).vertices.select("id", F.round("pagerank", 4).alias("rank"))
+
+
+@query(session, rank_sql(8, "(case when v.id = 1 then 1.0::double else 0.0 end)", "1.0"))
+def page_rank_personalized(g):
+    return g.page_rank(max_iter=8, source_id=1).vertices.select("id", F.round("pagerank", 4).alias("rank"))
+
+
+@query(session, rank_sql(40, "1.0::double", "(select count(*) from v)").replace(", 4)", ", 2)"))
+def page_rank_converged(g):
+    return g.page_rank(tol=1e-6).vertices.select("id", F.round("pagerank", 2).alias("rank"))
+
+
+@query(session, " select src, dst, event_id, round(1.0::double / count(*) over (partition by src), 6) as weight from e")
+def page_rank_weights(g):
+    return ranking.edge_weights(g).select("src", "dst", "event_id", F.round("weight", 6).alias("weight"))
+
+
+def parallel_sql() -> str:
+    one = lambda s: "select * from (" + rank_sql(5, f"(case when v.id = {s} then 1.0::double else 0.0 end)", "1.0").replace("select id, round", f"select id, {s} as source, round").removeprefix(", ") + ")"
+    return ", " + ", ".join(f"q{s} as (with {one(s).removeprefix('select * from (').removesuffix(')')})" for s in (1, 2)) + " select id, source::bigint as source, rank from q1 union all select id, source::bigint, rank from q2"
+
+
+@query(session, parallel_sql())
+def parallel_personalized_page_rank(g):
+    v = g.parallel_personalized_page_rank(source_ids=[1, 2], max_iter=5).vertices.select("id", vector_to_array("pageranks").alias("r"))
+    return v.select("id", F.posexplode("r").alias("source", "rank")).select("id", (F.col("source") + 1).cast("long").alias("source"), F.round("rank", 4).alias("rank"))
+
+
+# ---------------------------------------------------------------- communities
+
+
+def label_sql(rounds: int, ends: str) -> str:
+    steps = ", ".join(f"l{k + 1} as (select v.id, coalesce(b.label, l.label) as label from v join l{k} l on l.id = v.id left join (select id, label from (select n.y as id, l.label, row_number() over (partition by n.y order by count(*) desc, l.label) as k from ({ends}) n join l{k} l on l.id = n.x group by n.y, l.label) where k = 1) b on b.id = v.id)" for k in range(rounds))
+    return f", l0 as (select id, id as label from v), {steps} select id, label from l{rounds}"
+
+
+@query(session, label_sql(4, "select src as x, dst as y from e union all select dst, src from e"))
+def label_propagation(g):
+    return g.label_propagation(4).select("id", "label")
+
+
+@query(session, label_sql(3, "select src as x, dst as y from e"))
+def label_propagation_directed(g):
+    return g.label_propagation(3, is_directed=True).select("id", "label")
+
+
+TRIANGLES = ", t as (select a.u as a, a.v as b, b.v as c from p a join p b on a.v = b.u join p c on c.u = a.u and c.v = b.v), f as (select a as id from t union all select b from t union all select c from t) select v.id, v.n_events, count(f.id) as \"count\" from v left join f on f.id = v.id group by 1, 2"
+
+
+@query(session, TRIANGLES)
+def triangle_count(g):
+    return g.triangle_count()
+
+
+@query(session)
+def triangle_count_approx(g):
+    return g.triangle_count("approx")
+
+
+def core_sql(rounds: int) -> str:
+    steps = ", ".join(f"k{n + 1} as (select x as id, max(h) as k from (select n.x, least(s.k, count(*) over (partition by n.x order by s.k desc)) as h, o.k as cap from nb n join k{n} s on s.id = n.y join k{n} o on o.id = n.x) where h <= cap group by x)" for n in range(rounds))
+    return f", k0 as (select x as id, count(*) as k from nb group by x), {steps} select v.id, coalesce(k.k, 0)::int as kcore from v left join k{rounds} k on k.id = v.id"
+
+
+@query(trade, ", p as (select distinct least(src, dst) as u, greatest(src, dst) as v from e where src <> dst), nb as (select u as x, v as y from p union all select v, u from p)" + core_sql(12))
+def k_core(g):
+    return g.k_core().select("id", "kcore")
+
+
+@query(session)
+def maximal_independent_set(g):
+    return g.maximal_independent_set()
+
+
+@query(trade)
+def power_iteration_clustering(g):
+    e = g.canonical_edges(F.sum("quantity").cast("double").alias("weight")).remove_self_edges()
+    return e.power_iteration_clustering(2, 10, "weight")
+
+
+@query(tables.rating_graph)
+def svd_plus_plus(g):
+    v, loss = g.svd_plus_plus(rank=4, max_iter=2)
+    return v.select("id", F.round(F.col("column1")[0], 4).alias("factor"), F.round("column3", 4).alias("bias"), F.lit(round(loss, 4)).alias("loss"))
+
+
+# ---------------------------------------------------------------- walks and embeddings
+
+
+@query(session)
+def random_walks(g):
+    return g.random_walks(num_walks_per_node=2, batch_size=5, num_batches=2).select("random_walk_uuid", F.array_join("random_walk", ">").alias("walk"))
+
+
+@query(session)
+def hash2vec(g):
+    return walks.hash2vec(g.random_walks(num_walks_per_node=2, batch_size=5, num_batches=1), dim=32).select("id", F.round(vector_to_array("embedding")[0], 6).alias("x0"), F.size(vector_to_array("embedding")).alias("n"))
+
+
+@query(session)
+def walk_embeddings_with_neighbors(g):
+    found = RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=2, batch_size=5, num_batches=1).set_hash2vec(dim=16).set_neighbors_aggregation().run()
+    return found.select("id", F.size(vector_to_array("embedding")).alias("n"))
+
+
+@query(session)
+def word2vec_embeddings(g):
+    found = RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=2, batch_size=5, num_batches=1).set_word2vec(vector_size=8).run()
+    return found.select("id", F.size(vector_to_array("embedding")).alias("n"))
+
+
+# ---------------------------------------------------------------- property graphs, sources
+
+
+@query(tables.store_graph)
+def property_graph_vertices(p):
+    return p.to_graph(["customer", "supplier"], ["buys"]).vertices
+
+
+ORACLES["property_graph_vertices"] = "select 'customer' || sha256(c_custkey::varchar) as id, 'customer' as property_group from customer union all select s_suppkey::varchar, 'supplier' from supplier"
+
+
+@query(tables.store_graph)
+def property_graph_edges(p):
+    return p.to_graph(["customer", "part", "supplier"], ["buys", "sells"], edge_filters={"buys": "l_quantity > 45"}).edges
+
+
+ORACLES["property_graph_edges"] = """with s as (select distinct l_suppkey::varchar as s, 'part' || sha256(l_partkey::varchar) as p from lineitem)
+select 'customer' || sha256(o_custkey::varchar) as src, 'part' || sha256(l_partkey::varchar) as dst, l_quantity::double as weight from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 45
+union all select s, p, 1.0 from s union all select p, s, 1.0 from s"""
+
+
+@query(tables.store_graph)
+def property_graph_projection(p):
+    pairs = p.projection_by("supplier", "part", "sells").edge_groups["projected_sells"].data
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("shared"))
+
+
+ORACLES["property_graph_projection"] = "with s as (select distinct l_suppkey as s, l_partkey as p from lineitem) select a.s as src, b.s as dst, count(*) as shared from s a join s b on a.p = b.p and a.s < b.s group by 1, 2"
+
+
+@query(tables.store_graph)
+def property_graph_join_back(p):
+    degree = p.to_graph(["customer", "part"], ["buys"]).out_degrees
+    return p.join_vertices(degree, ["customer"]).select("external_id", "property_group", F.col("outDegree").alias("n"))
+
+
+ORACLES["property_graph_join_back"] = "select o_custkey::varchar as external_id, 'customer' as property_group, count(*)::int as n from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey group by 1"
+
+
+@query(tables.link_graph)
+def link_out_degrees(g):
+    return g.out_degrees.withColumnRenamed("outDegree", "n")
+
+
+ORACLES["link_out_degrees"] = "select url as id, count(*)::int as n from (select url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as l from pages) group by 1"
+
+
+def generated_grid(spark, sf_dir):
+    return generators.grid(spark, 6, 7).edges
+
+
+def generated_rmat(spark, sf_dir):
+    return generators.rmat(spark, 64, 200).edges
+
+
+def generated_log_normal(spark, sf_dir):
+    return generators.log_normal(spark, 50, mu=1.0, sigma=0.5).edges
+
+
+for f in (generated_grid, generated_rmat, generated_log_normal):
+    QUERIES[f.__name__] = f
+ORACLES["generated_grid"] = "select r * 7 + c as src, r * 7 + c + 1 as dst from range(6) a(r), range(6) b(c) union all select r * 7 + c, r * 7 + c + 7 from range(5) a(r), range(7) b(c)"
