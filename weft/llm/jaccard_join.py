@@ -319,3 +319,18 @@ def verified(packed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
         return table_of(PAIRS, out)
 
     return keyed.groupBy("key").cogroup(sets.groupBy("key")).applyInArrow(check, ddl(PAIRS))
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[p:p + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as p from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select i.a, i.b from i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where 100 * i.i >= 80 * (x.n + y.n - i.i)),
+e as (select a, b from l union all select b, a from l),
+r(id, root) as (select distinct a, a from e union select e.b, r.root from r join e on e.a = r.id),
+c as (select id, min(root) as root from r group by id),
+d as (select a, count(*) as k from e group by a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(d.k, 0)::bigint as n_similar, coalesce(c.root, w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id left join d on d.a = w.doc_id left join c on c.id = w.doc_id
+"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm import jaccard_join as jaccard
 from weft.llm import line_dedup as lines
 from weft.llm import max_score, mixing
+from weft.llm import substring_dedup as substrings
 from weft.llm.decontamination import find_contamination
 from weft.llm.html_text import extract_text
 from weft.llm.jaccard_join import jaccard_join
@@ -65,4 +67,4 @@ def op10_mix_sources(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_max_score_topk, op3_substring_dedup, op4_toxicity, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_token_counts, op8_html_text, op9_secret_scan, op10_mix_sources)}
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.SQL, "op2_max_score_topk": max_score.SQL, "op10_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.SQL, "op2_max_score_topk": max_score.SQL, "op3_substring_dedup": substrings.SQL, "op6_ngram_jaccard_join": jaccard.SQL, "op10_mix_sources": mixing.SQL}

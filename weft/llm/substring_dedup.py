@@ -216,3 +216,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = packed.join(by_chunk.hint("shuffle_hash"), "chunk", "left").join(bits_by_chunk.hint("shuffle_hash"), "chunk", "left")
     done = joined.mapInArrow(finish, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
     return done.withColumnRenamed("id", id_col)
+
+
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, p, array_to_string(w[p:p + 49], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as p from w where len(w) >= 50)),
+late as (select doc_id, p from (select *, min(doc_id) over (partition by k) as f from win) where f < doc_id),
+gone as (select distinct doc_id, unnest(range(p, p + 50)) as i from late),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+kept as (select doc_id, string_agg(x, ' ' order by i) as t from words anti join gone using (doc_id, i) group by doc_id),
+lost as (select doc_id, count(*) as n from gone group by doc_id)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(l.n, 0)::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from w left join lost l using (doc_id) left join kept k using (doc_id)
+"""
