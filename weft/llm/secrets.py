@@ -302,11 +302,16 @@ HEX_LOWER[list(b"0123456789abcdef")] = True
 
 def has_hex_run(data: np.ndarray, offs: np.ndarray, n: int = 16) -> np.ndarray:
     """Documents with n hex digits in a row."""
-    run = np.zeros(len(data) + 2, bool)
-    run[1:-1] = HEX_LOWER[data]
-    change = np.flatnonzero(run[1:] != run[:-1])
-    long = change[::2][(change[1::2] - change[::2]) >= n]
-    return np.bincount(np.searchsorted(offs, long, "right") - 1, minlength=len(offs) - 1)[: len(offs) - 1] > 0 if len(long) else np.zeros(len(offs) - 1, bool)
+    run, edge = HEX_LOWER[data], np.zeros(len(data) + 1, bool)
+    edge[offs] = True  # a run ends with its document
+    first, last = run.copy(), run.copy()
+    if len(data):
+        first[1:] &= ~run[:-1] | edge[1:-1]
+        last[:-1] &= ~run[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.zeros(len(offs) - 1, bool)
+    out[np.searchsorted(offs, starts[ends - starts >= n], "right") - 1] = True
+    return out
 
 
 RESULT = pa.schema([("id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64())])
