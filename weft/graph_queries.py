@@ -50,7 +50,7 @@ def query(graph, sql: str | None = None, recursive: bool = False):
 
 session, geo, trade = tables.session_graph, tables.geo_graph, tables.trade_graph
 
-# ---------------------------------------------------------------- structure
+# == structure
 
 
 @query(session, " select src as id, count(*)::int as out_degree from e group by 1")
@@ -148,66 +148,66 @@ def validate(g):
     return g.vertices.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).crossJoin(lost.agg(F.count("*").alias("lost")))  # one row each
 
 
-# ---------------------------------------------------------------- motifs
+# == motifs
 
 
 @query(session, " select a.src as a, a.dst as b, a.event_id as e1, b.event_id as e2 from e a join e b on a.dst = b.src and b.dst = a.src where a.event_type = 'purchase'")
 def motif_mutual(g):
-    return g.find("(a)-[e]->(b); (b)-[e2]->(a)").where("e.event_type = 'purchase'").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("e.event_id").alias("e1"), F.col("e2.event_id").alias("e2"))
+    return g.find("(p)-[e]->(q); (q)-[e2]->(p)").where("e.event_type = 'purchase'").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("e.event_id").alias("e1"), F.col("e2.event_id").alias("e2"))
 
 
 @query(session, " select x.src as a, y.dst as c, count(*) as n from e x join e y on x.dst = y.src group by 1, 2")
 def motif_two_hops(g):
-    return g.find("(a)-[]->(b); (b)-[]->(c)").groupBy(F.col("a.id").alias("a"), F.col("c.id").alias("c")).agg(F.count("*").alias("n"))
+    return g.find("(p)-[]->(q); (q)-[]->(s)").groupBy(F.col("p.id").alias("a"), F.col("s.id").alias("c")).agg(F.count("*").alias("n"))
 
 
 @query(trade, " select x.src as a, y.src as b, z.src as c from e x join e y on x.dst = y.src join e z on y.dst = z.src and z.dst = x.src")
 def motif_directed_triangle(g):
-    return g.find("(a)-[]->(b); (b)-[]->(c); (c)-[]->(a)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"))
+    return g.find("(p)-[]->(q); (q)-[]->(s); (s)-[]->(p)").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("s.id").alias("c"))
 
 
 @query(session, " select distinct a.src as a, a.dst as b from e a where not exists (select 1 from e b where b.src = a.dst and b.dst = a.src)")
 def motif_negation(g):
-    return g.find("(a)-[]->(b); !(b)-[]->(a)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return g.find("(p)-[]->(q); !(q)-[]->(p)").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
 
 @query(trade, " select a.id as a, b.id as b from v a, v b where not exists (select 1 from e where (src = a.id and dst = b.id) or (src = b.id and dst = a.id))")
 def motif_negated_undirected(g):
-    return g.find("!(a)-[]-(b)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return g.find("!(p)-[]-(q)").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
 
 @query(session, " select src as a, event_id from e where src = dst")
 def motif_self_loop(g):
-    return g.find("(a)-[e]->(a)").select(F.col("a.id").alias("a"), F.col("e.event_id").alias("event_id"))
+    return g.find("(p)-[e]->(p)").select(F.col("p.id").alias("a"), F.col("e.event_id").alias("event_id"))
 
 
 @query(trade, " select e.src as a, e.dst as b, v.id as c from e, v")
 def motif_lone_vertex(g):
-    return g.find("(a)-[]->(b); (c)").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"))
+    return g.find("(p)-[]->(q); (s)").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("s.id").alias("c"))
 
 
 @query(session, " select src as u, dst as w, event_id, 'out' as direction from e where event_type = 'signup' union all select dst, src, event_id, 'in' from e where event_type = 'signup'")
 def motif_undirected(g):
-    return g.find("(u)-[e]-(w)").where("e.event_type = 'signup'").select(F.col("u.id").alias("u"), F.col("w.id").alias("w"), F.col("e.event_id").alias("event_id"), F.col("_direction").alias("direction"))
+    return g.find("(m)-[e]-(z)").where("e.event_type = 'signup'").select(F.col("m.id").alias("u"), F.col("z.id").alias("w"), F.col("e.event_id").alias("event_id"), F.col("_direction").alias("direction"))
 
 
 @query(trade, " select x.src as u, x.dst as m1, y.dst as m2, z.dst as w from e x join e y on x.dst = y.src join e z on y.dst = z.src")
 def motif_fixed_length(g):
-    return g.find("(u)-[e*3]->(w)").select(F.col("u.id").alias("u"), F.col("_uw1.id").alias("m1"), F.col("_uw2.id").alias("m2"), F.col("w.id").alias("w"))
+    return g.find("(m)-[e*3]->(z)").select(F.col("m.id").alias("u"), F.col("_mz1.id").alias("m1"), F.col("_mz2.id").alias("m2"), F.col("z.id").alias("w"))
 
 
 @query(trade, " select src as u, dst as w, 1 as hop, quantity as q from e union all select x.src, y.dst, 2, x.quantity + y.quantity from e x join e y on x.dst = y.src")
 def motif_variable_length(g):
-    found = g.find("(u)-[e*1..2]->(w)")
-    return found.select(F.col("u.id").alias("u"), F.col("w.id").alias("w"), F.col("_hop").alias("hop"), (F.col("_e1.quantity") + F.coalesce(F.col("_e2.quantity"), F.lit(0))).alias("q"))
+    found = g.find("(m)-[e*1..2]->(z)")
+    return found.select(F.col("m.id").alias("u"), F.col("z.id").alias("w"), F.col("_hop").alias("hop"), (F.col("_e1.quantity") + F.coalesce(F.col("_e2.quantity"), F.lit(0))).alias("q"))
 
 
 @query(trade, " select x.src as a, x.dst as b, y.dst as c, x.quantity + y.quantity as q from e x join e y on x.dst = y.src where x.quantity < y.quantity")
 def motif_stateful_filter(g):
-    return g.find("(a)-[x]->(b); (b)-[y]->(c)").where("x.quantity < y.quantity").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"), (F.col("x.quantity") + F.col("y.quantity")).alias("q"))
+    return g.find("(p)-[x]->(q); (q)-[y]->(s)").where("x.quantity < y.quantity").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("s.id").alias("c"), (F.col("x.quantity") + F.col("y.quantity")).alias("q"))
 
 
-# ---------------------------------------------------------------- messages
+# == messages
 
 
 @query(session, " select id, sum(n)::bigint as total, max(n) as top from (select e.dst as id, v.n_events as n from e join v on v.id = e.src union all select e.src, v.n_events from e join v on v.id = e.dst) group by 1")
@@ -232,7 +232,7 @@ def belief_propagation(g):
     return run_bp(generators.ising_grid(g.vertices.sparkSession, 6), 5).select("id", F.round("belief", 4).alias("belief"))
 
 
-# ---------------------------------------------------------------- paths
+# == paths
 
 
 @query(geo, " select c.src as a, c.dst as n, r.dst as b from e c join e r on r.src = c.dst where c.rel = 'sells' and r.dst = 'r1'")
@@ -273,7 +273,7 @@ def detect_cycles(g):
     return c.groupBy("n").agg(F.count("*").alias("cycles"), F.sum("s").alias("total"))
 
 
-# ---------------------------------------------------------------- components
+# == components
 
 REACH = """, sym as (select src as a, dst as b from e union select dst, src from e), r(id, root) as (
   select id, id from v where kind = 'region' union select s.b, r.root from r join sym s on s.a = r.id)
@@ -301,7 +301,7 @@ def strongly_connected_components(g):
     return g.strongly_connected_components(20).select("id", "component")
 
 
-# ---------------------------------------------------------------- ranks
+# == ranks
 
 
 def rank_sql(rounds: int, home: str, scale: str) -> str:
@@ -340,7 +340,7 @@ def parallel_personalized_page_rank(g):
     return v.select("id", F.posexplode("r").alias("source", "rank")).select("id", (F.col("source") + 1).cast("long").alias("source"), F.round("rank", 4).alias("rank"))
 
 
-# ---------------------------------------------------------------- communities
+# == communities
 
 
 def label_sql(rounds: int, ends: str) -> str:
@@ -398,7 +398,7 @@ def svd_plus_plus(g):
     return v.select("id", F.round(F.col("column1")[0], 4).alias("factor"), F.round("column3", 4).alias("bias"), F.lit(round(loss, 4)).alias("loss"))
 
 
-# ---------------------------------------------------------------- walks and embeddings
+# == walks and embeddings
 
 
 @query(session)
@@ -423,7 +423,7 @@ def word2vec_embeddings(g):
     return found.select("id", F.size(vector_to_array("embedding")).alias("n"))
 
 
-# ---------------------------------------------------------------- property graphs, sources
+# == property graphs, sources
 
 
 @query(tables.store_graph)

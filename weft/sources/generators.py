@@ -38,8 +38,10 @@ def grid(spark: SparkSession, rows: int, cols: int) -> Graph:
 
 def friends(spark: SparkSession) -> Graph:
     """Seven people and eight relations."""
-    v = spark.createDataFrame([("a", "Alice", 34), ("b", "Bob", 36), ("c", "Charlie", 30), ("d", "David", 29), ("e", "Esther", 32), ("f", "Fanny", 36), ("g", "Gabby", 60)], "id string, name string, age int")
-    e = spark.createDataFrame([("a", "b", "friend"), ("b", "c", "follow"), ("c", "b", "follow"), ("f", "c", "follow"), ("e", "f", "follow"), ("e", "d", "friend"), ("d", "a", "friend"), ("a", "e", "friend")], "src string, dst string, relationship string")
+    people = zip("abcdefg", "Alice Bob Charlie David Esther Fanny Gabby".split(), (34, 36, 30, 29, 32, 36, 60))
+    v = spark.createDataFrame(list(people), "id string, name string, age int")
+    kinds = {"friend": "ab ed da ae", "follow": "bc cb fc ef"}
+    e = spark.createDataFrame([(*pair, kind) for kind, pairs in kinds.items() for pair in pairs.split()], "src string, dst string, relationship string")
     return Graph(v, e)
 
 
