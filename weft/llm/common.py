@@ -54,7 +54,7 @@ def as_id(column: str) -> Column:
     return F.col(column).cast("long")
 
 
-# ---------------------------------------------------------------- words as numpy arrays
+# == words as numpy arrays
 
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
@@ -158,7 +158,7 @@ def window_hash(words: np.ndarray, m: int, family: int = 0) -> np.ndarray:
     return out
 
 
-# ---------------------------------------------------------------- packed arrays
+# == packed arrays
 
 
 def squeeze(raw: bytes | memoryview) -> bytes:
@@ -213,7 +213,7 @@ def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-# ---------------------------------------------------------------- chunks of documents
+# == chunks of documents
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -211,7 +211,7 @@ class Forest:
         return np.exp(belief[:, 1] - np.logaddexp(belief[:, 0], belief[:, 1])), edge
 
 
-# ---------------------------------------------------------------- labelled pages
+# == labelled pages
 
 
 def page(r: random.Random) -> str:

@@ -155,7 +155,7 @@ def decode(unary: np.ndarray, doc: np.ndarray, trans: np.ndarray) -> list[tuple[
     return out
 
 
-# ---------------------------------------------------------------- training
+# == training
 
 
 def lines(count: int, seed: int) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
@@ -281,7 +281,7 @@ def train(count: int = 3000, rounds: int = 120, seed: int = 5) -> tuple[np.ndarr
     return w.astype(np.float32), t.astype(np.float32)
 
 
-# ---------------------------------------------------------------- the scan
+# == the scan
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
