@@ -80,16 +80,19 @@ class Index:
     def search(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, best similarity, its first word, windows that pass) for one document's word hashes."""
         best: dict[int, tuple[float, int, int]] = {}
+        ready: dict[int, tuple] = {}  # by shingle length: shingles, their weights, running sums
         for n, items in self.by_length.items():
             size = min(n, len(words))
             g = min(SHINGLE, n)
             if size < g:
                 continue
-            shingles = window_hash(words, g)
+            if g not in ready:
+                own = window_hash(words, g)
+                weights = self.weights_of(own)
+                ready[g] = own, weights, np.concatenate([[0], np.cumsum(weights)])
+            shingles, inside, sums = ready[g]
             span = size - g + 1
-            inside = self.weights_of(shingles)
-            got = np.concatenate([[0], np.cumsum(inside)])
-            got = got[span:] - got[:-span]
+            got = sums[span:] - sums[:-span]
             at = np.flatnonzero(got >= self.threshold * min(full for _, _, full, _ in items) - 1e-9)
             for lo in range(0, len(at), 20_000):
                 part = at[lo : lo + 20_000]
