@@ -11,6 +11,8 @@ of each other text random windows and those the model rates highest. It uses a b
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,6 +96,19 @@ class Model:
         self.w, self.b, self.u = f(2, d, 3 * HIDDEN) * 0.7, np.zeros((2, 3 * HIDDEN), np.float32), f(2, HIDDEN, 3 * HIDDEN) * 0.7
         self.wa, self.va, self.vo, self.bo = f(2 * HIDDEN, 8), f(8, 1)[:, 0] * 0.3, f(2 * HIDDEN, 1)[:, 0], np.zeros(1, np.float32)
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, odds=self.odds, word=self.word, gram=self.gram, **{n: getattr(self, n) for n in self.NAMES})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Model:
+        model = cls.__new__(cls)
+        with np.load(io.BytesIO(raw)) as have:
+            for n in have.files:
+                setattr(model, n, have[n])
+        return model
+
     def inputs(self, word: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """A row for each word, after a row of zeros for padding."""
         have = grams >= 0
@@ -266,8 +281,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, seed: int = 7)
 RESULT = pa.schema([("score", pa.float64())])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """At most max_rows toxic and 2 * max_rows other labelled texts, of at most 16,000 bytes each, from rows that aren't held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
+    """(i, y, t): at most max_rows toxic and 2 * max_rows other labelled texts, of at most 16,000 bytes each, from rows that aren't held out."""
     rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     rows = rows.where(F.crc32(F.col("i").cast("string")) % 5 != 0)
     # 3 times as many ids of each class as are wanted, as some have no text that fits: a bounded number
@@ -276,8 +291,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     both = wanted[0].unionAll(wanted[1])
     own = text.join(F.broadcast(both), F.col("i") == F.col("j")).groupBy("i").agg(F.first("y").alias("y"), F.min("t").alias("t"))
     picked = [own.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(max_rows * (2 - y)) for y in (0, 1)]
-    got = picked[0].unionAll(picked[1]).toPandas().sort_values("i").drop_duplicates("t")  # copies would look like evidence
-    return got["t"].tolist(), got["y"].to_numpy()
+    return picked[0].unionAll(picked[1])
+
+
+def trained(sample: DataFrame) -> Model:
+    """The model of a bounded sample, trained in one task of the cluster: its memory is not the driver's."""
+
+    def fit(batches):
+        rows = sorted((i, y, t) for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns)))
+        texts = {t: y for _, y, t in rows}  # copies would look like evidence
+        yield pa.RecordBatch.from_arrays([pa.array([train(list(texts), np.array(list(texts.values()))).dump()], pa.binary())], names=["model"])
+
+    row = sample.select("i", "y", "t").repartition(1).mapInArrow(fit, "model binary").first()
+    return Model.load(row[0]) if row else train([], np.zeros(0))  # an empty sample may have no task at all
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -313,7 +339,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     0 and 1 are ignored, and of contradictory ones 1 counts. Without labels of both classes all rows get one score. Repeated
     rows get equal scores. Other columns are kept; an empty table gives an empty result.
     """
-    model = train(*labelled_sample(docs, labels, id_col, text_col, max_rows))
+    model = trained(labelled_sample(docs, labels, id_col, text_col, max_rows))
     done = score_toxicity(docs, model, text_col, keep)
     held = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 == 0, F.lit(False))
     return done.drop("held_out").withColumn("held_out", held)
