@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tests.conftest import rows
 from weft.llm import html_text, secrets, toxicity as tox
@@ -104,6 +105,15 @@ def test_html_model():
     assert right / total > 0.97
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(var i=0;i<n;i++){f(i)}</script>", '<script>if(a<b){x="1"}</script>', "<script>x='<div'</script>", "<SCRIPT>a<b</Script >", "<script>if(a<b && c){s='it'}</script\n>",
+    "<script>s = '</scripty>'; i<n</script>", "<script><!-- a<b --></script>", "<script><!-- a<b </script>", "<script><!-- document.write('<script>x</script>') --></script>", "<script><!--> '<script>' </script>",
+    "<style>a:before{content:'<b'}</style>", "<title>a <b and c</title>", "<textarea><!-- x </textarea>", "<svg><style>a<b{}</style><path d='x'/></svg>", "<button title='</button>'>no</button>", "<select><!-- </select> --><option>no</select>"])
+def test_raw_elements_end_at_their_end_tag(raw):
+    p = html_text.Page(f"<p>Before.</p>{raw}<p>Article text.</p>{raw}<p>After.</p>")
+    assert list(p.texts.values()) == ["Before.", "Article text.", "After."]
+
+
 def test_sum_product_is_exact():
     p = html_text.Page("<body><div class='ad'><p>a</p></div><article><p>b c d<p>e</article></body>")
     f = html_text.Forest([p])

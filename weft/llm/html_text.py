@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from weft.llm.common import batch_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "select", "button", "svg", "object", "canvas", "datalist", "noframes", "xmp"}
+#: Elements without content: of RAW_TEXT the inside is characters up to the end tag, of the others it is markup.
+RAW_TEXT = {"script", "style", "title", "textarea", "noscript", "iframe", "noframes", "xmp"}
+RAW = RAW_TEXT | {"template", "select", "button", "svg", "object", "canvas", "datalist"}
+SCRIPT = re.compile(r"<!--(?:-?>)?|-->|</?script(?=[\s/>])", re.I)
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "label", "legend", "head", "html", "body", "summary", "figcaption"} | {"li", "dd", "dt"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
@@ -49,6 +52,32 @@ def name_flags(attributes: str) -> tuple[int, ...]:
     return tuple(int(bool(p.search(words))) for p in NAMES) if words.strip() else (0,) * N_NAMES
 
 
+def raw_end(source: str, tag: str, at: int) -> int | None:
+    """Where the text after the end tag of a raw text element begins that was opened before `at`; None without an end tag."""
+    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+    if not end:
+        return None
+    start = end.start()
+    if tag == "script" and "<!--" in source[at:start]:
+        # inside a comment of a script, a script's own start and end tags are part of it
+        comment = inner = False
+        for m in SCRIPT.finditer(source, at):
+            what = m[0].lower()
+            if what in ("-->", "<!-->", "<!--->"):
+                comment = inner = False
+            elif what == "<!--":
+                comment = True
+            elif what == "<script":
+                inner = comment
+            elif inner:
+                inner = False
+            else:
+                start = m.start()
+                break
+    whole = TOKEN.match(source, start)
+    return whole.end() if whole else (source.find(">", start) + 1 or len(source))
+
+
 class Page:
     """parent, group and name flags of every node; leaves with their text."""
 
@@ -78,9 +107,13 @@ class Page:
             flush()
             del stack[k:]
 
-        for m in TOKEN.finditer(source):
+        pos = 0
+        while m := TOKEN.search(source, pos):
+            pos = m.end()
             if skip is not None:
-                if m[1] and m[2] and m[2].lower() == skip:
+                if m[2] and m[2].lower() in RAW_TEXT and not m[1] and not m[3].endswith("/"):
+                    pos = raw_end(source, m[2].lower(), pos) or pos
+                elif m[1] and m[2].lower() == skip:
                     skip, at = None, m.end()
                 continue
             if m.start() > at:
@@ -94,13 +127,11 @@ class Page:
                 continue
             tag = m[2].lower()
             if not m[1]:
-                if tag in RAW and not m[3].endswith("/"):
+                if tag in RAW_TEXT and not m[3].endswith("/"):
+                    # raw text ends at its own end tag only, and nothing before that is a tag
+                    pos = at = raw_end(source, tag, at) or len(source)
+                elif tag in RAW and not m[3].endswith("/"):
                     skip = tag
-                    # raw text ends at its own end tag only
-                    end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
-                    if not end:
-                        at = len(source)
-                        break
                 elif tag in BLOCK:
                     flush()
                     if tag in CLOSES_P:
