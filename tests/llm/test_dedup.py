@@ -1,6 +1,7 @@
 """Line dedup, substring dedup, Jaccard join, decontamination: against brute force, with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -195,6 +196,50 @@ def test_decontamination(spark):
     assert find_contamination(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def brute_pairs(docs, items, threshold=0.5):
+    """(document, item): (best similarity, its first place, windows that pass) of all windows; 3-word shingles only."""
+    sets = {k: {tuple(w[p : p + 3]) for p in range(len(w) - 2)} for k, t in items if (w := t.split())}
+    df = Counter(x for s in sets.values() for x in s)
+    weigh = lambda s: sum(math.log(1 + len(sets) / df[x]) + 1 if x in df else math.log(1 + len(sets)) + 1 for x in s)
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        for k, item in items:
+            size = min(len(item.split()), len(w))
+            found = [(round(weigh(own & sets[k]) / weigh(own | sets[k]), 6), -p) for p in range(len(w) - size + 1) if (own := {tuple(w[q : q + 3]) for q in range(p, p + size - 2)})]
+            passed = [x for x in found if x[0] >= threshold]
+            if passed:
+                want[d, k] = (max(passed)[0], -max(passed)[1], len(passed))
+    return want
+
+
+def edited_benchmark(seed=6):
+    """Items that share phrases; documents that hold items with some words changed, left out or put in."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    phrases = [" ".join(word() for _ in range(6)) for _ in range(4)]
+    items = [(k, " ".join([*(word() for _ in range(r.randint(6, 26))), r.choice(phrases), *(word() for _ in range(r.randint(6, 26)))])) for k in range(30)]
+    items[7] = (7, "so so so so so " * 3 + "and so on and so on")
+    docs = []
+    for k, t in items:
+        for edits in range(5):
+            w = t.split()
+            for _ in range(edits):
+                p = r.randrange(len(w))
+                w[p : p + r.randint(0, 1)] = [word()] * r.randint(0, 2)
+            docs.append((10 * k + edits, " ".join([*(word() for _ in range(r.randint(0, 40))), *w, *(word() for _ in range(r.randint(0, 40)))])))
+    return items, docs
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    items, docs = edited_benchmark()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r["at"], r.windows) for r in find_contamination(frame(spark, docs), bench).collect()}
+    want = brute_pairs(docs, items)
+    assert {k: x[1:] for k, x in got.items()} == {k: x[1:] for k, x in want.items()} and len(want) > 100
+    assert {k: x[0] for k, x in got.items()} == pytest.approx({k: x[0] for k, x in want.items()}, abs=2e-6)
+
+
 def test_multi_index_agrees_with_a_scan():
     items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(5)]
     index = Index(items, 0.5)

@@ -1,19 +1,19 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
+"""Benchmark decontamination: item-sized windows of words, exact weighted Jaccard similarity of their shingles.
 
-For every benchmark item of L words, every window of L consecutive words of every document gets a 64-bit
-SimHash over weighted word shingles. Items are indexed by 16 blocks of 4 bits: fingerprints within a
-Hamming distance of 15 agree in a whole block, so none is missed. Candidates are verified by the exact weighted Jaccard
-similarity of the shingle sets.
+For every benchmark item of L words, every window of L consecutive words of every document is held against the item
+by the exact weighted Jaccard similarity of the sets of word shingles. Items that share too little weight with a whole
+document can't pass in any of its windows; they are found by an inverted index of the items' shingles and skipped, which
+loses nothing. For the others, the weight of the distinct shingles of each window comes from running
+sums: a shingle counts in the windows that begin after its previous place. No fingerprint sifts the windows, as a
+radius that loses no pair would keep nearly all. Weights are whole multiples of 2^-24, so sums are exact in any order.
 
-A window that has too little weight in shingles of any benchmark item can't pass the verification, whatever
-its fingerprint; such windows are skipped before fingerprints are made, which loses nothing and leaves few.
 The benchmark is used in blocks of a bounded number of items, each sent to the workers as a whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from weft.llm.common import CHUNK_BYTES, LOWER, NO_ID, batch_of, flat, hash_words, mix, window_hash, word_spans
 
 FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("at", pa.int64()), ("windows", pa.int64())])
-BITS, RADIUS, BLOCKS = 64, 15, 16
 ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 20_000, 32 << 20
 SHINGLE = 3
+ONE = 1 << 24
 
 
 def bit_signs(shingles: np.ndarray) -> np.ndarray:
@@ -38,87 +38,130 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64)[:, 0]
 
 
+def shingled(texts: list[str]) -> list[tuple[int, np.ndarray]]:
+    """Number of words and shingles of each text; a text of fewer than SHINGLE words is one shingle."""
+    data, offs = flat(pa.array(texts, pa.large_string()))
+    data = LOWER[data]
+    starts, ends, words = word_spans(data, offs)
+    hashed = hash_words(data, starts, ends)
+    own = [hashed[a:b] for a, b in zip(words[:-1], words[1:])]
+    return [(len(x), window_hash(x, min(SHINGLE, len(x))) if len(x) else x) for x in own]
+
+
+def places(found: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `values` are in the sorted array `found`, and where there."""
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(found, values), len(found) - 1)
+    same = np.flatnonzero(found[at] == values)
+    return same, at[same]
+
+
+class Weights:
+    """Weight of any shingle: log(1 + items / items that have it) + 1. One that no item has weighs like one of a single item."""
+
+    def __init__(self, count: int, repeated: np.ndarray, times: np.ndarray):
+        self.repeated = repeated  # sorted: the shingles of more than one item
+        self.of_repeated = np.rint((np.log(1 + count / times) + 1) * ONE).astype(np.int64)
+        self.top = round((math.log(1 + count) + 1) * ONE)
+
+    @classmethod
+    def of_items(cls, items: list[np.ndarray]) -> Weights:
+        found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, items)]), return_counts=True)
+        return cls(len(items), found[times > 1], times[times > 1])
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(len(shingles), self.top, np.int64)
+        which, at = places(self.repeated, shingles)
+        out[which] = self.of_repeated[at]
+        return out
+
+
+def earlier(values: np.ndarray) -> np.ndarray:
+    """Place of the previous equal value, -1 where there is none."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1, np.int64)
+    same = values[order[1:]] == values[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def distinct_sums(at: np.ndarray, weights: np.ndarray, before: np.ndarray, span: int, windows: int) -> np.ndarray:
+    """For each window of `span` places, the weight of the distinct shingles among those at `at`."""
+    lo, hi = np.maximum(np.maximum(before, at - span) + 1, 0), np.minimum(at, windows - 1) + 1
+    ok = lo < hi
+    steps = np.zeros(windows + 1, np.int64)
+    np.add.at(steps, lo[ok], weights[ok])
+    np.subtract.at(steps, hi[ok], weights[ok])
+    return np.cumsum(steps[:-1])
+
+
 class Index:
-    """Benchmark items by length, with shingle weights."""
+    """Benchmark items with their shingles, and the items that have a shingle."""
 
     def __init__(self, rows: list[tuple[int, str]], threshold: float):
-        column = pa.array([t for _, t in rows], pa.large_string())
-        data, offs = flat(column)
-        data = LOWER[data]
-        starts, ends, words = word_spans(data, offs)
-        hashed = hash_words(data, starts, ends)
-        self.items = []
-        for k, (item, _) in enumerate(rows):
-            own = hashed[words[k] : words[k + 1]]
-            if len(own):
-                self.items.append((item, len(own), window_hash(own, min(SHINGLE, len(own)))))
-        df = Counter(x for _, _, s in self.items for x in set(s.tolist()))
-        self.top = math.log(1 + len(self.items)) + 1
-        self.weight = {x: math.log(1 + len(self.items) / c) + 1 for x, c in df.items()}
-        self.known = np.sort(np.array(list(self.weight), np.uint64))
-        self.known_w = np.array([self.weight[x] for x in self.known.tolist()])
+        kept = [(item, n, s) for (item, _), (n, s) in zip(rows, shingled([t for _, t in rows])) if n]
+        self.threshold = threshold
+        self.weights = Weights.of_items([s for _, _, s in kept])
+        self.item, self.words = [i for i, _, _ in kept], np.array([n for _, n, _ in kept], np.int64)
+        sets = [np.unique(s) for _, _, s in kept]
+        self.known, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        self.known_w = self.weights.of(self.known)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.known & np.uint64((1 << 20) - 1)] = True
-        self.threshold = threshold
-        self.by_length = defaultdict(list)
-        for item, n, s in self.items:
-            full = sum(self.weight[x] for x in set(s.tolist()))
-            w = np.array([self.weight[x] for x in s.tolist()], np.float32)
+        # own: the known shingles of each item; having: the items of each known shingle
+        sizes = [len(x) for x in sets]
+        self.own = np.split(inverse, np.cumsum(sizes)[:-1]) if sets else []
+        self.full = np.array([self.known_w[x].sum() for x in self.own], np.int64)
+        self.having = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
+        self.bounds = np.searchsorted(np.sort(inverse), np.arange(len(self.known) + 1))
+        self.by_length = defaultdict(list)  # with SimHash fingerprints, which the search doesn't use
+        for (item, n, s), own, full in zip(kept, sets, self.full.tolist()):
+            w = self.weights.of(s).astype(np.float32)
             print_ = int(packed((bit_signs(s) * w[:, None]).sum(0, keepdims=True))[0])
-            self.by_length[n].append((item, frozenset(s.tolist()), full, print_))
+            self.by_length[n].append((item, frozenset(own.tolist()), full, print_))
 
-    def weights_of(self, shingles: np.ndarray) -> np.ndarray:
-        """Weight of each shingle in the benchmark, 0 where it is in no item."""
-        out = np.zeros(len(shingles))
+    def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles that some item has, and which of the known ones they are."""
         maybe = np.flatnonzero(self.sieve[shingles & np.uint64((1 << 20) - 1)])
-        if len(maybe) and len(self.known):
-            at = np.minimum(np.searchsorted(self.known, shingles[maybe]), len(self.known) - 1)
-            same = self.known[at] == shingles[maybe]
-            out[maybe[same]] = self.known_w[at[same]]
-        return out
+        which, at = places(self.known, shingles[maybe])
+        return maybe[which], at
 
     def search(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, best similarity, its first word, windows that pass) for one document's word hashes."""
         best: dict[int, tuple[float, int, int]] = {}
-        ready: dict[int, tuple] = {}  # by shingle length: shingles, their weights, running sums
-        for n, items in self.by_length.items():
-            size = min(n, len(words))
-            g = min(SHINGLE, n)
-            if size < g:
+        sizes = np.minimum(SHINGLE, self.words)
+        for g in np.unique(sizes).tolist():
+            if len(words) < g:
+                continue
+            shingles = window_hash(words, g)
+            at, which = self.hits(shingles)
+            if not len(at):
+                continue
+            # the weight that each item shares with the whole document
+            seen = np.unique(which)
+            many = self.bounds[seen + 1] - self.bounds[seen]
+            entries = np.repeat(self.bounds[seen] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            shared = np.zeros(len(self.item), np.int64)
+            np.add.at(shared, self.having[entries], np.repeat(self.known_w[seen], many))
+            picked = np.flatnonzero((shared >= self.threshold * self.full) & (sizes == g))
+            if not len(picked):
                 continue
-            if g not in ready:
-                own = window_hash(words, g)
-                weights = self.weights_of(own)
-                ready[g] = own, weights, np.concatenate([[0], np.cumsum(weights)])
-            shingles, inside, sums = ready[g]
-            span = size - g + 1
-            got = sums[span:] - sums[:-span]
-            at = np.flatnonzero(got >= self.threshold * min(full for _, _, full, _ in items) - 1e-9)
-            for lo in range(0, len(at), 20_000):
-                part = at[lo : lo + 20_000]
-                base = int(part[0])
-                area = shingles[base : int(part[-1]) + span]
-                weights = np.where(inside[base : base + len(area)] > 0, inside[base : base + len(area)], self.top).astype(np.float32)
-                sums = np.zeros((len(area) + 1, BITS))
-                np.cumsum(bit_signs(area) * weights[:, None], axis=0, out=sums[1:])
-                rel = part - base
-                prints = packed(sums[rel + span] - sums[rel])
-                for item, have, full, target in items:
-                    apart = prints ^ np.uint64(target)
-                    near = np.zeros(len(apart), bool)
-                    for b in range(BLOCKS):  # the multi-index: agreement in any block makes a candidate
-                        near |= (apart >> np.uint64(4 * b)) & np.uint64(15) == 0
-                    near = np.flatnonzero(near)
-                    near = near[np.bitwise_count(apart[near]) <= RADIUS]
-                    for k in near.tolist():
-                        a = int(rel[k])
-                        own = set(area[a : a + span].tolist())
-                        common = sum(self.weight[x] for x in own & have)
-                        union = full + sum(self.weight.get(x, self.top) for x in own) - common
-                        s = common / union
-                        if s >= self.threshold:
-                            b = best.get(item, (0.0, 0, 0))
-                            best[item] = (s, int(part[k]), b[2] + 1) if s > b[0] else (b[0], b[1], b[2] + 1)
+            before, weights, last = earlier(shingles), self.weights.of(shingles), None
+            for k in picked[np.argsort(self.words[picked], kind="stable")].tolist():
+                span = min(int(self.words[k]), len(words)) - g + 1
+                windows = len(shingles) - span + 1
+                if span != last:
+                    total, last = distinct_sums(np.arange(len(shingles)), weights, before, span, windows), span
+                own = at[np.isin(which, self.own[k])]
+                common = distinct_sums(own, weights[own], before[own], span, windows)
+                similarity = common / (self.full[k] + total - common)
+                passed = np.flatnonzero(similarity >= self.threshold)
+                if len(passed):
+                    p = int(passed[np.argmax(similarity[passed])])
+                    have = best.get(self.item[k], (0.0, 0, 0))
+                    s, p = max((have[0], -have[1]), (float(similarity[p]), -p))
+                    best[self.item[k]] = (s, -p, have[2] + len(passed))
         return [(i, *b) for i, b in best.items()]
 
 
@@ -128,8 +171,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Columns: id, _row (a hash of the text; tells apart rows of one id), item_id, similarity (of the best window),
     at (its first word), windows (number of windows that pass). A-Z are lower-cased; words are runs of anything
     but ASCII white space. A pair is found if a window of the item's length has a weighted Jaccard similarity of
-    3-word shingles of at least `threshold` and a SimHash within 15 bits of the item's. Items of fewer
-    than 3 words are compared as a whole. Nulls: a null or blank text or item matches nothing; null ids are kept as null.
+    3-word shingles of at least `threshold`. Items of fewer than 3 words are compared as a whole. Nulls: a null or blank text or item matches nothing; null ids are kept as null.
     Repeated rows give repeated pairs once each. Other columns are ignored; empty tables give an empty result.
     """
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("trim(t) <> ''")
@@ -145,12 +187,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def scan(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
-    least = min((min(full for _, _, full, _ in x) for x in index.by_length.values()), default=0.0) * index.threshold
+    least = min(index.full.tolist(), default=0) * index.threshold
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         idx = shared.value
-        lengths = sorted({min(SHINGLE, n) for n in idx.by_length})
+        lengths = np.unique(np.minimum(SHINGLE, idx.words)).tolist()
         for b in batches:
             data, offs = flat(b.column(2))
             ids, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -160,12 +202,12 @@ def scan(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame
                 text, own = LOWER[data[offs[at] : offs[to]]], offs[at : to + 1] - offs[at]
                 starts, ends, words = word_spans(text, own)
                 hashed = hash_words(text, starts, ends)
-                weight = np.zeros(len(hashed) + 1)
+                weight = np.zeros(len(hashed) + 1, np.int64)
                 for g in lengths:
-                    s = window_hash(hashed, g)
-                    weight[: len(s)] += idx.weights_of(s)
+                    at_hit, which = idx.hits(window_hash(hashed, g))
+                    weight[at_hit] += idx.known_w[which]
                 sums = np.concatenate([[0], np.cumsum(weight)])
-                for i in np.flatnonzero(sums[words[1:]] - sums[words[:-1]] >= least - 1e-9).tolist():
+                for i in np.flatnonzero(sums[words[1:]] - sums[words[:-1]] >= least).tolist():
                     if words[i + 1] > words[i]:
                         out += [(ids[at + i], rows[at + i], item, s, p, n) for item, s, p, n in idx.search(hashed[words[i] : words[i + 1]])]
                 at = to
