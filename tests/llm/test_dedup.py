@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
-from weft.llm import common, jaccard_join as jj
+from weft.llm import common, decontamination, jaccard_join as jj
 from weft.llm.decontamination import Index, find_contamination
 from weft.llm.jaccard_join import jaccard_join
 from weft.llm.line_dedup import line_dedup
@@ -240,6 +240,16 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert {k: x[0] for k, x in got.items()} == pytest.approx({k: x[0] for k, x in want.items()}, abs=2e-6)
 
 
+def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
+    items, docs = edited_benchmark()
+    items += [items[3], (5, items[8][1]), (None, items[9][1]), (91, " \t "), (92, "two words"), (93, None)]
+    docs += [docs[4], (None, items[2][1]), (5000, "so two words here")]
+    found = lambda: sorted((tuple(r) for r in find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
+    whole = found()
+    monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", 9)
+    assert found() == whole and len(whole) > 100
+
+
 def test_multi_index_agrees_with_a_scan():
     items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(5)]
     index = Index(items, 0.5)

@@ -7,7 +7,9 @@ loses nothing. For the others, the weight of the distinct shingles of each windo
 sums: a shingle counts in the windows that begin after its previous place. No fingerprint sifts the windows, as a
 radius that loses no pair would keep nearly all. Weights are whole multiples of 2^-24, so sums are exact in any order.
 
-The benchmark is used in blocks of a bounded number of items, each sent to the workers as a whole.
+The benchmark is used in blocks of a bounded number of items, each sent to the workers as a whole. Weights are those
+of the whole benchmark for every block, so results don't depend on how it is split; for that, the shingles of more than one item
+are counted once and sent along (all others have one weight).
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import CHUNK_BYTES, LOWER, NO_ID, batch_of, flat, hash_words, mix, window_hash, word_spans
 
+COUNTS = pa.schema([("s", pa.int64())])
 FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("at", pa.int64()), ("windows", pa.int64())])
 ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 20_000, 32 << 20
 SHINGLE = 3
@@ -70,6 +74,23 @@ class Weights:
         found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, items)]), return_counts=True)
         return cls(len(items), found[times > 1], times[times > 1])
 
+    @classmethod
+    def of_table(cls, items: DataFrame) -> Weights:
+        """The same from a table of any size, with texts in column t: one aggregate, of which repeated shingles come to the driver."""
+
+        def run(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, 1000):
+                    for n, s in shingled(b.column(0).slice(lo, 1000).to_pylist()):
+                        if n:  # a null for the item itself
+                            yield pa.record_batch([pa.array([None, *np.unique(s).view(np.int64).tolist()], pa.int64())], schema=COUNTS)
+
+        found = items.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 1 or s is null").toArrow()
+        shingles, times = found["s"].fill_null(0).to_numpy().view(np.uint64), found["c"].to_numpy()
+        one = found["s"].is_null().to_numpy()
+        order = np.argsort(shingles[~one])
+        return cls(int(times[one].sum()), shingles[~one][order], times[~one][order])
+
     def of(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(len(shingles), self.top, np.int64)
         which, at = places(self.repeated, shingles)
@@ -99,10 +120,11 @@ def distinct_sums(at: np.ndarray, weights: np.ndarray, before: np.ndarray, span:
 class Index:
     """Benchmark items with their shingles, and the items that have a shingle."""
 
-    def __init__(self, rows: list[tuple[int, str]], threshold: float):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float, weights: Weights | None = None):
+        """weights: those of the whole benchmark if `rows` are only a part of it."""
         kept = [(item, n, s) for (item, _), (n, s) in zip(rows, shingled([t for _, t in rows])) if n]
         self.threshold = threshold
-        self.weights = Weights.of_items([s for _, _, s in kept])
+        self.weights = weights or Weights.of_items([s for _, _, s in kept])
         self.item, self.words = [i for i, _, _ in kept], np.array([n for _, n, _ in kept], np.int64)
         sets = [np.unique(s) for _, _, s in kept]
         self.known, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
@@ -121,6 +143,9 @@ class Index:
             print_ = int(packed((bit_signs(s) * w[:, None]).sum(0, keepdims=True))[0])
             self.by_length[n].append((item, frozenset(own.tolist()), full, print_))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"weights": None}  # sent by themselves, once for all blocks
+
     def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the shingles that some item has, and which of the known ones they are."""
         maybe = np.flatnonzero(self.sieve[shingles & np.uint64((1 << 20) - 1)])
@@ -177,21 +202,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("trim(t) <> ''")
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     blocks = max(1, math.ceil(count / ITEMS_PER_BLOCK), math.ceil(size / BYTES_PER_BLOCK))
-    result = None
+    weights = Weights.of_table(items) if blocks > 1 else None
+    common, result = None, None
     for k in range(blocks):
-        # a bounded number of items at a time; weights are those within the block
+        # a bounded number of items at a time
         rows = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()]
-        part = scan(docs, Index(rows, threshold), id_col, text_col)
+        index = Index(rows, threshold, weights)
+        common = common or docs.sparkSession.sparkContext.broadcast(index.weights)
+        part = scan(docs, index, common, id_col, text_col).withColumn("block", F.lit(k)).distinct()
         result = part if result is None else result.unionAll(part)
-    return result.select(F.col("id").alias(id_col), F.col("row").alias("_row"), F.col("item").alias("item_id"), "similarity", "at", "windows").distinct()
+    if blocks > 1:
+        # one row for an item id whose texts lie in several blocks, as within a block
+        best = F.max(F.struct("similarity", (-F.col("at")).alias("p"))).alias("best")
+        result = result.groupBy("id", "row", "item").agg(best, F.sum("windows").alias("windows")).select("*", "best.similarity", (-F.col("best.p")).alias("at"))
+    return result.select(F.col("id").alias(id_col), F.col("row").alias("_row"), F.col("item").alias("item_id"), "similarity", "at", "windows")
 
 
-def scan(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
+def scan(docs: DataFrame, index: Index, common: Broadcast, id_col: str, text_col: str) -> DataFrame:
     least = min(index.full.tolist(), default=0) * index.threshold
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         idx = shared.value
+        idx.weights = common.value
         lengths = np.unique(np.minimum(SHINGLE, idx.words)).tolist()
         for b in batches:
             data, offs = flat(b.column(2))
