@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and documents of which nothing is left by that."""
-    done = line_dedup(docs).where("n_removed = 0 or kept_text <> ''")
+    """Later copies of repeated runs of lines and of single lines of over 50 words go, and documents of which nothing is left by that."""
+    done = line_dedup(docs, long_words=51).where("n_removed = 0 or kept_text <> ''")
     changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
     return done.withColumns(changed).select(*docs.columns)
 

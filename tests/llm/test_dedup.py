@@ -8,7 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.conftest import rows
 from weft.llm import common, decontamination, jaccard_join as jj
 from weft.llm.decontamination import Index, find_contamination
@@ -164,6 +166,17 @@ def test_line_dedup(spark):
     assert line_dedup(frame(spark, docs)).columns == ["doc_id", "text", "source", "n", "chunk", "n_lines", "n_removed", "kept_text"]
 
 
+def test_long_lines_alone(spark):
+    line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    a, b, short = line("a", 51), line("b", 80), line("c", 50)
+    docs = [(1, f"p\n{a}\nq"), (2, f"r\n\t{a} \ns\n{b}"), (3, a), (4, f"{short}\nt"), (5, f"u\n{short}\nv"), (6, f"w\n{b}\nx\n{b}\ny"), (7, f"p\n{a}\nz"), (8, b), (8, b), (None, f"k\n{a}"), (9, short), (10, None), (11, "y " * 50 + "y" * 9), (12, "o\n" + "y " * 50 + "y" * 9)]
+    got = Counter((i, n, k) for i, n, k in line_dedup(frame(spark, docs), long_words=51).select("doc_id", "n_removed", "kept_text").collect())
+    want = [(1, 0, docs[0][1]), (2, 1, f"r\ns\n{b}"), (3, 1, ""), (4, 0, docs[3][1]), (5, 0, docs[4][1]), (6, 2, "w\nx\ny"), (7, 2, "z"), (8, 1, ""), (8, 1, ""), (None, 1, "k"), (9, 0, short), (10, 0, None), (11, 0, docs[12][1]), (12, 1, "o")]
+    assert got == Counter(want)
+    kept = corpus_pipeline.dedup_lines(spark, frame(spark, docs).withColumn("n_chars", F.lit(1)), "")
+    assert Counter((i, t) for i, t in kept.select("doc_id", "text").collect()) == Counter((i, k) for i, n, k in want if n == 0 or k)
+
+
 def test_winnowing_of_longer_runs(spark):
     lines = [f"line {k}" for k in range(30)]
     docs = [(1, "\n".join(lines)), (2, "\n".join(["p"] + lines[5:9] + ["q"] + lines[20:22] + ["r"]))]

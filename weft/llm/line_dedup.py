@@ -7,7 +7,7 @@ place of that run. Fingerprints that occur once are dropped; at the places of th
 are extended both ways: each window of `run` lines around the fingerprint is compared by a
 128-bit hash with the earliest place that has the same lines, and
 overlapping matched windows make up the maximal run. All but the earliest
-copy are deleted.
+copy are deleted. Where asked for, a single long line is a run of its own beside these.
 
 Places are grouped by aggregates with map-side combine and never listed pair by pair, so
 a line that a third of all documents share costs one row a task.
@@ -29,24 +29,29 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NO_ID))), "_row": F.xxhash64(text, F.length(text)), "_lines": F.split(text, "\n", -1)})
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gram: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gram: int = 1, long_words: int | None = None) -> DataFrame:
     """The input rows with columns n_lines, n_removed and kept_text added.
 
     A line is deleted if it lies in a run of `run` consecutive non-blank lines that also
     starts at an earlier place, by (id, line number); lines are compared without the white space
     around them. A document of fewer non-blank lines counts as one run and is compared with other such
-    documents. Blank lines are never deleted, except that a document left with no other lines is empty.
+    documents. With `long_words`, a line of at least so many words is also deleted wherever it stands, in documents of
+    any number of lines, if it stands at an earlier place too. Blank lines are never deleted, except that a document left with no other lines is empty.
     Nulls: a null text has one blank line and stays null; null ids come after all ids; rows of equal
     id (repeated rows) aren't earlier than each other. All other columns are kept as they are;
     existing columns n_lines, n_removed and kept_text are replaced.
     """
     if not 1 <= gram <= run:
         raise ValueError("needs 1 <= gram <= run")
+    if long_words is not None and long_words < 1:
+        raise ValueError("needs long_words >= 1")
     docs = docs.drop("n_lines", "n_removed", "kept_text")
     base = keyed(docs, id_col, text_col)
     solid = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("s"))), lambda y: y.s != "")
     lines = base.select("_id", "_row", solid.alias("y")).where("size(y) > 0")
-    lines = lines.select("_id", "_row", F.expr("transform(y, z -> z.i)").alias("at"), F.transform("y", lambda z: F.xxhash64(z.s)).alias("h"), F.transform("y", lambda z: F.xxhash64(F.lit(7), z.s)).alias("g"))
+    many = lambda z: (F.length(z.s) >= 2 * long_words - 1) & (F.size(F.split(z.s, f"[{BLANKS}]+")) >= long_words)
+    mark = [F.transform("y", many).alias("m")] if long_words else []
+    lines = lines.select("_id", "_row", F.expr("transform(y, z -> z.i)").alias("at"), F.transform("y", lambda z: F.xxhash64(z.s)).alias("h"), F.transform("y", lambda z: F.xxhash64(F.lit(7), z.s)).alias("g"), *mark)
     lines = lines.withColumn("n", F.size("h"))
     grams = F.expr("h" if gram == 1 else f"transform(sequence(0, n - {gram}), j -> xxhash64(slice(h, j + 1, {gram})))")
     width = run - gram + 1
@@ -57,7 +62,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = "array(struct(xxhash64(n, h) as f, 0 as p, xxhash64(n, h) as a, xxhash64(7, n, g) as b, at as at))"
     long = lines.where(f"n >= {run}").withColumn("k", grams).select("_id", "_row", F.explode(F.expr(window)).alias("w"))
     few = lines.where(f"n < {run}").select("_id", "_row", F.explode(F.expr(short)).alias("w"))
-    windows = cut(long.unionAll(few).select("_id", "_row", "w.*"), "line-windows")
+    found = long.unionAll(few)
+    if long_words:
+        alone = "transform(filter(sequence(0, n - 1), j -> m[j]), j -> struct(xxhash64(11, h[j]) as f, j as p, xxhash64(11, h[j]) as a, xxhash64(7, 11, g[j]) as b, array(at[j]) as at))"
+        found = found.unionAll(lines.select("_id", "_row", F.explode(F.expr(alone)).alias("w")))
+    windows = cut(found.select("_id", "_row", "w.*"), "line-windows")
     places = windows.select("_id", "_row", "p", "f").distinct()
     again = places.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
     near = windows.join(again, "f", "left_semi")
