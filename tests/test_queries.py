@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from weft import graph_queries
+from weft.sources import tables
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,3 +35,20 @@ def test_against_sql(spark, db, name):
 
 def test_registered():
     assert set(graph_queries.ORACLES) <= set(graph_queries.QUERIES)
+
+
+def test_all_cycles_against_brute_force(spark):
+    to = {}
+    for a, b in tables.supply_graph(spark, "/root/testdata/sf0.01").edges.select("src", "dst").collect():
+        to.setdefault(a, set()).add(b)
+
+    def grow(path):
+        for b in to.get(path[-1], ()):
+            if b == path[0]:
+                yield [*path, b]
+            elif b > path[0] and b not in path:
+                yield from grow([*path, b])
+
+    want = sorted(c for a in to for c in grow([a]))
+    assert sorted(list(r[0]) for r in graph_queries.QUERIES["detect_all_cycles"](spark, "/root/testdata/sf0.01").collect()) == want
+    assert max(map(len, want)) > 4

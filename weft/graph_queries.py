@@ -273,6 +273,11 @@ def detect_cycles(g):
     return c.groupBy("n").agg(F.count("*").alias("cycles"), F.sum("s").alias("total"))
 
 
+@query(tables.supply_graph)
+def detect_all_cycles(g):
+    return g.detect_cycles()
+
+
 # == components
 
 REACH = """, sym as (select src as a, dst as b from e union select dst, src from e), r(id, root) as (

@@ -45,6 +45,15 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(v, e)
 
 
+def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations; each has edges to the nations of the suppliers that follow its first and its last supplier by key. Sparse: all its cycles can be listed."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("src"))
+    after = s.withColumn("dst", F.lead("src").over(Window.orderBy("k"))).where("dst is not null")
+    ends = after.groupBy("src").agg(F.min(F.struct("k", "dst")).alias("x"), F.max(F.struct("k", "dst")).alias("y"))
+    e = ends.select("src", F.explode(F.array("x.dst", "y.dst")).alias("dst")).distinct()
+    return Graph(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), e)
+
+
 def rating_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers (2 x key) who bought parts (2 x key + 1), weight 1 to 5 by quantity."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
