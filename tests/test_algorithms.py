@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -5,9 +7,10 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from weft.errors import NoSuchVertex
 from weft.graph import Graph
-from weft.operators import walks
+from weft.operators import components, walks
 from weft.operators.paths import dst_attr
 from weft.operators.walks import RandomWalkEmbeddings
+from weft.plans.iterate import Rounds
 from weft.sources import generators as gen
 
 
@@ -193,3 +196,14 @@ def test_walks_and_embeddings(spark):
     with pytest.raises(ValueError):
         RandomWalkEmbeddings(g).run()
     assert rows(walks.k_min(spark.range(10).select((F.col("id") % 2).alias("k"), "id"), "k", "id", -F.col("id"), 2), "k", "id") == [(0, 6), (0, 8), (1, 7), (1, 9)]
+
+
+@pytest.mark.parametrize("run", [components.star_components, components.contraction_components])
+def test_components_converge_or_raise(spark, run):
+    ids = list(range(41))
+    random.Random(3).shuffle(ids)
+    e = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    cut = Rounds(spark, "t").cut
+    assert {r.component for r in run(e, cut).collect()} == {0}
+    with pytest.raises(components.NotConverged):
+        run(e, cut, max_rounds=1)

@@ -7,7 +7,7 @@ from weft.examples.belief_propagation import run_bp
 from weft.graph import Graph
 from weft.property_graph import EdgeGroup, PropertyGraph, VertexGroup
 from weft.sources import edge_list, generators as gen
-from weft.streaming.batches import on_each_batch
+from weft.streaming.batches import latest_result, on_each_batch, results_of
 
 
 @pytest.fixture(scope="module")
@@ -82,4 +82,29 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(2, 3)], "src long, dst long").write.mode("append").parquet(str(src))
     q.processAllAvailable()
     q.stop()
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "component") == [(i, 1) for i in (1, 2, 3, 4)]
+    assert rows(latest_result(spark, str(tmp_path / "out")), "id", "component") == [(i, 1) for i in (1, 2, 3, 4)]
+    assert results_of(spark, str(tmp_path / "out")) == [0, 1] and results_of(spark, str(tmp_path / "none")) == []
+    (tmp_path / "out" / "batch=7").mkdir()  # being written
+    assert rows(latest_result(spark, str(tmp_path / "out")), "id", "component") == [(i, 1) for i in (1, 2, 3, 4)]
+
+
+def test_scratch(spark, tmp_path, monkeypatch):
+    from weft.plans import iterate
+
+    at = tmp_path / "x"
+    spark.range(3).write.parquet(str(at))
+    iterate.remove_table(spark, f"file:{at}")
+    assert not at.exists()
+    rounds = iterate.Rounds(spark, "t", "DISK_ONLY")
+    grown = rounds.collector("grown")
+    for k in range(3):
+        assert grown.add(spark.range(k, k + 1)).count() == 1
+    assert rows(grown.all(), "id") == [(0,), (1,), (2,)]
+    with pytest.raises(ValueError):
+        iterate.Rounds(spark, "t", "nowhere")
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: {"spark.master": "yarn"}.get(name, default))})()
+
+    with pytest.raises(ValueError):
+        iterate.shared_dir(Cluster())

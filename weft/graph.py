@@ -268,7 +268,7 @@ class Graph:
         if max_iter < 1:
             raise ValueError("max_iter must be positive")
         rounds = Rounds(self._vertices.sparkSession, "scc")
-        found = components.strong_components(self._vertices, self._edges, rounds.cut, max_iter)
+        found = components.strong_components(self._vertices, self._edges, rounds.cut, rounds.collector, max_iter)
         return rounds.close(communities.attach(self, found, "component"))
 
     def label_propagation(self, max_iter: int, is_directed: bool = False, **_) -> DataFrame:

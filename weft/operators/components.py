@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -28,17 +29,24 @@ def small_star(e: DataFrame) -> DataFrame:
     return inner.unionAll(least.select(F.col("m").alias("u"), "v")).distinct()
 
 
-def star_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], max_rounds: int = 64) -> DataFrame:
+class NotConverged(RuntimeError):
+    """A bound on the number of rounds was reached first; there is no partial result."""
+
+
+def star_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], max_rounds: int | None = None) -> DataFrame:
     """(id, component) of every vertex that occurs in a proper edge; component is the smallest id.
 
     `cut` materialises a round's edges and ends their lineage. Rows shrink towards one a vertex, and both
-    steps are joins on aggregated keys, so a hub costs one aggregate and an AQE-split join.
+    steps are joins on aggregated keys, so a hub costs one aggregate and an AQE-split join. Rounds go on until nothing
+    changes; with max_rounds, NotConverged is raised if that isn't enough.
     """
     e = cut(canonical(edges), "cc-0")
     if e.isEmpty():
         return e.select(F.col("v").alias("id"), F.col("u").alias("component"))
     before = None
-    for k in range(max_rounds):
+    for k in itertools.count():
+        if k == max_rounds:
+            raise NotConverged(f"no end after {max_rounds} rounds")
         e = cut(small_star(large_star(e)), f"cc-{k + 1}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -48,14 +56,17 @@ def star_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame]
     return e.select(F.col("v").alias("id"), F.col("u").alias("component")).unionAll(roots.select("id", F.col("id").alias("component")))
 
 
-def contraction_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], seed: int = 42, max_rounds: int = 256) -> DataFrame:
+def contraction_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], seed: int = 42, max_rounds: int | None = None) -> DataFrame:
     """(id, component) by randomised contraction: each round a vertex joins the member of its closed neighbourhood
-    with the smallest hash, edges are contracted, and the representatives are composed at the end. component is the smallest id."""
+    with the smallest hash, edges are contracted, and the representatives are composed at the end. component is the smallest id. Rounds go on until no edge is left;
+    with max_rounds, NotConverged is raised if that isn't enough."""
     e = cut(canonical(edges), "rc-0")
     steps = []
-    for k in range(max_rounds):
+    for k in itertools.count():
         if e.isEmpty():
             break
+        if k == max_rounds:
+            raise NotConverged(f"no end after {max_rounds} rounds")
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         closed = both.unionAll(both.select("x", F.col("x").alias("y")))
         order = F.struct(F.xxhash64("y", F.lit(seed + k)).alias("h"), F.col("y").alias("y"))
@@ -66,8 +77,10 @@ def contraction_components(edges: DataFrame, cut: Callable[[DataFrame, str], Dat
     if not steps:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     label = steps[0].select(F.col("x").alias("id"), F.col("r").alias("c"))
-    for rep in steps[1:]:
+    for k, rep in enumerate(steps[1:]):
         label = label.join(rep.select(F.col("x").alias("c"), "r"), "c", "left").select("id", F.coalesce("r", "c").alias("c"))
+        if k % 8 == 7:
+            label = cut(label, f"rc-labels-{k}")  # a plan of bounded size
     label = cut(label, "rc-labels")
     least = label.groupBy("c").agg(F.min("id").alias("component"))
     return label.join(least, "c").select("id", "component")
@@ -87,7 +100,7 @@ def propagated_components(edges: DataFrame, cut: Callable[[DataFrame, str], Data
     return state.select("id", "component")
 
 
-def strong_components(vertices: DataFrame, edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], max_iter: int) -> DataFrame:
+def strong_components(vertices: DataFrame, edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], collector: Callable, max_iter: int) -> DataFrame:
     """(id, component): component is the smallest id of the strongly connected component. Rounds of trimming vertices with no edge in or none out,
     colouring forwards by the smallest id, and confirming backwards from each colour's root; after max_iter rounds what is left is its own component."""
     live = cut(vertices.select("id").distinct(), "scc-v")
@@ -119,13 +132,13 @@ def strong_components(vertices: DataFrame, edges: DataFrame, cut: Callable[[Data
                 break
         color = color.select("id", "color")
         tinted = cut(e.join(color.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst", F.col("a").alias("color")), f"scc-in{k}")
-        sure = cut(color.where("id = color"), f"scc-r{k}")
-        front = sure
+        found = collector(f"scc-r{k}")
+        front = found.add(color.where("id = color"))
         while not front.isEmpty():
             back = tinted.join(front.select(F.col("id").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct()
-            front = cut(back.join(sure, ["id", "color"], "left_anti"), f"scc-b{k}")
-            sure = sure.unionAll(front)
-        sure = cut(sure, f"scc-s{k}")
+            front = found.add(back.join(found.all(), ["id", "color"], "left_anti"))
+        sure = cut(found.all(), f"scc-s{k}")
+        found.remove()
         done.append(sure.select("id", F.col("color").alias("component")))
         live = cut(live.join(sure, "id", "left_anti"), f"scc-v{k}")
         e = cut(e.join(sure.select(F.col("id").alias("src")), "src", "left_anti").join(sure.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), f"scc-e{k}")

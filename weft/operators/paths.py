@@ -31,21 +31,22 @@ def bfs(g, from_expr, to_expr, edge_filter=None, max_path_length: int = 10) -> D
     rounds = Rounds(v.sparkSession, "bfs")
     goal = ends.select("id").distinct()
     steps = rounds.cache(e.select("src", "dst").where("src <> dst").join(v.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct().repartition("src"))
-    level = rounds.cut(starts.select("id").distinct())
-    seen, levels, found = level, [level], None
+    seen = rounds.collector("seen")
+    level = seen.add(starts.select("id").distinct())
+    levels, found = [level], None
     for _ in range(max_path_length):
         following = steps.join(level.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        level = rounds.cut(following.join(seen, "id", "left_anti"))
+        level = seen.add(following.join(seen.all(), "id", "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
         found = level.join(goal, "id", "left_semi")
         if not found.isEmpty():
             break
-        seen = seen.unionAll(level)
         found = None
     if found is None:
-        rounds.close(none.limit(0), 1)
+        rounds.close(none.limit(0), 0)
+        seen.remove()
         return none
     # backwards, keep of each level only what leads to the goal
     wanted = [found]
@@ -59,7 +60,9 @@ def bfs(g, from_expr, to_expr, edge_filter=None, max_path_length: int = 10) -> D
         name, before = ("to" if k + 1 == last else f"v{k + 1}"), ("from" if k == 0 else f"v{k}")
         paths = paths.join(nest(e, f"e{k}"), F.col(before)["id"] == F.col(f"e{k}")["src"])
         paths = paths.join(vertex(k + 1, name), F.col(f"e{k}")["dst"] == F.col(name)["id"])
-    return rounds.close(paths, keep=1)
+    done = rounds.close(paths)
+    seen.remove()
+    return done
 
 
 def distance_rows(g, landmarks: list, directed: bool = True) -> DataFrame:
@@ -68,20 +71,21 @@ def distance_rows(g, landmarks: list, directed: bool = True) -> DataFrame:
     spark = v.sparkSession
     given = spark.createDataFrame([(x,) for x in dict.fromkeys(landmarks)], f"id {dict(v.dtypes)['id']}")
     rounds = Rounds(spark, "distance")
-    frontier = rounds.cut(v.select("id").distinct().join(given, "id", "left_semi").select("id", F.col("id").alias("landmark"), F.lit(0).alias("distance")))
+    done = rounds.collector("known")
+    frontier = done.add(v.select("id").distinct().join(given, "id", "left_semi").select("id", F.col("id").alias("landmark"), F.lit(0).alias("distance")))
     # messages go against the edges: a distance is from the vertex to the landmark
     back = g.edges.select(F.col("dst").alias("at"), F.col("src").alias("id"))
     if not directed:
         back = back.unionAll(back.select(F.col("id").alias("at"), F.col("at").alias("id")))
     back = rounds.cache(back.where("at <> id").distinct().repartition("at"))
-    done, k = frontier, 0
+    k = 0
     while not frontier.isEmpty():
         k += 1
         following = back.join(frontier.select(F.col("id").alias("at"), "landmark"), "at").select("id", "landmark").distinct()
-        frontier = rounds.cut(following.join(done, ["id", "landmark"], "left_anti").withColumn("distance", F.lit(k)))
-        done = done.unionAll(frontier)
-    known = done.join(v.select("id").distinct(), "id", "left_semi")
-    return rounds.close(known)
+        frontier = done.add(following.join(done.all(), ["id", "landmark"], "left_anti").withColumn("distance", F.lit(k)))
+    known = rounds.close(done.all().join(v.select("id").distinct(), "id", "left_semi"))
+    done.remove()
+    return known
 
 
 def shortest_paths(g, landmarks: list, is_directed: bool = True) -> DataFrame:

@@ -1,14 +1,14 @@
-"""What iterative operators share: settings, materialised rounds, released caches."""
+"""What iterative operators share: settings, materialised rounds, released caches, the scratch folder."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 PREFIX = "weft."
 
@@ -22,24 +22,47 @@ def setting(spark: SparkSession, name: str, default):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of our own (single machine)."""
+    """spark.checkpoint.dir. Where it is unset, a folder of our own if all tasks run on this machine; elsewhere each executor would
+    write to its own disk, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
         at = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", at)
         atexit.register(shutil.rmtree, at, True)
     return at.rstrip("/")
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store through Spark's own file system, whatever kind of store it is. Over a remote session
+    there is no such access; the folder then stays."""
+    if not hasattr(spark, "_jvm"):
+        return
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def storage_level(value: StorageLevel | str) -> StorageLevel:
+    if isinstance(value, StorageLevel):
+        return value
+    level = getattr(StorageLevel, value.upper(), None)
+    if not isinstance(level, StorageLevel):
+        raise ValueError(f"unknown storage level {value!r}")
+    return level
+
+
 class Rounds:
     """Materialises the state of each round as a table in the shared folder.
 
     The written table ends the lineage and survives the loss of any executor. Tables that later rounds have superseded are
-    deleted as the loop goes, where the folder is one that this process can reach as files.
+    deleted as the loop goes. `level` (setting weft.intermediateStorageLevel) is that of what is cached for all rounds.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, level: StorageLevel | str | None = None):
         self.spark, self.home, self.k = spark, f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}", 0
+        self.level = storage_level(level if level is not None else setting(spark, "intermediateStorageLevel", "MEMORY_AND_DISK"))
         self.cached: list[DataFrame] = []
         self.paths: list[str] = []
 
@@ -50,22 +73,46 @@ class Rounds:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def collector(self, name: str) -> Collector:
+        return Collector(self, name)
+
     def forget(self, keep: int) -> None:
         """Delete all but the last `keep` tables."""
         while len(self.paths) > keep:
-            path = self.paths.pop(0).removeprefix("file://").removeprefix("file:")
-            if os.path.isdir(path):
-                shutil.rmtree(path, ignore_errors=True)
+            remove_table(self.spark, self.paths.pop(0))
 
     def cache(self, df: DataFrame) -> DataFrame:
         """Cached until close(); recomputed from its source where an executor is lost."""
-        self.cached.append(df.persist())
+        self.cached.append(df.persist(self.level))
         return df
 
     def close(self, result: DataFrame, keep: int = 1) -> DataFrame:
-        """The result, materialised; nothing of the loop stays cached."""
+        """The result, materialised; nothing of the loop stays cached, and no other table is left."""
         done = self.cut(result, "-result")
         for df in self.cached:
             df.unpersist()
         self.forget(keep)
         return done
+
+
+class Collector:
+    """A table that grows by a part a round and is read as one: the plan stays the same size however many rounds there are."""
+
+    def __init__(self, rounds: Rounds, name: str):
+        self.rounds, self.path, self.schema, self.k = rounds, f"{rounds.home}/{rounds.k}{name}", None, 0
+        rounds.k += 1
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next part, and read that part back."""
+        self.schema = self.schema or df.schema
+        at = f"{self.path}/{self.k}"
+        self.k += 1
+        df.write.parquet(at)
+        return self.rounds.spark.read.schema(self.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        paths = [f"{self.path}/{k}" for k in range(self.k)]
+        return self.rounds.spark.read.schema(self.schema).parquet(*paths)
+
+    def remove(self) -> None:
+        remove_table(self.rounds.spark, self.path)
