@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import rows
 from weft.llm import common, decontamination, jaccard_join as jj
-from weft.llm.decontamination import Index, find_contamination
+from weft.llm.decontamination import find_contamination
 from weft.llm.jaccard_join import jaccard_join
 from weft.llm.line_dedup import line_dedup
 from weft.llm.substring_dedup import substring_dedup
@@ -132,7 +132,26 @@ def test_signatures_lose_no_pair():
             common_keys = set(keys[(who == 0)].tolist()) & set(keys[who == 1].tolist())
             assert common_keys, (size, len(a), len(b), inter)
             d = len(a) + len(b) - 2 * inter
-            assert jj.differing(jj.vector(a), jj.vector(b)) <= d
+            x, y = sorted((jj.vector(a), jj.vector(b)), key=len)
+            assert (y.reshape(-1, len(x)).sum(0, dtype=np.uint8) != x).sum() <= d
+
+
+def test_first_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    docs = [(7, a), (3, a + " z"), (None, a), (None, b), (5, c), (5, c), (5, a + " y"), (8, None), (None, ""), (None, None), ((1 << 63) - 1, b)]
+    got = jaccard_join(frame(spark, docs), representatives=True)
+    assert got.columns == ["doc_id", "n_shingles", "n_similar", "component_id", "row_key", "is_first"]
+    first = sorted(((i, n) for i, n in got.where("is_first").select("doc_id", "n_shingles").collect()), key=repr)
+    assert first == sorted([(3, 27), (5, 26), (5, 26), (8, 0), (None, 0), (None, 0), ((1 << 63) - 1, 26)], key=repr)
+    assert {r.component_id for r in got.where("n_shingles = 26 and n_similar = 1").collect()} == {5, (1 << 63) - 1}
+
+
+def test_the_largest_id_is_not_null(spark):
+    top = (1 << 63) - 1
+    docs = [(top, "w " * 60), (None, "w " * 60), (1, "v")]
+    assert rows(substring_dedup(frame(spark, docs)), "doc_id", "n_removed") == sorted([(top, 0), (None, 0), (1, 0)], key=repr)
+    assert rows(jaccard_join(frame(spark, docs)), "doc_id", "component_id") == sorted([(top, top), (None, top), (1, 1)], key=repr)
+    assert rows(line_dedup(frame(spark, docs)), "doc_id", "n_removed") == sorted([(top, 0), (None, 0), (1, 0)], key=repr)
 
 
 def test_big_groups_are_split(spark, monkeypatch):
@@ -143,9 +162,16 @@ def test_big_groups_are_split(spark, monkeypatch):
     assert got == sorted([(k, 14, 0) for k in range(15)], key=repr)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a\nb", 3, 4, 5), (2, "a\nb", 6, 7, 8)], "doc_id long, text string, k_id int, `gone` int, `x.y` int")
+    got = line_dedup(d)
+    assert got.columns == [*d.columns, "n_lines", "n_removed", "kept_text"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb", 3, 4, 5, 2, 0, "a\nb"), (2, "a\nb", 6, 7, 8, 2, 2, "")]
+
+
 def test_line_dedup(spark):
     docs = [(1, "a b\nc d\n\nx"), (2, "q\n a b \nc d\nr"), (3, "c d\na b"), (4, "only"), (5, "only"), (6, "s\ns\ns\ns"), (7, None), (8, ""), (9, "a b\nc d"), (9, "a b\nc d"), (None, "q\n a b"), (10, "\n\n"), (11, "long " * 20000 + "\nq\na b")]
-    got = {(i, t): (n, k) for i, t, n, k in line_dedup(frame(spark, docs)).select("doc_id", "text", "n_removed", "kept_text").collect()}
+    got = {(i, t): (n, k) for i, t, n, k in line_dedup(frame(spark, docs), long_words=None).select("doc_id", "text", "n_removed", "kept_text").collect()}
     want = {}
     seqs = [[(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")] for _, t in docs]
     first = {}
@@ -170,7 +196,7 @@ def test_long_lines_alone(spark):
     line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
     a, b, short = line("a", 51), line("b", 80), line("c", 50)
     docs = [(1, f"p\n{a}\nq"), (2, f"r\n\t{a} \ns\n{b}"), (3, a), (4, f"{short}\nt"), (5, f"u\n{short}\nv"), (6, f"w\n{b}\nx\n{b}\ny"), (7, f"p\n{a}\nz"), (8, b), (8, b), (None, f"k\n{a}"), (9, short), (10, None), (11, "y " * 50 + "y" * 9), (12, "o\n" + "y " * 50 + "y" * 9)]
-    got = Counter((i, n, k) for i, n, k in line_dedup(frame(spark, docs), long_words=51).select("doc_id", "n_removed", "kept_text").collect())
+    got = Counter((i, n, k) for i, n, k in line_dedup(frame(spark, docs)).select("doc_id", "n_removed", "kept_text").collect())
     want = [(1, 0, docs[0][1]), (2, 1, f"r\ns\n{b}"), (3, 1, ""), (4, 0, docs[3][1]), (5, 0, docs[4][1]), (6, 2, "w\nx\ny"), (7, 2, "z"), (8, 1, ""), (8, 1, ""), (None, 1, "k"), (9, 0, short), (10, 0, None), (11, 0, docs[12][1]), (12, 1, "o")]
     assert got == Counter(want)
     kept = corpus_pipeline.dedup_lines(spark, frame(spark, docs).withColumn("n_chars", F.lit(1)), "")
@@ -259,21 +285,9 @@ def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     docs += [docs[4], (None, items[2][1]), (5000, "so two words here")]
     found = lambda: sorted((tuple(r) for r in find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
     whole = found()
-    monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", 9)
-    assert found() == whole and len(whole) > 100
-
-
-def test_multi_index_agrees_with_a_scan():
-    items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(5)]
-    index = Index(items, 0.5)
-    prints = {x[0]: x[3] for v in index.by_length.values() for x in v}
-    rng = random.Random(1)
-    for _ in range(500):
-        p, bits = rng.choice(list(prints.values())), rng.sample(range(64), rng.randint(0, 15))
-        q = p
-        for b in bits:
-            q ^= 1 << b
-        assert any((p ^ q) >> (4 * k) & 15 == 0 for k in range(16))
+    for size in (9, 1000, 1):
+        monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", size if size > 1 else 4)
+        assert found() == whole and len(whole) > 100
 
 
 @pytest.mark.parametrize("run", [substring_dedup, jaccard_join, line_dedup, lambda d: find_contamination(d, d.sparkSession.createDataFrame([(1, "a b c d")], "item_id long, text string"))])

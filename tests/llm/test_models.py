@@ -92,17 +92,72 @@ def test_toxicity_operator(spark):
     assert tox.toxicity(d.limit(0), labels.limit(0)).count() == 0
 
 
-def test_html_model():
-    w, pair = html_text.train(500, 80)
-    r = random.Random(9)
+def share_right(layouts, w, pair, seed=9, count=100):
+    r = random.Random(seed)
     right = total = 0
-    for _ in range(100):
-        source = html_text.page(r)
-        p = html_text.Page(source, "zqx")
+    for _ in range(count):
+        p = html_text.Page(html_text.page(r, layouts), "zqx")
         m, _ = html_text.Forest([p]).marginals(w, pair)
         right += sum((m[k] >= 0.5) == v for k, v in p.gold.items())
         total += len(p.gold)
-    assert right / total > 0.97
+    return right / total
+
+
+def test_html_model_on_layouts_it_has_not_seen():
+    unseen = ["table", "columns", "itemprop", "unclosed"]
+    w, pair = html_text.train(400, 60, layouts=tuple(x for x in html_text.LAYOUTS if x not in unseen))
+    assert share_right(["article", "div", "section"], w, pair) > 0.97
+    for layout in unseen:
+        assert share_right([layout], w, pair, count=40) > 0.9, layout
+
+
+def test_html_against_a_parser():
+    """500 odd pages: the texts of all blocks are what Python's own parser finds outside of raw text."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found, self.raw = [], None
+
+        def handle_starttag(self, tag, attrs):
+            self.raw = tag if tag in ("script", "style") else self.raw
+            self.found.append(" " if tag in html_text.BLOCK or tag in ("br", "img") else "")
+
+        def handle_endtag(self, tag):
+            self.raw = None if tag == self.raw else self.raw
+            self.found.append(" " if tag in html_text.BLOCK else "")
+
+        def handle_data(self, data):
+            if self.raw is None:
+                self.found.append(data)
+
+    r = random.Random(4)
+    parts = ["word ", "é", "a < b ", "1 <3 ", "&amp;", "&lt;p&gt;", "&#233;", "<b>", "</b>", '<p class="a>b">', "<p title='x\"y'>", "<br>", "<div data-x=1/2>", "</div>", "</p>", "<!-- a > b <p> -->", "<!doctype html>", "<script>if(a<b){x='</p>'}</script>", "<style>a>b{}</style>", "<img alt='<p>'>", "<a href=x?a=1&b=2>", "</a>", "<ul><li>one<li>two</ul>", "<table><tr><td>x<td>y</table>", "<h2>", "</h2>", "<section\n id = s >", "</section>", "<hr>", "<P ID=a'b>", "<span/>"]
+    for _ in range(500):
+        source = "".join(r.choice(parts) for _ in range(r.randint(1, 40)))
+        want = Texts()
+        want.feed(source)
+        want.close()
+        got = " ".join(html_text.Page(source).texts.values())
+        assert "".join(got.split()) == "".join("".join(want.found).split()), source
+
+
+ARTICLE = "<article><h1>The title of it</h1><p>The article is here, and it is long enough to be one.</p></article>"
+
+
+@pytest.mark.parametrize("before", ["<p class=x'>", "<button>", "<form><button>Go</form>", "<select><option>a", "<svg>", "<svg><path d=x>", "<textarea>", "<title>x", "<noscript>", "<object>", "<canvas>", "<div title='a>b'>", '<a href="x>', "<![CDATA[ x ]]>", "<?php x ?>", "</>", "<!-->", "<!--->", "<!-- a --!>", "<button><button>x</button>", "<p " + "a='<b>' " * 100_000 + ">"])
+def test_what_is_not_closed_takes_nothing_along(before):
+    assert list(html_text.Page(before + ARTICLE).texts.values())[-2:] == ["The title of it", "The article is here, and it is long enough to be one."]
+
+
+@pytest.mark.parametrize("part", ['<a "x ', "<a 'x=\"", "<button>x", "<!-- ", "<p class=x'>t ", "<svg><p>", "</div>", "<div>t", "=\"'<", "<", "<a b=\"", "<script><!--", "<title>", "<td></div>"])
+def test_html_takes_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html_text.Forest([html_text.Page(part * (1_000_000 // len(part)))])
+    assert time.process_time() - began < 6
 
 
 @pytest.mark.parametrize("raw", [
@@ -165,6 +220,24 @@ def test_secrets(spark):
     assert secrets.scan_secrets(d.limit(0), training_lines=600).count() == 0
 
 
+def test_many_spans_in_one_text():
+    import time
+
+    w, t = secrets.train(600)
+    r = random.Random(2)
+    key = lambda: "ghp_" + "".join(r.choice("abcXYZ0123456789") for _ in range(36))
+    text = " ".join(f"é{r.randint(0, 9)} {key()} token={key()}" for _ in range(8000))
+    data, offs = flat(pa.array([text, "é " + key()], pa.large_string()))
+    began = time.process_time()
+    (one, two) = secrets.scan_chunk([1, 2], data, offs, w, t)
+    assert time.process_time() - began < 20 and one[1] == 8000
+    spans = [(x[0], int(x[1]), int(x[2])) for x in (s.split(":") for s in one[5].split(","))]
+    extra = [s for s in spans if s[0] == "crf"]
+    assert len(extra) > 6000 and all(a[2] <= b[1] for a, b in zip(extra, extra[1:]))
+    assert sum(text[a:z].startswith("ghp_") for _, a, z in extra) > 6000
+    assert secrets.apart([(0, 2, 3), (4, 6, 3), (7, 9, 3), (20, 30, 3)], [(1, 3, 0), (5, 8, 1), (6, 7, 2), (30, 31, 0)]) == [(20, 30, 3)]
+
+
 def test_secret_tagger():
     w, t = secrets.train(600)
     texts, spans = secrets.lines(300, 77)

@@ -1,11 +1,9 @@
-"""Shared plumbing: the scratch folder, written cuts, packed chunks of text, codecs."""
+"""Shared plumbing: written cuts, packed chunks of text, codecs."""
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -14,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.plans.iterate import remove_table, shared_dir
+
 CHUNK_BYTES = 2 << 20
 CHUNK_DOCS = 60_000
-CHUNK_SCHEMA = "chunk long, n_docs int, n_words long, ids binary, offs binary, body binary"
+CHUNK_SCHEMA = "chunk long, n_docs int, n_words long, ids binary, nulls binary, rows binary, offs binary, body binary"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -27,31 +27,60 @@ def worker_cache() -> dict:
     return pyspark.__dict__.setdefault("_weft_cache", {})
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; one of our own only where none is set (tests, single machine)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(shutil.rmtree, at, True)
-    return at.rstrip("/")
+TRAINED: dict = {}
+
+
+def in_a_task(spark: SparkSession, train, *args):
+    """What train(*args) returns, computed in one task of the cluster, so that its time and memory aren't the driver's; kept for later calls."""
+    key = (train.__module__, train.__qualname__, args)
+    if key not in TRAINED:
+
+        def run(batches):
+            for _ in batches:
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*args))], pa.binary())], names=["model"])
+
+        TRAINED[key] = pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first()[0])
+    return TRAINED[key]
+
 
+class Scratch:
+    """Tables of one call in the shared folder. Each ends the lineage of what it holds and survives a lost executor."""
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: ends the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.home, self.made = spark, f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}", 0
+        self.tables: list[tuple[str, DataFrame]] = []
 
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back."""
+        path = f"{self.home}/{self.made}-{name}"
+        self.made += 1
+        df.write.parquet(path)
+        done = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, done))
+        return done
 
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with ours."""
-    return df.select(*[df[f"`{n}`"] for n in names])
+    def keep(self, *kept: DataFrame) -> None:
+        """Delete all tables but these: what was made of the others is written itself."""
+        stay = [(p, t) for p, t in self.tables if any(t is k for k in kept)]
+        for path, _ in set(self.tables) - set(stay):
+            remove_table(self.spark, path)
+        self.tables = stay
 
 
-def as_id(column: str) -> Column:
-    return F.col(column).cast("long")
+def plain(docs: DataFrame) -> DataFrame:
+    """The rows with their columns named c0, c1, ..., so that no column, whatever its name, clashes with ours."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def pick(docs: DataFrame, **columns: str) -> DataFrame:
+    """The columns of these exact names, renamed: pick(docs, id="doc_id")."""
+    return plain(docs).select(*[F.col(f"c{docs.columns.index(c)}").alias(k) for k, c in columns.items()])
+
+
+def row_key(text: Column) -> Column:
+    """A hash of a text that tells apart rows of one id; 0 for null."""
+    return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text, F.length(text)))
 
 
 # == words as numpy arrays
@@ -216,10 +245,11 @@ def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
 # == chunks of documents
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
     """Documents in compressed chunks of about 2 MB: one row each, with a chunk number.
 
-    A null id is kept as the largest long; a null text is an empty one.
+    A null id is kept as the largest long and marked in `nulls` (empty where no id is null); a null text is an empty one.
+    with_rows: also each document's row_key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +260,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for b in batches:
             data, offs = flat(b.column(1))
             ids = b.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+            none = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            keys = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if with_rows else None
             at = 0
             while at < len(ids):
                 to = int(np.searchsorted(offs, offs[at] + CHUNK_BYTES))
@@ -237,14 +269,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 part, own = data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
                 n_words = len(word_spans(part, own)[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([base + seq], pa.int64()), pa.array([to - at], pa.int32()), pa.array([n_words], pa.int64()), *(pa.array([x], pa.binary()) for x in (enc(ids[at:to]), enc(own), enc(part)))],
-                    ["chunk", "n_docs", "n_words", "ids", "offs", "body"],
+                    [pa.array([base + seq], pa.int64()), pa.array([to - at], pa.int32()), pa.array([n_words], pa.int64()), *(pa.array([x], pa.binary()) for x in (enc(ids[at:to]), enc_bits(none[at:to]) if none[at:to].any() else b"", enc(keys[at:to]) if with_rows else b"", enc(own), enc(part)))],
+                    ["chunk", "n_docs", "n_words", "ids", "nulls", "rows", "offs", "body"],
                 )
                 seq += 1
                 at = to
 
-    two = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return two.mapInArrow(run, CHUNK_SCHEMA)
+    text = F.col("t").cast("string")
+    columns = pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long").alias("i"), text.alias("t"), *([row_key(text).alias("r")] if with_rows else []))
+    return columns.mapInArrow(run, CHUNK_SCHEMA)
 
 
 class Chunk:
@@ -253,6 +286,8 @@ class Chunk:
     def __init__(self, row: dict, lower: bool = False):
         self.chunk = row["chunk"]
         self.ids, self.offs = dec(row["ids"], np.int64), dec(row["offs"], np.int64)
+        self.null = dec_bits(row["nulls"], len(self.ids)) if row["nulls"] else np.zeros(len(self.ids), bool)
+        self.rows = dec(row["rows"], np.int64) if row["rows"] else np.zeros(len(self.ids), np.int64)
         self.data = dec(row["body"], np.uint8)
         if lower:
             self.data = LOWER[self.data]
@@ -260,6 +295,10 @@ class Chunk:
         self.counts = np.diff(self.words)
         self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
 
+    def real_ids(self) -> list:
+        """Ids as they were given, null as None."""
+        return [None if none else i for i, none in zip(self.ids.tolist(), self.null.tolist())]
+
     def hashes(self, family: int = 0) -> np.ndarray:
         return hash_words(self.data, self.starts, self.ends, family)
 

@@ -4,8 +4,9 @@ For every benchmark item of L words, every window of L consecutive words of ever
 by the exact weighted Jaccard similarity of the sets of word shingles. Items that share too little weight with a whole
 document can't pass in any of its windows; they are found by an inverted index of the items' shingles and skipped, which
 loses nothing. For the others, the weight of the distinct shingles of each window comes from running
-sums: a shingle counts in the windows that begin after its previous place. No fingerprint sifts the windows, as a
-radius that loses no pair would keep nearly all. Weights are whole multiples of 2^-24, so sums are exact in any order.
+sums: a shingle counts in the windows that begin after its previous place. No SimHash fingerprint sifts the windows: at a radius that
+loses no pair, tables of Hamming blocks bring up nearly all of them (README has the figures). Weights are whole multiples of 2^-24, so
+sums are exact in any order.
 
 The benchmark is used in blocks of a bounded number of items, each sent to the workers as a whole. Weights are those
 of the whole benchmark for every block, so results don't depend on how it is split; for that, the shingles of more than one item
@@ -15,7 +16,6 @@ are counted once and sent along (all others have one weight).
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import CHUNK_BYTES, LOWER, NO_ID, batch_of, flat, hash_words, mix, window_hash, word_spans
+from weft.llm.common import CHUNK_BYTES, LOWER, Scratch, batch_of, flat, hash_words, pick, row_key, window_hash, word_spans
 
 COUNTS = pa.schema([("s", pa.int64())])
 FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("at", pa.int64()), ("windows", pa.int64())])
@@ -32,16 +32,6 @@ SHINGLE = 3
 ONE = 1 << 24
 
 
-def bit_signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of 64 bits of each shingle."""
-    bits = np.unpackbits(mix(shingles + np.uint64(77)).view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.float32) * 2 - 1
-
-
-def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1).view(np.uint64)[:, 0]
-
-
 def shingled(texts: list[str]) -> list[tuple[int, np.ndarray]]:
     """Number of words and shingles of each text; a text of fewer than SHINGLE words is one shingle."""
     data, offs = flat(pa.array(texts, pa.large_string()))
@@ -137,11 +127,6 @@ class Index:
         self.full = np.array([self.known_w[x].sum() for x in self.own], np.int64)
         self.having = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
         self.bounds = np.searchsorted(np.sort(inverse), np.arange(len(self.known) + 1))
-        self.by_length = defaultdict(list)  # with SimHash fingerprints, which the search doesn't use
-        for (item, n, s), own, full in zip(kept, sets, self.full.tolist()):
-            w = self.weights.of(s).astype(np.float32)
-            print_ = int(packed((bit_signs(s) * w[:, None]).sum(0, keepdims=True))[0])
-            self.by_length[n].append((item, frozenset(own.tolist()), full, print_))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"weights": None}  # sent by themselves, once for all blocks
@@ -199,17 +184,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     3-word shingles of at least `threshold`. Items of fewer than 3 words are compared as a whole. Nulls: a null or blank text or item matches nothing; null ids are kept as null.
     Repeated rows give repeated pairs once each. Other columns are ignored; empty tables give an empty result.
     """
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("trim(t) <> ''")
+    items = pick(benchmark, i=item_col, t=item_text_col).select(F.col("i").cast("long").alias("i"), F.col("t").cast("string").alias("t")).where("trim(t) <> ''")
+    rows = pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long").alias("i"), F.col("t").cast("string").alias("t"))
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     blocks = max(1, math.ceil(count / ITEMS_PER_BLOCK), math.ceil(size / BYTES_PER_BLOCK))
+    context, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "decontamination")
     weights = Weights.of_table(items) if blocks > 1 else None
     common, result = None, None
     for k in range(blocks):
         # a bounded number of items at a time
-        rows = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()]
-        index = Index(rows, threshold, weights)
-        common = common or docs.sparkSession.sparkContext.broadcast(index.weights)
-        part = scan(docs, index, common, id_col, text_col).withColumn("block", F.lit(k)).distinct()
+        block = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()]
+        index = Index(block, threshold, weights)
+        common = common or context.broadcast(index.weights)
+        shared = context.broadcast(index)
+        part = scan(rows, shared, common, min(index.full.tolist(), default=0) * threshold).distinct()
+        if blocks > 1:
+            part = scratch.cut(part, "block")
+            shared.destroy()  # one block in memory at a time
         result = part if result is None else result.unionAll(part)
     if blocks > 1:
         # one row for an item id whose texts lie in several blocks, as within a block
@@ -218,9 +209,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return result.select(F.col("id").alias(id_col), F.col("row").alias("_row"), F.col("item").alias("item_id"), "similarity", "at", "windows")
 
 
-def scan(docs: DataFrame, index: Index, common: Broadcast, id_col: str, text_col: str) -> DataFrame:
-    least = min(index.full.tolist(), default=0) * index.threshold
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def scan(docs: DataFrame, shared: Broadcast, common: Broadcast, least: float) -> DataFrame:
+    """Pairs of the documents (i, t) and the items of one block."""
 
     def run(batches):
         idx = shared.value
@@ -246,6 +236,4 @@ def scan(docs: DataFrame, index: Index, common: Broadcast, id_col: str, text_col
                 at = to
             yield batch_of(FOUND, out)
 
-    text = F.col(f"`{text_col}`").cast("string")
-    three = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text, F.length(text)).alias("r"), text.alias("t"))
-    return three.mapInArrow(run, "id long, row long, item long, similarity double, at long, windows long")
+    return docs.select("i", row_key(F.col("t")).alias("r"), "t").mapInArrow(run, "id long, row long, item long, similarity double, at long, windows long")

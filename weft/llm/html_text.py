@@ -14,6 +14,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import batch_of
+from weft.llm.common import batch_of, in_a_task, pick
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+# Where markup begins; the rest of a tag up to its ">" is read by ATTRIBUTES, or by LOOSE where quotes aren't closed before the page ends.
+# No part of either is read twice, so a page takes time in proportion to its length.
+MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|(!--)|[!?/])")
+ATTRIBUTES = re.compile(r"""((?:[\s/]++|[^\s/>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""")
+LOOSE = re.compile(r"([^>]*+)>")
+COMMENT_END, EMPTY_COMMENT = re.compile(r"--!?>"), re.compile(r"-?>")
 #: Elements without content: of RAW_TEXT the inside is characters up to the end tag, of the others it is markup.
-RAW_TEXT = {"script", "style", "title", "textarea", "noscript", "iframe", "noframes", "xmp"}
-RAW = RAW_TEXT | {"template", "select", "button", "svg", "object", "canvas", "datalist"}
+RAW_TEXT = {"script", "style", "title", "textarea", "noscript", "iframe", "noframes", "noembed", "xmp"}
+RAW = {"template", "select", "button", "svg", "math", "foreignobject", "object", "canvas", "datalist", "audio", "video"}
+#: What can't stand in an element without content, so that it ends it.
+ENDS_PHRASE = set("article aside body footer form h1 h2 h3 h4 h5 h6 header main nav ol section table ul".split())
+#: An end tag doesn't reach beyond these, unless it is of a table's own parts.
+LIMITS = {"td", "th", "table", "template", "object"}
+TABLE_PARTS = {"table", "tr", "td", "th", "tbody", "thead", "tfoot"}
+MOST_DEPTH = 512
 SCRIPT = re.compile(r"<!--(?:-?>)?|-->|</?script(?=[\s/>])", re.I)
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "label", "legend", "head", "html", "body", "summary", "figcaption"} | {"li", "dd", "dt"}
@@ -45,22 +57,35 @@ N_FEATURES = sum(FIELDS)
 LETTER = re.compile(r"[^\W\d_]")
 
 
-@functools.lru_cache(100_000)
-def name_flags(attributes: str) -> tuple[int, ...]:
-    found = " ".join(a or b or c for a, b, c in re.findall(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", attributes, re.I))
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+
+
+@functools.lru_cache(20_000)
+def flags_of(attributes: str) -> tuple[int, ...]:
+    found = " ".join(a or b or c for a, b, c in NAMED.findall(attributes))
     words = re.sub(r"[^a-z0-9]+", " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())
     return tuple(int(bool(p.search(words))) for p in NAMES) if words.strip() else (0,) * N_NAMES
 
 
+def name_flags(attributes: str) -> tuple[int, ...]:
+    """Which kinds of names the attributes hold. Long ones aren't remembered."""
+    return (flags_of if len(attributes) < 1000 else flags_of.__wrapped__)(attributes) if "=" in attributes else (0,) * N_NAMES
+
+
+@functools.cache
+def end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
 def raw_end(source: str, tag: str, at: int) -> int | None:
-    """Where the text after the end tag of a raw text element begins that was opened before `at`; None without an end tag."""
-    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+    """Where the end tag of a raw text element begins that was opened before `at`; None without one."""
+    end = end_tag(tag).search(source, at)
     if not end:
         return None
     start = end.start()
-    if tag == "script" and "<!--" in source[at:start]:
+    if tag == "script" and source.find("<!--", at, start) >= 0:
         # inside a comment of a script, a script's own start and end tags are part of it
-        comment = inner = False
+        inner = comment = False
         for m in SCRIPT.finditer(source, at):
             what = m[0].lower()
             if what in ("-->", "<!-->", "<!--->"):
@@ -72,10 +97,8 @@ def raw_end(source: str, tag: str, at: int) -> int | None:
             elif inner:
                 inner = False
             else:
-                start = m.start()
-                break
-    whole = TOKEN.match(source, start)
-    return whole.end() if whole else (source.find(">", start) + 1 or len(source))
+                return m.start()
+    return start
 
 
 class Page:
@@ -88,8 +111,12 @@ class Page:
         self.texts: dict[int, str] = {}
         self.links: dict[int, float] = {}
         self.gold: dict[int, bool] = {}
-        stack, pieces, in_link, linked = [("#root", 0)], [], 0, 0
-        at, skip = 0, None
+        stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node, is its content left out?
+        open_tags: Counter = Counter()
+        next_end: dict[str, int] = {}
+        pieces: list[str] = []
+        in_link = linked = 0
+        at, rest_of_tag = 0, ATTRIBUTES
 
         def flush():
             nonlocal pieces, linked
@@ -103,74 +130,124 @@ class Page:
                         self.gold[node] = gold_word in text
                 pieces, linked = [], 0
 
+        def text_to(end: int):
+            nonlocal linked
+            if end > at and not stack[-1][2]:
+                piece = source[at:end]
+                piece = entities.unescape(piece) if "&" in piece else piece
+                pieces.append(piece)
+                if in_link:
+                    linked += len(piece)
+
         def pop_to(k: int):
             flush()
+            open_tags.subtract(t for t, _, _ in stack[k:])
             del stack[k:]
 
+        def ends_later(tag: str) -> bool:
+            if next_end.get(tag, -1) < at:
+                found = end_tag(tag).search(source, at)
+                next_end[tag] = found.start() if found else len(source) + 1
+            return next_end[tag] <= len(source)
+
+        def open_block(tag: str, attributes: str):
+            nonlocal in_link
+            for k in range(len(stack) - 1, 0, -1):
+                if not stack[k][2]:
+                    break
+                if stack[k][0] in ("select", "datalist", "svg", "math") or (stack[k][0] == "button" and tag in ENDS_PHRASE):
+                    pop_to(k)
+                elif stack[k][0] in ("template", "object", "foreignobject"):
+                    break
+            out = stack[-1][2]
+            if not out:
+                flush()
+                if tag in CLOSES_P:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] == "p":
+                            pop_to(k)
+                            break
+                        if stack[k][0] in ("td", "th", "table", "button", "li", "div", "section", "article"):
+                            break
+                if tag in CLOSES:
+                    same, limit = CLOSES[tag]
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] in same:
+                            pop_to(k)
+                            if tag != "tr":
+                                break
+                        elif stack[k][0] in limit:
+                            break
+            if tag != "hr":
+                in_link = 0 if tag in ("article", "main", "section") else in_link
+                stack.append((tag, stack[-1][1] if out else self.add(stack[-1][1], GROUPS.get(tag, GROUPS["other"]), name_flags(attributes)), out))
+                open_tags[tag] += 1
+
         pos = 0
-        while m := TOKEN.search(source, pos):
-            pos = m.end()
-            if skip is not None:
-                if m[2] and m[2].lower() in RAW_TEXT and not m[1] and not m[3].endswith("/"):
-                    pos = raw_end(source, m[2].lower(), pos) or pos
-                elif m[1] and m[2].lower() == skip:
-                    skip, at = None, m.end()
-                continue
-            if m.start() > at:
-                piece = source[at : m.start()]
-                piece = entities.unescape(piece) if "&" in piece else piece
-                pieces.append(piece)
-                if in_link:
-                    linked += len(piece)
+        while m := MARKUP.search(source, pos):
+            text_to(m.start())
             at = m.end()
             if not m[2]:
+                if m[3]:
+                    short = EMPTY_COMMENT.match(source, at) or COMMENT_END.search(source, at)
+                    pos = at = short.end() if short else len(source)
+                else:
+                    pos = at = source.find(">", at) + 1 or len(source)
                 continue
-            tag = m[2].lower()
-            if not m[1]:
-                if tag in RAW_TEXT and not m[3].endswith("/"):
-                    # raw text ends at its own end tag only, and nothing before that is a tag
-                    pos = at = raw_end(source, tag, at) or len(source)
-                elif tag in RAW and not m[3].endswith("/"):
-                    skip = tag
-                elif tag in BLOCK:
-                    flush()
-                    if tag in CLOSES_P:
-                        for k in range(len(stack) - 1, 0, -1):
-                            if stack[k][0] == "p":
-                                pop_to(k)
-                                break
-                            if stack[k][0] in ("td", "th", "table", "button", "li", "div", "section", "article"):
-                                break
-                    if tag in CLOSES:
-                        same, limit = CLOSES[tag]
+            tail = rest_of_tag.match(source, at)
+            if not tail and rest_of_tag is ATTRIBUTES:
+                rest_of_tag = LOOSE
+                tail = LOOSE.match(source, at)
+            if not tail:
+                at = len(source)  # the page ends within a tag
+                break
+            pos = at = tail.end()
+            tag, attributes = m[2].lower(), tail[1]
+            if m[1]:
+                if tag == "a":
+                    in_link = 0
+                elif open_tags[tag] > 0:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] == tag:
+                            pop_to(k)
+                            break
+                        if stack[k][0] in LIMITS and (stack[k][0] == "table" or tag not in TABLE_PARTS) and tag not in ("body", "html"):
+                            break
+                continue
+            empty = attributes[-1:] == "/" and attributes[-2:-1] in ("", " ", "\t", "\n", '"', "'")
+            if tag in RAW_TEXT:
+                if not empty and tag not in next_end:
+                    end = raw_end(source, tag, at)
+                    if end is not None:
+                        tail = ATTRIBUTES.match(source, end + 2 + len(tag)) or LOOSE.match(source, end)
+                        pos = at = tail.end() if tail else len(source)
+                    elif tag in ("script", "style"):
+                        pos = at = len(source)
+                    else:
+                        next_end[tag] = len(source) + 1  # never closed: as if it weren't there
+            elif tag in RAW:
+                if not empty and ends_later(tag):
+                    if tag in ("button", "select"):  # one in another ends that
                         for k in range(len(stack) - 1, 0, -1):
-                            if stack[k][0] in same:
+                            if stack[k][0] == tag:
                                 pop_to(k)
-                                if tag != "tr":
-                                    break
-                            elif stack[k][0] in limit:
+                            if not stack[k - 1][2]:
                                 break
-                    if tag != "hr":
-                        in_link = 0 if tag in ("article", "main", "section") else in_link
-                        stack.append((tag, self.add(stack[-1][1], GROUPS.get(tag, GROUPS["other"]), name_flags(m[3]))))
-                elif tag == "a":
-                    in_link = 1
-                elif tag in ("br", "img", "input", "wbr"):
-                    if tag != "wbr":
-                        pieces.append(" ")
-            elif tag == "a":
-                in_link = 0
+                    stack.append((tag, stack[-1][1], True))
+                    open_tags[tag] += 1
             elif tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
-                        break
-        if skip is None and at < len(source):
-            piece = entities.unescape(source[at:])
-            pieces.append(piece)
+                open_block(tag, attributes)
+            elif tag == "a":
+                in_link = 1
+            elif tag in ("br", "img", "input") and not stack[-1][2]:
+                pieces.append(" ")
+        text_to(len(source))
         flush()
 
     def add(self, parent: int, group: int, names: tuple[int, ...]) -> int:
+        """A new node; beyond MOST_DEPTH levels, as in browsers, its parent's sibling."""
+        if self.depth[parent] >= MOST_DEPTH:
+            parent = self.parent[parent]
         self.parent.append(parent)
         self.group.append(group)
         self.names.append(names)
@@ -208,7 +285,8 @@ class Forest:
         f[:, c + 3] = np.minimum(self.depth // 2, 4)
         own = f[np.maximum(self.parent, 0), 0]
         f[:, c + 4] = np.select([own == GROUPS["p"], own == GROUPS["li"], np.isin(own, [GROUPS["h1"], GROUPS["h2"]])], [1, 2, 3], 0)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max()) + 1)] if len(self.depth) else []
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 1)))[1:]
         # inside an article or main element; inside something named as boilerplate
         good, bad = np.isin(self.group, [GROUPS["article"], GROUPS["main"]]), np.zeros(len(f), bool)
         bad |= f[:, 1:10].any(1)
@@ -245,8 +323,11 @@ class Forest:
 # == labelled pages
 
 
-def page(r: random.Random) -> str:
-    """A generated page; every block of content holds the word zqx, and no other does."""
+LAYOUTS = ["article", "main", "main article", "div", "nested div", "section", "table", "columns", "bare", "itemprop", "unclosed"]
+
+
+def page(r: random.Random, layouts: list[str] = LAYOUTS) -> str:
+    """A generated page in one of the layouts; every block of content holds the word zqx, and no other does."""
     word = lambda: "".join(r.choice(["th", "er", "on", "an", "re", "he", "in", "é", "sch", "ou", "la", "ción"]) for _ in range(r.randint(1, 5)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     end = lambda: r.choice([".", ".", ".", "!", "?", "", ""])
@@ -297,17 +378,25 @@ def page(r: random.Random) -> str:
         body.append(maybe(0.02, notice))
     title = r.choice([f"<h1>{yes(1, 12)}</h1>", f"<header><h1>{yes(1, 10)}</h1></header>", f"<h1>{yes(1, 12)}</h1>", ""])
     inner = title + "".join(body) + maybe(0.12, share) + maybe(0.08, comments)
-    main = r.choice([f"<article>{inner}</article>", f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f"<div{cls('content', 'article', 'post', 'entry-content', 'main', 'story')}>{inner}</div>", f"<div{cls('content', 'main')}><div class='post'>{inner}</div>{maybe(0.3, side)}</div>", f"<section{cls('article', 'content')}>{inner}</section>"])
+    layout = r.choice(layouts + ["article", "article"] * ("article" in layouts))
+    main = {
+        "article": lambda: f"<article>{inner}</article>", "main": lambda: f"<main>{inner}</main>", "main article": lambda: f"<main role='main'><article{maybe(0.3, lambda: cls('post', 'entry', 'hentry'))}>{inner}</article></main>", "div": lambda: f"<div{cls('content', 'article', 'post', 'entry-content', 'main', 'story')}>{inner}</div>",
+        "nested div": lambda: f"<div{cls('content', 'main', 'page', 'wrapper')}><div class='post'>{inner}</div>{maybe(0.3, side)}</div>", "section": lambda: f"<section{cls('article', 'content')}>{inner}</section>",
+        "table": lambda: f"<table{maybe(0.5, lambda: cls('layout', 'wrapper'))}><tr><td{cls('menu', 'nav', 'left')}><ul>{items()}</ul></td><td{maybe(0.7, lambda: cls('content', 'main', 'body'))}>{inner}</td></tr></table>",
+        "columns": lambda: f"<div class='container'><div class='row'><div class='col-8'>{inner}</div><div class='col-4 sidebar'><h3>{words(1, 3)}</h3><ul>{items()}</ul></div></div></div>", "bare": lambda: inner,
+        "itemprop": lambda: f"<div itemscope><div itemprop='articleBody'>{inner}</div></div>", "unclosed": lambda: f"<div id=main class='content x'><article>{inner}",
+    }[layout]()
     before = maybe(0.6, nav) + maybe(0.4, header) + maybe(0.4, ad) + maybe(0.3, notice) + maybe(0.1, form) + maybe(0.2, side)
     after = maybe(0.25, comments) + maybe(0.3, side) + maybe(0.2, ad) + maybe(0.15, form) + maybe(0.1, notice) + maybe(0.7, footer)
-    return f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style><script>var t=\"</p>\";</script></head><body>{before}<!-- x -->{main}{after}" + r.choice(["</body></html>", ""])
+    script = lambda: r.choice(["<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>var t=\"</p>\";</script>", "<script>if(a<b&&c>d){s='<div class=x>'}</script>", "<script><!-- x<y --></script>", "<style>a>b{content:'<p>'}</style>", "<noscript><p>no</p></noscript>", "<svg><title>x</title><path d='M0'/></svg>", "<!-- <p>old</p> <!-- -->", "<template><p>t</p></template>", ""])
+    return f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style>{script()}</head><body>{script()}{before}<!-- x -->{main}{script()}{after}" + r.choice(["</body></html>", ""])
 
 
 @functools.cache
-def train(count: int = 1500, rounds: int = 120, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(count: int = 1500, rounds: int = 120, seed: int = 3, layouts: tuple[str, ...] = tuple(LAYOUTS)) -> tuple[np.ndarray, np.ndarray]:
     """(unary weights, pairwise potentials by the child's group) from `count` generated pages."""
     r = random.Random(seed)
-    pages = [Page(page(r), "zqx") for _ in range(count)]
+    pages = [Page(page(r, list(layouts)), "zqx") for _ in range(count)]
     forest = Forest(pages)
     y = np.zeros(len(forest.parent), np.int64)
     y[[forest.base[i] + k for i, p in enumerate(pages) for k, v in p.gold.items() if v]] = 1
@@ -321,8 +410,7 @@ def train(count: int = 1500, rounds: int = 120, seed: int = 3) -> tuple[np.ndarr
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(pair), np.zeros_like(pair)]
     for k in range(1, rounds + 1):
         marginal, edge = forest.marginals(w, pair)
-        g = np.zeros(N_FEATURES)
-        np.add.at(g, forest.features, np.repeat((y - marginal)[:, None], forest.features.shape[1], 1))
+        g = np.bincount(forest.features.ravel(), np.repeat(y - marginal, forest.features.shape[1]), N_FEATURES)
         expect = np.zeros_like(pair)
         np.add.at(expect, group, edge[child])
         for i, (p, d) in enumerate(((w, g - 0.5 * w), (pair, seen - expect - 0.5 * pair))):
@@ -353,7 +441,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     repeated rows. Whole pages are read. Other columns are ignored; an empty table gives an empty result. The model is trained
     on `training_pages` generated pages (a bound that doesn't depend on the data).
     """
-    w, pair = train(training_pages)
+    w, pair = in_a_task(pages.sparkSession, train, training_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,5 +451,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 texts = main_texts([x or "" for x in part.column(2).to_pylist()], w, pair)
                 yield batch_of(RESULT, [(i, u, t, len(t)) for i, u, t in zip(ids, urls, texts)])
 
-    three = pages.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{url_col}`").cast("string").alias("u"), F.col(f"`{html_col}`").cast("string").alias("h"))
-    return three.mapInArrow(run, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    three = pick(pages, i=id_col, u=url_col, h=html_col).select(F.col("i").cast("long").alias("i"), F.col("u").cast("string").alias("u"), F.col("h").cast("string").alias("h"))
+    return three.mapInArrow(run, "id long, url string, text string, n_chars long").toDF(id_col, url_col, "text", "n_chars")

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import (NO_ID, Chunk, batch_of, batch_rows, cut, dec, dec_bits, dec_sorted, enc, enc_bits, enc_sorted, hash_words, mix, pack, parts_of, table_of, window_hash)
+from weft.llm.common import (Chunk, Scratch, batch_of, batch_rows, dec, dec_bits, dec_sorted, enc, enc_bits, enc_sorted, hash_words, mix, pack, parts_of, table_of, window_hash)
 from weft.llm.substring_dedup import ddl, slices
 from weft.operators.components import star_components
 
-MEMBERS = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("cid", pa.int64()), ("vector", pa.binary())])
+MEMBERS = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("cid", pa.int64()), ("vector", pa.binary())])
 SIGNATURES = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("at", pa.binary()), ("high", pa.binary())])
 BLOCKS = pa.schema([("pairwise", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -138,13 +138,6 @@ def vector(s: np.ndarray) -> np.ndarray:
     return out.astype(np.int64).astype(np.uint8)
 
 
-def differing(a: np.ndarray, b: np.ndarray) -> int:
-    """Partitions that surely differ; vectors of different sizes are folded to the smaller."""
-    if len(a) < len(b):
-        a, b = b, a
-    return int((a.reshape(-1, len(b)).sum(0, dtype=np.uint8) != b).sum())
-
-
 def candidates(table: pa.Table) -> pa.Table:
     """Pairs of classes with a common signature in one part; big groups as blocks."""
     rows = [r for b in table.to_batches() for r in batch_rows(b)]
@@ -188,14 +181,7 @@ def expand(batches):
             yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(top[keep])], schema=PAIRS)
 
 
-def shared_elements(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
-
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, sigs_per_part: int = 2_000_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, sigs_per_part: int = 2_000_000, representatives: bool = False) -> DataFrame:
     """Link documents whose sets of distinct n-word shingles have a Jaccard similarity of at least percent / 100.
 
     Returns one row per input row: id, n_shingles (size of its set), n_similar (other rows linked directly,
@@ -204,23 +190,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one shingle; a null, empty or blank text has none, n_similar 0, and its own id as component. Repeated rows
     are separate documents with equal sets. A null id is never the smallest unless all in its component are null.
     Other columns are ignored; an empty table gives an empty result.
+
+    representatives: two more columns, row_key (common.row_key of the text, which tells apart rows of one id) and is_first: is the row the first of its
+    component by (id, null last; row_key)? Rows equal in both are first together; rows without a set are always.
     """
-    packed = cut(pack(docs, id_col, text_col), "jaccard-text")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    cut = scratch.cut
+    packed = cut(pack(docs, id_col, text_col, representatives), "text")
 
     def members(batches):
         for b in batches:
             for row in batch_rows(b):
                 c = Chunk(row, lower=True)
                 out = []
-                for i, (doc, s) in enumerate(zip(c.ids.tolist(), ngram_sets(c, n))):
+                for i, (doc, key, s) in enumerate(zip(c.real_ids(), c.rows.tolist(), ngram_sets(c, n))):
                     with np.errstate(over="ignore"):
                         a, z = (np.sum(mix(s + np.uint64(k))) for k in (1, 2)) if len(s) else (0, 0)
-                    out.append((int(np.uint64(a).astype(np.int64)), int(np.uint64(z).astype(np.int64)), len(s), None if doc == NO_ID else doc, (row["chunk"] << 16) | i, vector(s).tobytes()))
+                    out.append((int(np.uint64(a).astype(np.int64)), int(np.uint64(z).astype(np.int64)), len(s), doc, key, (row["chunk"] << 16) | i, vector(s).tobytes()))
                 yield batch_of(MEMBERS, out)
 
-    member = cut(packed.mapInArrow(members, ddl(MEMBERS)), "jaccard-members")
-    classes = member.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("cid").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = cut(classes, "jaccard-classes")
+    member = cut(packed.mapInArrow(members, ddl(MEMBERS)), "members")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = member.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("cid").alias("cid"), F.min("id").alias("least"), F.min(place).alias("lead"), F.count("*").alias("copies"))
+    classes = cut(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(12, math.ceil(total * 0.8 / sigs_per_part))
     chosen = classes.select(F.expr("cid >> 16").alias("chunk"), F.expr("cast(cid & 65535 as int)").alias("i")).groupBy("chunk").agg(F.collect_list("i").alias("at"))
@@ -240,54 +232,79 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sigs = packed.join(chosen.hint("shuffle_hash"), "chunk").mapInArrow(emit, ddl(SIGNATURES))
     blocks = sigs.groupBy("part").applyInArrow(candidates, ddl(BLOCKS)).repartition(parts)
-    pairs = cut(blocks.mapInArrow(expand, ddl(PAIRS)).distinct(), "jaccard-pairs")
-    likely = cut(compared(member, pairs, percent), "jaccard-likely")
-    links = cut(verified(packed, likely, n, percent), "jaccard-links")
+    pairs = cut(blocks.mapInArrow(expand, ddl(PAIRS)).distinct(), "pairs")
+    likely = cut(compared(scratch, member, pairs, percent), "likely")
+    scratch.keep(packed, member, classes, likely)
+    links = cut(verified(scratch, packed, likely, n, percent), "links")
+    scratch.keep(member, classes, links)
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("cid").alias("b"), "copies")
-    degree = both.join(copies, "b").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("near"))
+    degree = both.join(copies.hint("merge"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("near"))
     groups = star_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), cut)
-    placed = classes.join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = placed.join(names, "component").join(degree, "cid", "left")
-    known = known.select("set_a", "set_b", "n", F.expr("copies - 1 + coalesce(near, 0)").alias("n_similar"), "component_id")
-    done = member.join(known, ["set_a", "set_b", "n"], "left")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = classes.join(groups.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.min("lead").alias("first"))
+    known = placed.join(names.hint("merge"), "component").join(degree.hint("merge"), "cid", "left")
+    known = cut(known.select("set_a", "set_b", "n", F.expr("copies - 1 + coalesce(near, 0)").alias("n_similar"), "component_id", "first"), "known")
+    scratch.keep(member, known)
+    done = member.join(known.hint("merge"), ["set_a", "set_b", "n"], "left")
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")]
+    return done.select(*columns, *([F.col("row").alias("row_key"), ((F.col("n") == 0) | (place == F.col("first"))).alias("is_first")] if representatives else []))
 
 
-def keyed_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def keyed_pairs(scratch: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs with the key of the task that handles them, and (task, cid) of what each task needs to know. Pairs are grouped at
     the smallest partner of their lower class, in a grid of tasks where there are many."""
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     root = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("root"))
-    rooted = pairs.join(root, "a")
+    rooted = pairs.join(root.hint("merge"), "a")
     grid = rooted.groupBy("root").agg(F.expr(f"cast(ceil(sqrt(count(*) / {CELL_PAIRS})) as int)").alias("grid"))
-    keyed = rooted.join(grid, "root").select("a", "b", F.expr("xxhash64(root, pmod(xxhash64(a), grid), pmod(xxhash64(b), grid))").alias("key"))
-    keyed = cut(keyed, "jaccard-keyed")
+    keyed = rooted.join(grid.hint("merge"), "root").select("a", "b", F.expr("xxhash64(root, pmod(xxhash64(a), grid), pmod(xxhash64(b), grid))").alias("key"))
+    keyed = scratch.cut(keyed, "keyed")
     return keyed, keyed.select(F.col("key").alias("task"), F.col("a").alias("cid")).unionAll(keyed.select("key", F.col("b").alias("cid"))).distinct()
 
 
-def compared(member: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def ranks(pair: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both ends of the pairs, as places in the sorted ids, and the order that sorts them."""
+    order = np.argsort(ids)
+    return order, *(np.searchsorted(ids[order], pair[c].to_numpy()) for c in ("a", "b"))
+
+
+def kept_pairs(pair: pa.Table, keep: np.ndarray) -> pa.Table:
+    return pair.select(["a", "b"]).filter(pa.array(keep)).cast(PAIRS)
+
+
+def compared(scratch: Scratch, member: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and vectors leave it possible that they are similar."""
-    keyed, needs = keyed_pairs(pairs)
-    bodies = needs.join(member.select("cid", "n", "vector"), "cid")
+    keyed, needs = keyed_pairs(scratch, pairs)
+    bodies = needs.join(member.select("cid", "n", "vector").hint("shuffle_hash"), "cid")
 
     def check(pair: pa.Table, body: pa.Table) -> pa.Table:
-        size = dict(zip(body["cid"].to_pylist(), body["n"].to_pylist()))
-        known = {i: np.frombuffer(x, np.uint8) for i, x in zip(body["cid"].to_pylist(), body["vector"].to_pylist())}
-        out = []
-        for a, b in zip(pair["a"].to_pylist(), pair["b"].to_pylist()):
-            x, y = size[a], size[b]
-            if 100 * min(x, y) >= percent * max(x, y) and differing(known[a], known[b]) <= (x + y) * (100 - percent) // (100 + percent):
-                out.append((a, b))
-        return table_of(PAIRS, out)
+        order, a, b = ranks(pair, body["cid"].to_numpy())
+        size = body["n"].to_numpy()[order]
+        x, y = size[a], size[b]
+        keep = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        most = (x + y) * (100 - percent) // (100 + percent)
+        vectors = body["vector"].to_pylist()
+        level = np.array([len(vectors[i]) for i in order], np.int64)
+        # vectors of one length are rows of a matrix; a pair is compared at the shorter of its two lengths
+        for k in np.unique(np.minimum(level[a], level[b])[keep]).tolist() if keep.any() else []:
+            at = np.flatnonzero(keep & (np.minimum(level[a], level[b]) == k))
+            used = np.unique(np.concatenate([a[at], b[at]]))
+            rows = np.stack([np.frombuffer(vectors[order[i]], np.uint8).reshape(-1, k).sum(0, dtype=np.uint8) for i in used])
+            left, right = np.searchsorted(used, a[at]), np.searchsorted(used, b[at])
+            step = max(1, (8 << 20) // k)
+            for lo in range(0, len(at), step):
+                part = slice(lo, lo + step)
+                differ = (rows[left[part]] != rows[right[part]]).sum(1)
+                keep[at[part]] &= differ <= most[at[part]]
+        return kept_pairs(pair, keep)
 
     return keyed.groupBy("key").cogroup(bodies.groupBy("task")).applyInArrow(check, ddl(PAIRS))
 
 
-def verified(packed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(scratch: Scratch, packed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that are similar enough, by their whole sets."""
-    keyed, needs = keyed_pairs(pairs)
+    keyed, needs = keyed_pairs(scratch, pairs)
     needs = needs.groupBy(F.expr("cid >> 16").alias("chunk")).agg(F.collect_list(F.struct(F.expr("cid & 65535").alias("i"), F.col("task").alias("key"))).alias("needs"))
 
     def bodies(batches):
@@ -308,15 +325,25 @@ def verified(packed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     sets = packed.join(needs.hint("shuffle_hash"), "chunk").mapInArrow(bodies, ddl(SETS))
 
     def check(pair: pa.Table, body: pa.Table) -> pa.Table:
-        known = {i: dec_sorted(x) for i, x in zip(body["cid"].to_pylist(), body["body"].to_pylist())}
-        out = []
-        for a, b in zip(pair["a"].to_pylist(), pair["b"].to_pylist()):
-            x, y = known[a], known[b]
-            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                k = shared_elements(x, y)
-                if 100 * k >= percent * (len(x) + len(y) - k):
-                    out.append((a, b))
-        return table_of(PAIRS, out)
+        order, a, b = ranks(pair, body["cid"].to_numpy())
+        blobs = body["body"].to_pylist()
+        known = [dec_sorted(blobs[i]) for i in order]
+        size = np.array([len(x) for x in known], np.int64)
+        keep = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        at = np.flatnonzero(keep)
+        at = at[np.argsort(a[at], kind="stable")]
+        for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.append(np.flatnonzero(np.diff(a[at], prepend=-1)), len(at)).tolist())):
+            # one set against all of its partners, a bounded number of elements at a time
+            own, mine = known[a[at[lo]]], at[lo:hi]
+            ends = np.cumsum(size[b[mine]])
+            while len(mine):
+                k = max(1, int(np.searchsorted(ends, (ends[0] - size[b[mine[0]]]) + (1 << 20))))
+                part, mine, ends = mine[:k], mine[k:], ends[k:]
+                every = np.concatenate([known[i] for i in b[part]])
+                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[b[part]]) - size[b[part]])
+                keep[part] = 100 * shared >= percent * (len(own) + size[b[part]] - shared)
+        return kept_pairs(pair, keep)
 
     return keyed.groupBy("key").cogroup(sets.groupBy("key")).applyInArrow(check, ddl(PAIRS))
 

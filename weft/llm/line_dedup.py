@@ -7,7 +7,7 @@ place of that run. Fingerprints that occur once are dropped; at the places of th
 are extended both ways: each window of `run` lines around the fingerprint is compared by a
 128-bit hash with the earliest place that has the same lines, and
 overlapping matched windows make up the maximal run. All but the earliest
-copy are deleted. Where asked for, a single long line is a run of its own beside these.
+copy are deleted. A single long line is a run of its own beside these.
 
 Places are grouped by aggregates with map-side combine and never listed pair by pair, so
 a line that a third of all documents share costs one row a task.
@@ -18,40 +18,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import NO_ID, cut
+from weft.llm.common import NO_ID, Scratch, plain, row_key
 
 BLANKS = " \t\r\x0b\x0c"
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id (null: largest), _row (hash of the text, which tells apart rows of one id) and _lines."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NO_ID))), "_row": F.xxhash64(text, F.length(text)), "_lines": F.split(text, "\n", -1)})
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gram: int = 1, long_words: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gram: int = 1, long_words: int | None = 51) -> DataFrame:
     """The input rows with columns n_lines, n_removed and kept_text added.
 
     A line is deleted if it lies in a run of `run` consecutive non-blank lines that also
     starts at an earlier place, by (id, line number); lines are compared without the white space
     around them. A document of fewer non-blank lines counts as one run and is compared with other such
-    documents. With `long_words`, a line of at least so many words is also deleted wherever it stands, in documents of
-    any number of lines, if it stands at an earlier place too. Blank lines are never deleted, except that a document left with no other lines is empty.
-    Nulls: a null text has one blank line and stays null; null ids come after all ids; rows of equal
-    id (repeated rows) aren't earlier than each other. All other columns are kept as they are;
-    existing columns n_lines, n_removed and kept_text are replaced.
+    documents. A line of at least `long_words` words is also deleted wherever it stands, in documents of
+    any number of lines, if it stands at an earlier place too (None: no such rule). Blank lines are never deleted, except that a document left with no other lines is empty.
+    Nulls: a null text has one blank line and stays null; null ids come after all ids, together with the largest long; rows of equal
+    id (repeated rows) aren't earlier than each other. All other columns are kept as they are, whatever their names;
+    existing columns n_lines, n_removed and kept_text are replaced. An empty table gives an empty result.
     """
     if not 1 <= gram <= run:
         raise ValueError("needs 1 <= gram <= run")
     if long_words is not None and long_words < 1:
         raise ValueError("needs long_words >= 1")
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.drop("n_lines", "n_removed", "kept_text")
-    base = keyed(docs, id_col, text_col)
-    solid = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("s"))), lambda y: y.s != "")
-    lines = base.select("_id", "_row", solid.alias("y")).where("size(y) > 0")
+    text = F.col(f"c{docs.columns.index(text_col)}").cast("string")
+    # k_row tells apart rows of one id
+    base = plain(docs).withColumns({"k_id": F.coalesce(F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.lit(int(NO_ID))), "k_row": row_key(text)})
+    solid = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("s"))), lambda y: y.s != "")
+    lines = base.select("k_id", "k_row", solid.alias("y")).where("size(y) > 0")
     many = lambda z: (F.length(z.s) >= 2 * long_words - 1) & (F.size(F.split(z.s, f"[{BLANKS}]+")) >= long_words)
     mark = [F.transform("y", many).alias("m")] if long_words else []
-    lines = lines.select("_id", "_row", F.expr("transform(y, z -> z.i)").alias("at"), F.transform("y", lambda z: F.xxhash64(z.s)).alias("h"), F.transform("y", lambda z: F.xxhash64(F.lit(7), z.s)).alias("g"), *mark)
+    lines = lines.select("k_id", "k_row", F.expr("transform(y, z -> z.i)").alias("at"), F.transform("y", lambda z: F.xxhash64(z.s)).alias("h"), F.transform("y", lambda z: F.xxhash64(F.lit(7), z.s)).alias("g"), *mark)
     lines = lines.withColumn("n", F.size("h"))
     grams = F.expr("h" if gram == 1 else f"transform(sequence(0, n - {gram}), j -> xxhash64(slice(h, j + 1, {gram})))")
     width = run - gram + 1
@@ -60,24 +57,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         j + cast({width} - array_position(reverse(slice(k, j + 1, {width})), array_min(slice(k, j + 1, {width}))) as int) as p,
         xxhash64(slice(h, j + 1, {run})) as a, xxhash64(7, slice(g, j + 1, {run})) as b, slice(at, j + 1, {run}) as at))"""
     short = "array(struct(xxhash64(n, h) as f, 0 as p, xxhash64(n, h) as a, xxhash64(7, n, g) as b, at as at))"
-    long = lines.where(f"n >= {run}").withColumn("k", grams).select("_id", "_row", F.explode(F.expr(window)).alias("w"))
-    few = lines.where(f"n < {run}").select("_id", "_row", F.explode(F.expr(short)).alias("w"))
+    long = lines.where(f"n >= {run}").withColumn("k", grams).select("k_id", "k_row", F.explode(F.expr(window)).alias("w"))
+    few = lines.where(f"n < {run}").select("k_id", "k_row", F.explode(F.expr(short)).alias("w"))
     found = long.unionAll(few)
     if long_words:
         alone = "transform(filter(sequence(0, n - 1), j -> m[j]), j -> struct(xxhash64(11, h[j]) as f, j as p, xxhash64(11, h[j]) as a, xxhash64(7, 11, g[j]) as b, array(at[j]) as at))"
-        found = found.unionAll(lines.select("_id", "_row", F.explode(F.expr(alone)).alias("w")))
-    windows = cut(found.select("_id", "_row", "w.*"), "line-windows")
-    places = windows.select("_id", "_row", "p", "f").distinct()
+        found = found.unionAll(lines.select("k_id", "k_row", F.explode(F.expr(alone)).alias("w")))
+    windows = scratch.cut(found.select("k_id", "k_row", "w.*"), "windows")
+    places = windows.select("k_id", "k_row", "p", "f").distinct()
     again = places.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
     near = windows.join(again, "f", "left_semi")
-    firsts = near.groupBy("a", "b").agg(F.min(F.struct("_id", F.expr("at[0]").alias("i"))).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    late = near.join(firsts, ["a", "b"]).where("struct(_id, at[0]) > first")
-    gone = late.select("_id", "_row", F.explode("at").alias("i")).groupBy("_id", "_row").agg(F.collect_set("i").alias("_gone"))
-    done = base.join(gone.hint("shuffle_hash"), ["_id", "_row"], "left").withColumn("_solid", F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(BLANKS)) != "")))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> element_at(_lines, i + 1)), '\n')")
-    done = done.withColumns({"n_lines": F.size("_lines").cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    done = done.withColumn("kept_text", F.when(F.col("n_removed") == 0, F.col(f"`{text_col}`").cast("string")).when(F.col("n_removed") == F.col("_solid"), F.lit("")).otherwise(kept))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed", "kept_text")
+    firsts = near.groupBy("a", "b").agg(F.min(F.struct("k_id", F.expr("at[0]").alias("i"))).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    late = near.join(firsts, ["a", "b"]).where("struct(k_id, at[0]) > first")
+    gone = scratch.cut(late.select("k_id", "k_row", F.explode("at").alias("i")).groupBy("k_id", "k_row").agg(F.collect_set("i").alias("gone")), "gone")
+    scratch.keep(gone)
+    # texts are split again after the join, so that they move once and whole
+    done = base.join(gone.hint("shuffle_hash"), ["k_id", "k_row"], "left").withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    every = F.split(text, "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "gone"), lambda i: F.get(every, i))
+    rest = F.when(F.exists(left, lambda x: F.btrim(x, F.lit(BLANKS)) != ""), F.array_join(left, "\n")).otherwise(F.lit(""))
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
+    kept = F.when(F.col("n_removed") == 0, text).otherwise(rest)
+    return done.select(*[f"c{i}" for i in range(len(docs.columns))], n_lines, "n_removed", kept).toDF(*docs.columns, "n_lines", "n_removed", "kept_text")
 
 
 SQL = r"""
@@ -86,7 +87,8 @@ solid as (select doc_id, i, trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(1
 runs as (select doc_id, i, s, lead(i) over w as i2, lead(s) over w as s2, count(*) over (partition by doc_id) as n from solid window w as (partition by doc_id order by i)),
 keys as (select doc_id, i, i2, n > 1 as two, s || case when n > 1 then chr(10) || s2 else '' end as k from runs where n = 1 or s2 is not null),
 late as (select * from (select *, min((doc_id, i)) over (partition by two, k) as f from keys) where (doc_id, i) > f),
-gone as (select doc_id, i from late union select doc_id, i2 from late where i2 is not null),
+alone as (select doc_id, i, min((doc_id, i)) over (partition by s) as f from solid where length(s) > 100 and len(string_split_regex(s, '[\x20\x09\x0D\x0B\x0C]+')) >= 51),
+gone as (select doc_id, i from late union select doc_id, i2 from late where i2 is not null union select doc_id, i from alone where (doc_id, i) > f),
 kept as (select l.doc_id, string_agg(l.l, chr(10) order by l.i) as t, count(*) as n_kept from lines l anti join gone g using (doc_id, i) group by l.doc_id),
 counts as (select doc_id, count(*) as n_lines from lines group by doc_id),
 solids as (select doc_id, count(*) as n_solid from solid group by doc_id),

@@ -5,36 +5,55 @@ weight; within a source, ascending keys are a weighted random order without repl
 target is met by complete passes over it, then by documents in key order up to the words that
 remain (the last of them in part).
 
-Prefix sums don't need a source in one task: words are summed by (source, key bucket), which
-combines before the shuffle; only the documents of the one bucket in which a source's budget ends
-are sorted.
+Prefix sums don't need a source in one task: words are summed by (source, leading bits of the key), which
+combines before the shuffle, and only the bucket in which a source's budget ends is looked at again, by further
+bits of the key, then of the id, the size and a tie-breaker, until few rows are left in it. Those alone are sorted.
+Any weights and any number of equal keys are split like this.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut
+from weft.llm.common import Scratch, pick
 
-BUCKETS = 4096
 JUNK = "0123456789#$%&*@^~|<>{}[]\\=+_"
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 20_000
+EDGE_ROWS = 200_000
+# What orders the documents of a source, and the shifts at which prefixes of it make buckets: at most 2 ** 20 of them.
+LEVELS = [("key", 42), ("key", 26), ("key", 10), ("key", 0), ("no_id", 0), ("id_bits", 44), ("id_bits", 26), ("id_bits", 8), ("id_bits", 0), ("size", 16), ("size", 0), ("tie", 44), ("tie", 26), ("tie", 8), ("tie", 0)]
 
 
 def quality_weight(text: Column) -> Column:
-    """Squared share of characters that are neither digits nor symbols, 0.05 at least."""
+    """Squared share of characters that are neither digits nor symbols, 0.05 at least. Labels of quality exist for some documents
+    only, and a mix needs a weight for each, so the weight is made of the text alone; callers may give another."""
     n = F.length(text)
     return F.greatest(F.lit(0.05), F.when(n == 0, 0.05).otherwise(F.pow(F.length(F.translate(text, JUNK, "")) / n, F.lit(2))))
 
 
-def source_targets(sizes: DataFrame, ratio: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
+def water_level(sizes: np.ndarray, w: np.ndarray, ratio: float, cap: float) -> float:
+    """The level at which sum(min(w * level, cap * size)) is ratio x all sizes; each round fills up at least one more source."""
+    total, level = float(sizes.sum()), 0.0
+    while True:
+        full = w * level > cap * sizes
+        open_ = float(w[~full].sum())
+        now = (ratio * total - float((cap * sizes[full]).sum())) / open_ if open_ else level
+        if now <= level * (1 + 1e-15):
+            return level
+        level = now
+
+
+def source_targets(scratch: Scratch, sizes: DataFrame, ratio: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
     """(source, source_size, target): sources in code point order, null last, weigh `weights` in turn and share
     ratio x all words; what exceeds cap x a source's size is shared among the others by weight."""
     # a global rank without a single-task window: range partitions, then an offset for each
     ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
-    ranged = cut(ranged.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "mix-rank")
+    ranged = scratch.cut(ranged.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "rank")
     before, offsets = 0, []
     for p, c in sorted(ranged.groupBy("p").count().collect()):  # as many rows as partitions
         offsets.append((p, before))
@@ -42,49 +61,89 @@ def source_targets(sizes: DataFrame, ratio: float, cap: float, weights: tuple[fl
     starts = F.create_map(*[F.lit(x) for o in offsets for x in o]) if offsets else F.lit(None)
     rank = F.col("k") + (F.element_at(starts, F.col("p")) if offsets else F.lit(0))
     table = ranged.select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int")).alias("w"))
-    total = table.agg(F.sum("source_size")).first()[0] or 0
-    level, most = 0.0, F.col("source_size") * cap
-    for _ in range(10_000):
-        full = F.col("w") * level > most
-        taken, open_ = table.agg(F.sum(F.when(full, most).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
-        now = (ratio * total - (taken or 0.0)) / open_ if open_ else level
-        if now <= level * (1 + 1e-15):
-            break
-        level = now
+    most = F.col("source_size") * cap
+    if before <= BROADCAST_SOURCES:
+        few = table.select("source_size", "w").toArrow()  # a bounded number of pairs
+        level = water_level(few["source_size"].to_numpy().astype(float), few["w"].to_numpy(), ratio, cap)
+    else:  # the same rounds, one aggregate each
+        total, level = table.agg(F.sum("source_size")).first()[0], 0.0
+        while True:
+            full = F.col("w") * level > most
+            taken, open_ = table.agg(F.sum(F.when(full, most).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+            now = (ratio * total - taken) / open_ if open_ else level
+            if now <= level * (1 + 1e-15):
+                break
+            level = now
     return table.select("source", "source_size", F.least(F.col("w") * level, most).cast("double").alias("target"))
 
 
+def prefix(depth: int) -> list[Column]:
+    """The parts of a row's place that the first `depth` levels tell."""
+    finest = dict(LEVELS[:depth])
+    return [F.shiftright(F.col(c), s).alias(c) for c, s in finest.items()]
+
+
+def at_source(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows with the columns of their source's plan (source in s)."""
+    if few:
+        return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
+    # many sources: a salted join, as one source may hold a third of all rows
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return rows.withColumn("salt_", F.pmod(F.col("tie"), F.lit(32))).join(salted.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("salt_") == F.col("salt"))).drop("salt_", "salt")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, ratio: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 42) -> DataFrame:
     """One row per input row: id, source, size (words), source_size, target (of its source), taken (words the mix takes).
 
     taken sums up to each source's target, less at most one word; it never exceeds (whole passes + 1) x size.
-    Nulls: a null text has size 0; null sources form one source, after all others; a null id is hashed
-    like any other value. Ties and repeated rows share a key and are taken in order of (id, size). Other columns are
-    ignored. An empty table gives an empty result.
+    weight: an expression over the columns of docs, positive. Nulls: a null text has size 0; null sources form one source, after all others; a null id is hashed
+    like any other value and comes after all ids. Ties and repeated rows share a key and are taken in order of (id, size); rows equal in all of that
+    are interchangeable. Other columns are ignored. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    weight = quality_weight(text) if weight is None else weight
-    unit = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") + 1) / F.lit(float(2**48 + 1))
-    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(unit) / weight).alias("z"))
-    sized = cut(sized.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("z"))))).cast("int")), "mix-sized")
-    buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), ratio, cap, weights)
+    scratch = Scratch(docs.sparkSession, "mix")
+    if weight is not None:
+        docs = docs.select("*", weight.cast("double").alias("weft weight"))
+    rows = pick(docs, id=id_col, text=text_col, source=source_col, **({"w": "weft weight"} if weight is not None else {}))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    weight = quality_weight(text) if weight is None else F.col("w")
+    unit = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") + 1) / F.lit(float(2**48 + 1))
+    # equal rows are interchangeable, so the tie-breaker needn't be the same in each run; it is written once for this one
+    stored = scratch.cut(rows.select("id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(unit) / weight).alias("z"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")), "sized")
+    sizes = scratch.cut(stored.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("z").alias("most")), "sizes")
+    most = sizes.agg(F.max("most")).first()[0] or 0.0
+    # whole numbers in the order of z, as fine as the largest of them allows
+    scale = 2.0 ** min(52, 61 - math.ceil(math.log2(most + 1)))
+    sized = stored.select("*", F.floor(F.col("z") * scale).cast("long").alias("key"), F.col("id").isNull().cast("long").alias("no_id"), F.coalesce(F.col("id").try_cast("long"), F.lit(0)).alias("id_bits"))
+    targets = source_targets(scratch, sizes.select("source", "source_size"), ratio, cap, weights)
     passes = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size") + 1e-12)).cast("long")
     targets = targets.withColumn("passes", passes).withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("target") - F.col("passes") * F.col("source_size") + 1e-6)).cast("long"))
-    # at most BUCKETS rows a source
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = buckets.withColumn("upto", F.sum("words").over(upto)).withColumnRenamed("source", "s")
-    ends = targets.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("upto") > F.col("rest")), "left")
-    plan = ends.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "passes", "rest")], F.coalesce(F.min("bucket"), F.lit(BUCKETS)).alias("last"), F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("b"))).alias("at"))
-    plan = cut(plan.select(F.col("source").alias("s"), "source_size", "target", "passes", "last", (F.col("rest") - F.coalesce("at.b", "rest")).alias("budget")), "mix-plan")
-    if plan.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
-    else:  # many sources: a salted join, as one source may hold a third of all rows
-        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        joined = sized.withColumn("salt_", F.pmod(F.xxhash64("id", "z"), F.lit(32))).join(salted, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt_") == F.col("salt")))
-    whole = joined.where("bucket <> last").withColumn("extra", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source").orderBy("z", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = joined.where("bucket = last").withColumn("extra", F.sum("size").over(order)).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("extra") + F.col("size"))))
+    plan = scratch.cut(targets.select(F.col("source").alias("s"), "source_size", "target", "passes", F.col("rest").alias("budget")), "plan-0")
+    few = plan.count() <= BROADCAST_SOURCES
+    for depth in range(1, len(LEVELS) + 1):
+        # of each source: the first bucket at which its budget is used up, and the budget for that bucket
+        now, before = prefix(depth), prefix(depth - 1)
+        names = [c for c in dict.fromkeys(c for c, _ in LEVELS[:depth])]
+        inside = at_source(sized, plan.select("s", "edge") if depth > 1 else plan.select("s"), few)
+        if depth > 1:
+            inside = inside.where(F.struct(*before) == F.col("edge"))
+        buckets = inside.groupBy("source", *now).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        order = Window.partitionBy("source").orderBy(*names)
+        buckets = buckets.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumnRenamed("source", "of")
+        ends = plan.join(buckets.hint("merge"), F.col("s").eqNullSafe(F.col("of")) & (F.col("upto") > F.col("budget")), "left")
+        place = F.struct(*names)
+        first = F.min(F.struct(place.alias("edge"), (F.col("upto") - F.col("words")).alias("b"), "n")).alias("at")
+        ends = ends.groupBy("s").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "passes", "budget")], first)
+        # where the budget is never used up, all documents come before the edge
+        plan = scratch.cut(ends.select("s", "source_size", "target", "passes", (F.col("budget") - F.coalesce("at.b", F.lit(0))).alias("budget"), F.when(F.col("at.edge").isNotNull(), F.col("at.edge")).alias("edge"), "at.n"), f"plan-{depth}")
+        if (plan.agg(F.max("n")).first()[0] or 0) <= EDGE_ROWS:
+            break
+    scratch.keep(stored, plan)
+    here = F.struct(*prefix(depth))
+    joined = at_source(sized, plan, few)
+    whole = joined.where(F.col("edge").isNull() | (here != F.col("edge")))
+    whole = whole.withColumn("extra", F.when(F.col("edge").isNull() | (here < F.col("edge")), F.col("size")).otherwise(F.lit(0)))
+    order = Window.partitionBy("source").orderBy("key", "no_id", "id_bits", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = joined.where(here == F.col("edge")).withColumn("extra", F.sum("size").over(order)).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("extra") + F.col("size"))))
     columns = [F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken")]
     return whole.select(*columns).unionAll(edge.select(*columns))
 

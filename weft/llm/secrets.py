@@ -12,8 +12,10 @@ return is O in the best path, so paths are only searched between such tokens.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import CHUNK_BYTES, batch_of, flat, worker_cache
+from weft.llm.common import CHUNK_BYTES, batch_of, flat, in_a_task, pick
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -326,7 +328,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts are scanned. Other columns are ignored; an empty table gives an empty result. The field is trained on
     `training_lines` generated lines (a bound that doesn't depend on the data).
     """
-    w, trans = train(training_lines)
+    w, trans = in_a_task(docs.sparkSession, train, training_lines)
 
     def run(batches):
         for b in batches:
@@ -339,14 +341,34 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield batch_of(RESULT, scan_chunk(ids[at:to], part, own, w, trans))
                 at = to
 
-    text = F.col(f"`{text_col}`").cast("string")
-    done = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), text.alias("t")).mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    rows = pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long").alias("i"), F.col("t").cast("string").alias("t"))
+    done = rows.mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
     return done.withColumnRenamed("id", id_col)
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def in_points(spans: list[tuple[int, int]], data: np.ndarray, base: int) -> list[tuple[int, int, int]]:
+    """Byte spans of a document that begins at `base`, in code points."""
+    if not spans:
+        return []
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # starts of code points
+    return [(int(before[a - base]), int(before[z - base]), 3) for a, z in spans]
+
+
+def apart(spans: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of the spans that overlap none of the others; both by start."""
+    # up to each of the others: the furthest end
+    starts, ends = [a for a, _, _ in others], list(itertools.accumulate((z for _, z, _ in others), max))
+    out = []
+    for a, z, kind in spans:
+        k = bisect.bisect_left(starts, z)  # those that start before z
+        if not k or ends[k - 1] <= a:
+            out.append((a, z, kind))
+    return out
+
+
 def scan_chunk(ids: list, data: np.ndarray, offs: np.ndarray, w: np.ndarray, trans: np.ndarray) -> list[tuple]:
     s, e, doc, f = tokens_of(data, offs)
     tagged: dict[int, list[tuple[int, int]]] = {}
@@ -377,9 +399,7 @@ def scan_chunk(ids: list, data: np.ndarray, offs: np.ndarray, w: np.ndarray, tra
         raw = body[lo:hi]
         text = raw.decode("utf-8", "replace")
         base = sorted(base_spans(text, raw), key=lambda x: (x[0], x[2]))
-        point = (lambda p: p) if len(text) == len(raw) else (lambda p: len(raw[:p].decode("utf-8", "replace")))
-        extra = [(point(a - lo), point(z - lo), 3) for a, z in tagged.get(i, [])]
-        extra = [x for x in extra if all(x[1] <= a or z <= x[0] for a, z, _ in base)]
+        extra = apart(in_points(tagged.get(i, []), data[lo:hi], lo), base)
         say = lambda spans: ",".join(f"{KINDS[k]}:{a}:{z}" for a, z, k in spans)
         n = [sum(k == x for *_, k in base) for x in range(3)]
         rows.append((doc_id, *n, hashlib.sha256(say(base).encode()).hexdigest(), say(sorted(base + extra, key=lambda x: (x[0], x[2]))), len(extra)))

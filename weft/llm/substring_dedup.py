@@ -3,7 +3,7 @@
 Each document's words are cut into non-overlapping reference blocks; every
 rolling window of block length probes the index of those blocks. Around the
 hits, maximal exact repeats are found: a hit is extended to all the windows of
-`window` words that hold it, and each of those is compared by a 128-bit hash
+`window` words that hold it, and each of those is compared by two hashes, 96 bits in all,
 with the first document that has it. Nothing is listed pair by pair: both
 probes and windows are pre-aggregated within a chunk of documents before they
 move, so a passage that a third of all documents share costs one entry a chunk.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import (NO_ID, Chunk, batch_of, batch_rows, cut, dec, dec_bits, dec_sorted, enc, enc_bits, enc_sorted, pack, parts_of, table_of, window_hash)
+from weft.llm.common import (Chunk, Scratch, batch_of, batch_rows, dec, dec_bits, dec_sorted, enc, enc_bits, enc_sorted, pack, parts_of, table_of, window_hash)
 
 LOW = np.uint64(0xFFFFFFFF)
 PROBES = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("block", pa.binary()), ("multi", pa.binary())])
@@ -163,13 +163,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns one row per input row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space) and, with keep_text, kept_text. Words are runs of anything but ASCII white space. Nulls:
-    a null text has no words; a null id counts as larger than all ids, and equal ids (repeated rows, null ids)
+    a null text has no words; a null id counts like the largest long, and equal ids (repeated rows, null ids)
     never remove each other's words. Empty tables give an empty result; other columns are ignored.
     """
     if window < 2:
         raise ValueError("window must be at least 2 words")
     block = (window + 1) // 2
-    packed = cut(pack(docs, id_col, text_col), "substr-text")
+    scratch = Scratch(docs.sparkSession, "substring")
+    packed = scratch.cut(pack(docs, id_col, text_col), "text")
     total = packed.agg(F.sum("n_words")).first()[0] or 0
     parts = max(12, math.ceil(total / codes_per_part))
 
@@ -180,7 +181,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for k in range(0, len(out), 2000):
                     yield batch_of(PROBES, out[k : k + 2000])
 
-    hits = cut(packed.mapInArrow(probe, ddl(PROBES)).groupBy("part").applyInArrow(match, ddl(HITS)), "substr-hits")
+    hits = scratch.cut(packed.mapInArrow(probe, ddl(PROBES)).groupBy("part").applyInArrow(match, ddl(HITS)), "hits")
     by_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("part", "codes")).alias("hits"))
 
     def windows(batches):
@@ -192,7 +193,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield batch_of(WINDOWS, out[k : k + 2000])
 
     found = packed.join(by_chunk.hint("shuffle_hash"), "chunk").mapInArrow(windows, ddl(WINDOWS))
-    bits = cut(found.groupBy("part").applyInArrow(first_docs, ddl(EARLIER)), "substr-first")
+    bits = scratch.cut(found.groupBy("part").applyInArrow(first_docs, ddl(EARLIER)), "first")
     bits_by_chunk = bits.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "bits")).alias("earlier"))
     result = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text)
 
@@ -203,14 +204,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 gone = removed_words(c, row["hits"], row["earlier"], block, window, parts)
                 lost = np.concatenate([[0], np.cumsum(gone)])
                 body, rows = c.data.tobytes(), []
-                for i, doc in enumerate(c.ids.tolist()):
+                for i, doc in enumerate(c.real_ids()):
                     lo, hi = c.words[i], c.words[i + 1]
                     words = body[c.offs[i] : c.offs[i + 1]].split()
                     n = int(lost[hi] - lost[lo])
                     if n:
                         words = [words[k] for k in np.flatnonzero(~gone[lo:hi])]
                     kept = b" ".join(words)
-                    rows.append((None if doc == NO_ID else doc, int(hi - lo), n, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "replace"),) if keep_text else ()))
+                    rows.append((doc, int(hi - lo), n, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "replace"),) if keep_text else ()))
                 yield batch_of(result, rows)
 
     joined = packed.join(by_chunk.hint("shuffle_hash"), "chunk", "left").join(bits_by_chunk.hint("shuffle_hash"), "chunk", "left")

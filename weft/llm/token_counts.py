@@ -2,8 +2,9 @@
 
 Texts are reduced to (digest of the normalised content, version of the tokenizer). Distinct digests are
 joined to the stored counts; only those that are missing are encoded, once each, and appended to the cache.
-Identical texts, however many, cost one encoding. The normalised content is what the tokenizer's own
-normalizer leaves distinguishable; for a tokenizer without one it is the text itself.
+Texts of one normalised content, however many, cost one encoding. Content is normalised by the tokenizer's own
+normalizer, which takes a text to a form that is encoded alike; a text that holds one of its special strings, which are looked for before
+that, and any text of a tokenizer without a normalizer stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from weft.llm.common import batch_of, cut, shared_dir, worker_cache
+from weft.llm.common import Scratch, batch_of, pick, shared_dir, worker_cache
 
 COUNTS = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 # Characters on whose classes all regex engines agree; other texts go through the library itself.
@@ -49,12 +50,15 @@ class Counter:
 
             self.piece = sentencepiece.SentencePieceProcessor(model_file=path)
             self.library = lambda t: len(self.piece.encode(t))
+            self.names, self.form = [], None  # its normalizer also splits symbols off, so texts are digested as they are
             return
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.library = lambda t: len(self.own.encode(t, add_special_tokens=False).ids)
         self.merge, self.special = merge_table(self.own)
+        self.names = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.form = self.own.normalizer.normalize_str if self.own.normalizer else None
 
     def __call__(self, text: str) -> int:
         if self.merge is None or not PLAIN.fullmatch(text):
@@ -64,6 +68,14 @@ class Counter:
             return sum(map(self.plain, parts)) + len(parts) - 1
         return self.plain(text)
 
+    def normalised(self, text: str) -> str:
+        if self.form is None:
+            return text
+        low, done = text.lower(), self.form(text)
+        if any(n.lower() in low or n in done for n in self.names):
+            return "\0raw " + text  # not a form of any other text
+        return done
+
     def plain(self, text: str) -> int:
         if not text:
             return 0
@@ -115,6 +127,10 @@ def counter(path: str) -> Counter:
     return cache["tokenizer", path]
 
 
+def normalises(path: str) -> bool:
+    return not path.endswith(".model") and counter(path).form is not None
+
+
 @functools.cache
 def version(path: str) -> str:
     """Of the tokenizer: a digest of its file."""
@@ -132,10 +148,20 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     empty table gives an empty result and adds nothing to the cache.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "tokens")
     home = f"{cache_path or f'{shared_dir(spark)}/weft-token-cache-{uuid.uuid4().hex}'}/{version(tokenizer)}"
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    keys = cut(rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
+    rows = pick(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def forms(batches):
+        form = counter(tokenizer).normalised
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([hashlib.sha256(form(x.as_py()).encode("utf-8", "surrogatepass")).digest() for x in b.column(1)], pa.binary())], names=["id", "text", "digest"])
+
+    if normalises(tokenizer):
+        rows = rows.mapInArrow(forms, f"id {rows.schema['id'].dataType.simpleString()}, text string, digest binary")
+    else:
+        rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keys = scratch.cut(rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "keys")
     wanted = keys.groupBy("digest").agg(F.min("id").alias("first"))
     try:
         wanted = wanted.join(spark.read.parquet(home).select("digest"), "digest", "left_anti")

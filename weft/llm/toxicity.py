@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from weft.llm.common import CHUNK_BYTES, LOWER, FAMILIES, batch_of, flat, hash_words, mix, powers
+from weft.llm.common import CHUNK_BYTES, FAMILIES, LOWER, flat, hash_words, mix, pick, plain
 
 WINDOW, STRIDE, HIDDEN, DIMS, BUCKETS, GRAMS = 32, 16, 8, 4, 1 << 17, 10
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-MOST_BYTES = 16_000
 
 
 def word_bounds(data: np.ndarray, offs: np.ndarray):
@@ -278,16 +278,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, seed: int = 7)
     return model
 
 
-RESULT = pa.schema([("score", pa.float64())])
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
-    """(i, y, t): at most max_rows toxic and 2 * max_rows other labelled texts, of at most 16,000 bytes each, from rows that aren't held out."""
-    rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(i, y, t): at most max_rows toxic and 2 * max_rows other labelled texts, of at most max_bytes each, from rows that aren't held out."""
+    rows = pick(labels, i=id_col, y="toxic").select("i", F.col("y").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     rows = rows.where(F.crc32(F.col("i").cast("string")) % 5 != 0)
     # 3 times as many ids of each class as are wanted, as some have no text that fits: a bounded number
     wanted = [rows.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(3 * max_rows * (2 - y)) for y in (0, 1)]
-    text = docs.select(F.col(f"`{id_col}`").alias("j"), F.col(f"`{text_col}`").cast("string").alias("t")).where(f"octet_length(t) <= {MOST_BYTES}")
+    text = pick(docs, j=id_col, t=text_col).select("j", F.col("t").cast("string").alias("t")).where(F.octet_length("t") <= max_bytes)
     both = wanted[0].unionAll(wanted[1])
     own = text.join(F.broadcast(both), F.col("i") == F.col("j")).groupBy("i").agg(F.first("y").alias("y"), F.min("t").alias("t"))
     picked = [own.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(max_rows * (2 - y)) for y in (0, 1)]
@@ -310,8 +307,9 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
     """The input rows (of them the columns `keep`; None: all) with columns score (0 to 1) and predicted (1 if score >= 0.5)
     added; existing ones are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
-    names = [c for c in docs.columns if c not in ("score", "predicted") and (keep is None or c in keep)]
-    plain = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string"))
+    held = [i for i, c in enumerate(docs.columns) if c not in ("score", "predicted") and (keep is None or c in keep)]
+    names = [docs.columns[i] for i in held]
+    some = plain(docs).select(*[f"c{i}" for i in held], F.col(f"c{docs.columns.index(text_col)}").cast("string").alias("t"))
 
     def run(batches):
         m = shared.value
@@ -326,20 +324,20 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
             p = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*schema_names, "score", "predicted"])
 
-    schema_names = [f"c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(schema_names, plain.schema.fields))
-    return plain.toDF(*schema_names, "t").mapInArrow(run, schema + ", score double, predicted int").toDF(*names, "score", "predicted")
+    schema_names = [f"c{i}" for i in held]
+    schema = StructType([*some.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return some.mapInArrow(run, schema).toDF(*names, "score", "predicted")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 1500, keep: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 1500, max_bytes: int = 16_000, keep: list[str] | None = None) -> DataFrame:
     """The input rows (of them the columns `keep`; None: all) with held_out, score and predicted.
 
     held_out: crc32 of the id as text is divisible by 5; no label of such a row is learnt. max_rows bounds the toxic rows that
-    are learnt from; of the others there are at most twice as many. Nulls: a null text is scored like an empty one; a null id isn't held out; null or other labels than
+    are learnt from; of the others there are at most twice as many. max_bytes: labelled texts that are longer aren't learnt from (all texts are scored whole). Nulls: a null text is scored like an empty one; a null id isn't held out; null or other labels than
     0 and 1 are ignored, and of contradictory ones 1 counts. Without labels of both classes all rows get one score. Repeated
     rows get equal scores. Other columns are kept; an empty table gives an empty result.
     """
-    model = trained(labelled_sample(docs, labels, id_col, text_col, max_rows))
+    model = trained(labelled_sample(docs, labels, id_col, text_col, max_rows, max_bytes))
     done = score_toxicity(docs, model, text_col, keep)
     held = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 == 0, F.lit(False))
     return done.drop("held_out").withColumn("held_out", held)
