@@ -202,7 +202,7 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path, k):
     schema = "doc_id long, text string, lang string, source string, n_chars long, k_id int, k_row int, `_id` int, n_lines string, score int, predicted string, gone int, least int, `c1` int, `x.y` int"
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(i, text + f" z{i}" * 30 if i else None, "en", "s", 1, 2, 3, 4, "r", 5, "p", 6, 7, 8, 9) for i in range(4)], schema)
-    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "an item of the benchmark that is in none of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = cp.STAGES[k][1](spark, docs, str(tmp_path))
     got = out.collect()
