@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -207,3 +207,35 @@ def test_components_converge_or_raise(spark, run):
     assert {r.component for r in run(e, cut).collect()} == {0}
     with pytest.raises(components.NotConverged):
         run(e, cut, max_rounds=1)
+
+
+def test_walks_go_on_where_they_stopped(spark, tmp_path):
+    g = gen.two_blobs(spark, 3)
+    options = {"num_walks_per_node": 2, "batch_size": 3, "path": str(tmp_path), "run_id": "r"}
+    whole = rows(g.random_walks(num_batches=3, num_walks_per_node=2, batch_size=3), "*")
+    g.random_walks(num_batches=1, **options)
+    assert rows(g.random_walks(num_batches=3, starting_batch=1, **options), "*") == whole
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["batch=0", "batch=1", "batch=2"]
+    for bad in ({"starting_batch": 3}, {"starting_batch": -1}):
+        with pytest.raises(ValueError):
+            g.random_walks(num_batches=3, **bad, **options)
+    with pytest.raises(ValueError):
+        g.random_walks(num_batches=3, starting_batch=1)
+
+
+def test_walks_are_cleaned_up(spark, tmp_path):
+    g = gen.two_blobs(spark, 3)
+    make = lambda: RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=1, batch_size=3, num_batches=1, path=str(tmp_path)).set_hash2vec(dim=4)
+    kept = rows(make().run().select("id", vector_to_array("embedding")), "*")
+    assert len(list(tmp_path.iterdir())) == 1
+    assert rows(make().set_clean_up_after_run().run().select("id", vector_to_array("embedding")), "*") == kept
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_convolution_is_the_mean_of_the_sample(spark):
+    g = graph(spark, [(1, 2), (1, 3), (3, 1), (4, 1)])
+    own = {i: [float(i), float(i * i)] for i in range(1, 5)}
+    f = spark.createDataFrame(list(own.items()), "id long, x array<double>").select("id", array_to_vector("x").alias("embedding"))
+    got = dict(walks.sampling_convolution(g, f, use_edge_direction=True).select("id", vector_to_array("embedding")).collect())
+    to = {1: [2, 3], 2: [], 3: [1], 4: [1]}
+    assert got == {i: own[i] + [sum(own[j][k] for j in to[i]) / len(to[i]) if to[i] else 0.0 for k in (0, 1)] for i in own}

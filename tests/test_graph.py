@@ -110,3 +110,51 @@ def test_nothing_stays_cached(spark):
     gen.friends(spark).label_propagation(2)
     gen.friends(spark).shortest_paths(["a"])
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_mapped_attributes(spark):
+    g = Graph(spark.createDataFrame([(1, 5), (2, 7)], "id long, n int"), spark.createDataFrame([(1, 2, 3), (2, 2, 4), (1, 9, 5)], "src long, dst long, w int"))
+    v = g.map_vertices(twice=F.col("n") * 2, name=F.concat(F.lit("v"), "id")).vertices
+    assert v.columns == ["id", "twice", "name"] and rows(v, "*") == [(1, 10, "v1"), (2, 14, "v2")]
+    assert rows(g.map_edges(x="w + 1").edges, "*") == [(1, 2, 4), (1, 9, 6), (2, 2, 5)]
+    assert rows(g.map_triplets(x="src.n - dst.n + edge.w").edges, "*") == [(1, 2, 1), (2, 2, 4)]
+    for bad in (lambda: g.map_vertices(id="n"), lambda: g.map_edges(src="w"), lambda: g.map_triplets(dst="edge.w")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_collected_neighbors(spark):
+    g = Graph(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, n string"), spark.createDataFrame([(1, 2), (1, 2), (3, 1), (2, 9)], "src long, dst long"))
+    found = lambda d: {r.id: sorted(x.n for x in r.neighbors) for r in g.collect_neighbors(d).collect()}
+    assert found("out") == {1: ["b", "b"], 3: ["a"]} and found("in") == {2: ["a", "a"], 1: ["c"], 9: ["b"]}
+    assert found("either") == {1: ["b", "b", "c"], 2: ["a", "a"], 3: ["a"], 9: ["b"]}
+
+
+def test_filter_by_what_a_function_adds(spark):
+    g = Graph(spark.createDataFrame([(i, "x") for i in range(4)], "id long, n string"), spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 2, 3), (3, 0, 4)], "src long, dst long, w int"))
+    kept = g.filter(lambda x: Graph(x.vertices.join(x.degrees, "id"), x.edges), "w > 1", "degree >= 2")
+    assert kept.vertices.columns == ["id", "n"] and rows(kept.vertices, "id") == [(0,), (1,), (2,)]
+    assert rows(kept.edges, "src", "dst", "w") == [(0, 2, 2), (1, 2, 3)]
+
+
+def test_unknown_arguments_are_errors(spark):
+    g = Graph.from_edges(spark.createDataFrame([(1, 2)], "src long, dst long"))
+    for call in (lambda: g.label_propagation(2, max_iters=3), lambda: g.connected_components(algoritm="x"), lambda: g.detect_cycles(maxlength=3), lambda: g.k_core(seed=1), lambda: g.random_walks(steps=3), lambda: g.bfs("id = 1", "id = 2", maxPath=3), lambda: g.aggregate_messages("count(MSG)", to_dest="src.id"), lambda: g.shortest_paths([1], directed=False)):
+        with pytest.raises(TypeError):
+            call()
+    for call in (lambda: g.k_core(checkpoint_interval=0), lambda: g.k_core(storage_level="nowhere"), lambda: g.connected_components("x")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_options_of_a_call(spark):
+    g = Graph.from_edges(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6)], "src long, dst long"))
+    want = rows(g.connected_components(), "id", "component")
+    assert want == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)]
+    assert rows(g.connected_components(checkpoint_interval=3, storage_level="DISK_ONLY"), "id", "component") == want
+    assert rows(g.label_propagation(3, checkpoint_interval=2), "id", "label") == rows(g.label_propagation(3), "id", "label")
+    with pytest.warns(UserWarning):
+        g.connectedComponents("other", 2, 100, True, True)
+    names = Graph.from_edges(spark.createDataFrame([("b", "c"), ("x", "y")], "src string, dst string"))
+    assert rows(names.connected_components(), "id", "component") == [("b", "b"), ("c", "b"), ("x", "x"), ("y", "x")]
+    assert rows(names.connected_components(use_labels_as_components=False), "id", "component") == [("b", 0), ("c", 0), ("x", 2), ("y", 2)]

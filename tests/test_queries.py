@@ -8,7 +8,7 @@ from weft.sources import tables
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["out_degrees", "type_degree", "triplets", "filter_vertices", "collect_neighbor_ids", "motif_mutual", "motif_negation", "motif_variable_length", "aggregate_messages", "aggregate_neighbors", "shortest_paths", "connected_components", "page_rank_fixed", "label_propagation", "triangle_count", "k_core", "property_graph_edges", "property_graph_projection", "generated_grid"]
+QUICK = ["out_degrees", "type_degree", "triplets", "filter_vertices", "collect_neighbor_ids", "motif_mutual", "motif_negation", "motif_variable_length", "aggregate_messages", "aggregate_neighbors", "shortest_paths", "connected_components", "page_rank_fixed", "label_propagation", "triangle_count", "k_core", "property_graph_edges", "property_graph_projection", "generated_grid", "generated_rmat", "generated_log_normal", "random_walks", "hash2vec", "belief_propagation", "maximal_independent_set", "triangle_count_approx", "collect_neighbors", "map_triplets", "filter_preprocessed"]
 
 
 @pytest.fixture(scope="module")

@@ -95,13 +95,13 @@ def test_scratch(spark, tmp_path, monkeypatch):
     spark.range(3).write.parquet(str(at))
     iterate.remove_table(spark, f"file:{at}")
     assert not at.exists()
-    rounds = iterate.Rounds(spark, "t", "DISK_ONLY")
+    rounds = iterate.Rounds(spark, "t")
     grown = rounds.collector("grown")
     for k in range(3):
         assert grown.add(spark.range(k, k + 1)).count() == 1
     assert rows(grown.all(), "id") == [(0,), (1,), (2,)]
     with pytest.raises(ValueError):
-        iterate.Rounds(spark, "t", "nowhere")
+        iterate.as_storage_level("nowhere")
 
     class Cluster:
         conf = type("C", (), {"get": staticmethod(lambda name, default=None: {"spark.master": "yarn"}.get(name, default))})()

@@ -20,7 +20,13 @@ def expression(x: Column | str) -> Column:
     return F.expr(x) if isinstance(x, str) else x
 
 
+def draw(*parts) -> Column:
+    """A reproducible pseudo-random whole number below 2 ** 48 of the given columns and constants: the first 12 hex digits of
+    the MD5 of their texts, joined by ":", which other engines can compute too."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
 def unit_hash(*parts) -> Column:
-    """A reproducible pseudo-random double in [0, 1) of the given columns and constants."""
-    h = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+    """The same as a double in [0, 1)."""
+    return draw(*parts) / F.lit(float(1 << 48))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -11,7 +14,7 @@ from weft.functions.columns import expression, nest, quote
 from weft.operators import communities, components, factorization, messages, paths, ranking, walks
 from weft.operators.pregel import Pregel
 from weft.plans import motif
-from weft.plans.iterate import Rounds, setting
+from weft.plans.iterate import Rounds, setting, tuned
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
@@ -35,20 +38,39 @@ def long_ids(ids: DataFrame) -> DataFrame:
     return ranged.select("id", (F.col("k") + start).cast("long").alias("new_id"))
 
 
+ALGORITHMS = ("two_phase", "randomized_contraction", "propagation")
+
+
+def engine(name: str | None) -> None:
+    """The name of an engine, as older callers give it: one implementation stands for all."""
+    if name:
+        warnings.warn(f"algorithm {name!r} has no effect: there is one implementation", stacklevel=3)
+
+
+def renamed(given: dict, options: dict, **names: str) -> dict:
+    """The options, with those that were given by an older name; other names are errors."""
+    for old, value in given.items():
+        if old not in names:
+            raise TypeError(f"unexpected argument {old!r}")
+        options[names[old]] = value
+    return options
+
+
 class Graph:
     """An immutable directed multigraph. Methods are lazy unless they iterate; those materialise their result."""
 
-    def __init__(self, vertices: DataFrame, edges: DataFrame):
+    def __init__(self, vertices: DataFrame, edges: DataFrame, ends_known: bool = False):
+        """ends_known: all ends of edges are known to be vertices, each once; motifs over bare ids then need no joins with them."""
         if "id" not in vertices.columns:
             raise InvalidGraph(f"vertices have no column id: {vertices.columns}")
         if missing := [c for c in ("src", "dst") if c not in edges.columns]:
             raise InvalidGraph(f"edges have no column {missing[0]}: {edges.columns}")
-        self._vertices, self._edges = vertices, edges
+        self._vertices, self._edges, self._ends_known = vertices, edges, ends_known
 
     @classmethod
     def from_edges(cls, edges: DataFrame) -> Graph:
-        """Vertices are the distinct ends of the edges."""
-        return cls(edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct(), edges)
+        """Vertices are the distinct ends of the edges; edges without one of them have no place in a graph."""
+        return cls(edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct().where("id is not null"), edges.where("src is not null and dst is not null"), True)
 
     # ---- structure
 
@@ -117,6 +139,29 @@ class Graph:
     def subgraph(self, vertex_condition="true", edge_condition="true") -> Graph:
         return self.filter_vertices(vertex_condition).filter_edges(edge_condition)
 
+    def filter(self, preprocess: Callable[[Graph], Graph], edge_condition="true", vertex_condition="true") -> Graph:
+        """What of this graph is left when the conditions, over attributes that `preprocess` adds, are applied to preprocess(self)."""
+        return self.mask(preprocess(self).subgraph(vertex_condition, edge_condition))
+
+    def map_vertices(self, **columns: Column | str) -> Graph:
+        """Vertices with these attributes, made of their own columns, instead of theirs; the ids stay."""
+        if "id" in columns:
+            raise ValueError("ids can't be mapped")
+        return Graph(self._vertices.select("id", *[expression(x).alias(c) for c, x in columns.items()]), self._edges, self._ends_known)
+
+    def map_edges(self, **columns: Column | str) -> Graph:
+        """Edges with these attributes, made of their own columns, instead of theirs; the ends stay."""
+        if bad := {"src", "dst"} & set(columns):
+            raise ValueError(f"ends can't be mapped: {min(bad)}")
+        return Graph(self._vertices, self._edges.select("src", "dst", *[expression(x).alias(c) for c, x in columns.items()]), self._ends_known)
+
+    def map_triplets(self, **columns: Column | str) -> Graph:
+        """Edges with these attributes, expressions over the structs src, edge and dst, instead of theirs; edges without both ends disappear."""
+        if bad := {"src", "dst"} & set(columns):
+            raise ValueError(f"ends can't be mapped: {min(bad)}")
+        ends = [F.col("edge")[c].alias(c) for c in ("src", "dst")]
+        return Graph(self._vertices, self.triplets.select(*ends, *[expression(x).alias(c) for c, x in columns.items()]), self._ends_known)
+
     def join_vertices(self, table: DataFrame, how: str = "left") -> Graph:
         """Vertices with the columns of a table keyed by id."""
         return Graph(self._vertices.join(table, "id", how), self._edges)
@@ -205,6 +250,14 @@ class Graph:
         rows = e.select(F.explode(F.array(*[F.col("edge")[s] for s in sides])).alias("id"), "edge")
         return rows.groupBy("id").agg(F.collect_list("edge").alias("edges"))
 
+    def collect_neighbors(self, direction: str = "either") -> DataFrame:
+        """(id, neighbors): the neighbours at each vertex's edges as structs of all their columns, one for each edge."""
+        e = self._edges.select("src", "dst")
+        out, into = e.select(F.col("src").alias("id"), F.col("dst").alias("nbr")), e.select(F.col("dst").alias("id"), F.col("src").alias("nbr"))
+        rows = {"out": out, "in": into, "either": out.unionAll(into)}[direction]
+        found = rows.join(nest(self._vertices, "vertex"), F.col("nbr") == F.col("vertex")["id"])
+        return found.groupBy("id").agg(F.collect_list("vertex").alias("neighbors"))
+
     def _collected(self, value: Column, name: str, direction: str, limit: int | None) -> DataFrame:
         out, into = self._edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr")), self._edges.select(F.col("dst").alias("id"), F.col("src").alias("nbr"))
         rows = {"out": out, "in": into, "either": out.unionAll(into)}[direction].distinct()
@@ -216,13 +269,13 @@ class Graph:
 
     def find(self, pattern: str, assume_valid: bool = False) -> DataFrame:
         """Matches of a motif; see weft.plans.motif_parser for the language."""
-        return motif.find(self._vertices, self._edges, pattern, assume_valid)
+        return motif.find(self._vertices, self._edges, pattern, assume_valid or self._ends_known)
 
     def bfs(self, from_expr, to_expr, edge_filter=None, max_path_length: int = 10, **old) -> DataFrame:
-        return paths.bfs(self, from_expr, to_expr, old.get("edgeFilter", edge_filter), old.get("maxPathLength", max_path_length))
+        return tuned(paths.bfs)(self, from_expr, to_expr, **renamed(old, {"edge_filter": edge_filter, "max_path_length": max_path_length}, edgeFilter="edge_filter", maxPathLength="max_path_length"))
 
     def aggregate_messages(self, aggregates, to_src=None, to_dst=None, **old) -> DataFrame:
-        return messages.aggregate_messages(self.triplets, aggregates, old.get("sendToSrc", to_src), old.get("sendToDst", to_dst))
+        return messages.aggregate_messages(self.triplets, aggregates, **renamed(old, {"to_src": to_src, "to_dst": to_dst}, sendToSrc="to_src", sendToDst="to_dst"))
 
     def aggregateMessages(self, aggCol, sendToSrc=None, sendToDst=None) -> DataFrame:
         return messages.aggregate_messages(self.triplets, aggCol, sendToSrc, sendToDst)
@@ -231,70 +284,88 @@ class Graph:
     def pregel(self) -> Pregel:
         return Pregel(self)
 
+    @tuned
     def aggregate_neighbors(self, *args, **options) -> DataFrame:
-        for old in ("checkpoint_interval", "use_local_checkpoints", "storage_level"):
-            options.pop(old, None)
         return paths.aggregate_neighbors(self, *args, **options)
 
     aggregate_neighbors.__doc__ = paths.aggregate_neighbors.__doc__
     src_attr, dst_attr, edge_attr = staticmethod(paths.src_attr), staticmethod(paths.dst_attr), staticmethod(paths.edge_attr)
 
-    def shortest_paths(self, landmarks: list, is_directed: bool = True, **_) -> DataFrame:
+    @tuned
+    def shortest_paths(self, landmarks: list, is_directed: bool = True) -> DataFrame:
         return paths.shortest_paths(self, landmarks, is_directed)
 
-    def detect_cycles(self, max_length: int | None = None, **_) -> DataFrame:
+    @tuned
+    def detect_cycles(self, max_length: int | None = None) -> DataFrame:
         return paths.detect_cycles(self, max_length)
 
-    def connected_components(self, algorithm: str | None = None, max_iter: int | None = None, **_) -> DataFrame:
+    @tuned
+    def connected_components(self, algorithm: str | None = None, max_iter: int | None = None, use_labels_as_components: bool | None = None) -> DataFrame:
         """The vertices with `component`, the smallest id that can be reached whatever the direction.
 
         algorithm: two_phase (default, or setting weft.connectedComponents.algorithm), randomized_contraction, or
-        propagation (the only one that max_iter stops early).
+        propagation (the only one that max_iter stops early). use_labels_as_components (setting weft.useLabelsAsComponents, true): if false, the component
+        is the number of that id in the order of all ids, or the id itself where it is a whole number.
         """
         spark = self._vertices.sparkSession
         name = (algorithm or setting(spark, "connectedComponents.algorithm", "two_phase")).lower()
-        if name not in ("two_phase", "randomized_contraction", "propagation"):
-            raise ValueError(f"unknown algorithm {name!r}: two_phase, randomized_contraction or propagation")
+        if name not in ALGORITHMS:
+            raise ValueError(f"unknown algorithm {name!r}: {', '.join(ALGORITHMS)}")
+        labels = setting(spark, "useLabelsAsComponents", True) if use_labels_as_components is None else use_labels_as_components
         rounds = Rounds(spark, "components")
         ids = self._vertices.select("id")
-        e = self._edges.select("src", "dst").join(ids.withColumnRenamed("id", "src").distinct(), "src", "left_semi").join(ids.withColumnRenamed("id", "dst").distinct(), "dst", "left_semi")
+        e = self._edges.select("src", "dst")
+        if not self._ends_known:
+            e = e.join(ids.withColumnRenamed("id", "src").distinct(), "src", "left_semi").join(ids.withColumnRenamed("id", "dst").distinct(), "dst", "left_semi")
         run = {"two_phase": components.star_components, "randomized_contraction": components.contraction_components}
         found = components.propagated_components(e, rounds.cut, max_iter) if name == "propagation" else run[name](e, rounds.cut)
         kept = [c for c in self._vertices.columns if c != "component"]
-        done = self._vertices.select(*[F.col(quote(c)) for c in kept]).join(found, "id", "left")
-        return rounds.close(done.select(*[F.col(quote(c)) for c in kept], F.coalesce("component", "id").alias("component")))
-
-    def strongly_connected_components(self, max_iter: int, **_) -> DataFrame:
+        done = self._vertices.select(*[F.col(quote(c)) for c in kept]).join(found, "id", "left").select(*[F.col(quote(c)) for c in kept], F.coalesce("component", "id").alias("component"))
+        if not labels:
+            numbers = long_ids(ids).select(F.col("id").alias("component"), "new_id")
+            done = done.join(numbers, "component", "left").select(*[F.col(quote(c)) for c in kept], F.col("new_id").alias("component"))
+        return rounds.close(done)
+
+    @tuned
+    def strongly_connected_components(self, max_iter: int) -> DataFrame:
         if max_iter < 1:
             raise ValueError("max_iter must be positive")
         rounds = Rounds(self._vertices.sparkSession, "scc")
         found = components.strong_components(self._vertices, self._edges, rounds.cut, rounds.collector, max_iter)
         return rounds.close(communities.attach(self, found, "component"))
 
-    def label_propagation(self, max_iter: int, is_directed: bool = False, **_) -> DataFrame:
+    @tuned
+    def label_propagation(self, max_iter: int, is_directed: bool = False) -> DataFrame:
         return communities.label_propagation(self, max_iter, is_directed)
 
-    def triangle_count(self, algorithm: str = "exact", lg_nom_entries: int = 12, **_) -> DataFrame:
+    @tuned
+    def triangle_count(self, algorithm: str = "exact", lg_nom_entries: int = 12) -> DataFrame:
         return communities.triangle_count(self, algorithm, lg_nom_entries)
 
-    def k_core(self, **_) -> DataFrame:
+    @tuned
+    def k_core(self) -> DataFrame:
         return communities.k_core(self)
 
-    def maximal_independent_set(self, seed: int = 42, **_) -> DataFrame:
+    @tuned
+    def maximal_independent_set(self, seed: int = 42) -> DataFrame:
         return communities.maximal_independent_set(self, seed)
 
     def power_iteration_clustering(self, k: int, max_iter: int, weight_col: str | None = None) -> DataFrame:
         return communities.power_iteration_clustering(self, k, max_iter, weight_col)
 
+    @tuned
     def page_rank(self, reset_probability: float = 0.15, source_id=None, max_iter: int | None = None, tol: float | None = None, initial_ranks: DataFrame | None = None) -> Graph:
         return ranking.page_rank(self, reset_probability, source_id, max_iter, tol, initial_ranks)
 
+    @tuned
     def parallel_personalized_page_rank(self, reset_probability: float = 0.15, source_ids: list | None = None, max_iter: int | None = None) -> Graph:
         return ranking.parallel_personalized(self, reset_probability, source_ids, max_iter)
 
+    @tuned
     def svd_plus_plus(self, rank: int = 10, max_iter: int = 2, min_value: float = 0.0, max_value: float = 5.0, gamma1: float = 0.007, gamma2: float = 0.007, gamma6: float = 0.005, gamma7: float = 0.015, seed: int = 42) -> tuple[DataFrame, float]:
         return factorization.svd_plus_plus(self, rank, max_iter, min_value, max_value, gamma1, gamma2, gamma6, gamma7, seed)
 
+    @tuned
     def random_walks(self, **options) -> DataFrame:
         return walks.random_walks(self, **options)
 
@@ -306,23 +377,32 @@ class Graph:
     typeOutDegree, typeInDegree, typeDegree = type_out_degree, type_in_degree, type_degree
     fromEdges = from_edges
 
-    def shortestPaths(self, landmarks: list, algorithm: str = "", is_directed: bool = True, **_) -> DataFrame:
-        return self.shortest_paths(landmarks, is_directed)
+    collectNeighborIds, collectNeighbors, collectEdges = collect_neighbor_ids, collect_neighbors, collect_edges
+    mapVertices, mapEdges, mapTriplets, groupEdges = map_vertices, map_edges, map_triplets, group_edges
+    joinVertices, removeSelfEdges, convertToCanonicalEdges, pickRandomVertex, partitionBy = join_vertices, remove_self_edges, canonical_edges, pick_random_vertex, partition_by
+
+    def shortestPaths(self, landmarks: list, algorithm: str | None = None, use_local_checkpoints: bool = False, checkpoint_interval: int | None = None, storage_level=None, is_directed: bool = True) -> DataFrame:
+        engine(algorithm)
+        return self.shortest_paths(landmarks, is_directed, use_local_checkpoints=use_local_checkpoints, checkpoint_interval=checkpoint_interval, storage_level=storage_level)
 
-    def detectingCycles(self, *_, **__) -> DataFrame:
-        return self.detect_cycles()
+    def detectingCycles(self, checkpoint_interval: int | None = None, use_local_checkpoints: bool = False, storage_level=None) -> DataFrame:
+        return self.detect_cycles(checkpoint_interval=checkpoint_interval, use_local_checkpoints=use_local_checkpoints, storage_level=storage_level)
 
-    def connectedComponents(self, algorithm: str | None = None, *_, max_iter: int | None = None, **__) -> DataFrame:
-        return self.connected_components(algorithm, max_iter)
+    def connectedComponents(self, algorithm: str | None = None, checkpointInterval: int | None = None, broadcastThreshold: int | None = None, useLabelsAsComponents: bool | None = None, use_local_checkpoints: bool = False, max_iter: int | None = None, storage_level=None) -> DataFrame:
+        """algorithm: one of ours; other names, as older callers give them, mean the default, which runs to its end."""
+        name = algorithm if algorithm is None or algorithm.lower() in ALGORITHMS else engine(algorithm)
+        limit = max_iter if name and name.lower() == "propagation" else None
+        return self.connected_components(name, limit, useLabelsAsComponents, checkpoint_interval=checkpointInterval, broadcast_threshold=broadcastThreshold, use_local_checkpoints=use_local_checkpoints, storage_level=storage_level)
 
     def stronglyConnectedComponents(self, maxIter: int) -> DataFrame:
         return self.strongly_connected_components(maxIter)
 
-    def labelPropagation(self, maxIter: int, algorithm: str = "", is_directed: bool = False, **_) -> DataFrame:
-        return self.label_propagation(maxIter, is_directed)
+    def labelPropagation(self, maxIter: int, algorithm: str | None = None, use_local_checkpoints: bool = False, checkpoint_interval: int | None = None, storage_level=None, is_directed: bool = False) -> DataFrame:
+        engine(algorithm)
+        return self.label_propagation(maxIter, is_directed, use_local_checkpoints=use_local_checkpoints, checkpoint_interval=checkpoint_interval, storage_level=storage_level)
 
     def triangleCount(self, storage_level=None, algorithm: str = "exact", lg_nom_entries: int = 12) -> DataFrame:
-        return self.triangle_count(algorithm, lg_nom_entries)
+        return self.triangle_count(algorithm, lg_nom_entries, storage_level=storage_level)
 
     def powerIterationClustering(self, k: int, maxIter: int, weightCol: str | None = None) -> DataFrame:
         return self.power_iteration_clustering(k, maxIter, weightCol)

@@ -32,7 +32,17 @@ pairs as (select s_nationkey::bigint as src, c_nationkey::bigint as dst, sum(l_q
 e as (select src, dst, quantity from pairs where quantity * (select count(*) from pairs) > (select sum(quantity) from pairs)),
 v as (select n_nationkey::bigint as id, n_name as name from nation)
 """
-TYPES = ["click", "view", "purchase", "signup", "logout"]
+FIELD = """
+k as (select s_suppkey as k, (s_acctbal / 5000 - 0.9)::double as a from supplier),
+v as (select (k // 10) || ',' || (k % 10) as id, k, (k // 10)::int as i, (k % 10)::int as j, a from k),
+e as (select x.id as src, y.id as dst, x.k % 7 / 7.0::double - 0.4 as b from v x join v y on y.k = x.k + 1 and y.i = x.i union all select x.id, y.id, x.k % 5 / 5.0::double - 0.4 from v x join v y on y.k = x.k + 10)
+"""
+
+
+def draw_sql(*parts: str) -> str:
+    """SQL of weft.functions.columns.draw."""
+    return "('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 12))::bigint"
+
 
 
 def query(graph, sql: str | None = None, recursive: bool = False):
@@ -41,7 +51,7 @@ def query(graph, sql: str | None = None, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(graph(spark, sf_dir))
         if sql is not None:
-            base = {tables.session_graph: SESSION, tables.geo_graph: GEO, tables.trade_graph: TRADE}[graph]
+            base = {tables.session_graph: SESSION, tables.geo_graph: GEO, tables.trade_graph: TRADE, tables.field_graph: FIELD}[graph]
             ORACLES[f.__name__] = f"with {'recursive ' if recursive else ''}{base.strip()}{sql}"
         return f
 
@@ -227,9 +237,16 @@ def aggregate_neighbors(g):
     return found.select(F.split("path", ">")[0].alias("customer"), "path", "hop")
 
 
-@query(tables.geo_graph)
+def belief_sql(rounds: int) -> str:
+    steps = ["b0 as materialized (select id, (i + j) % 2 as color, a, 0.0::double as belief from v)", "n as materialized (select src as x, dst as y, b from e union all select dst, src, b from e)"]
+    for k in range(2 * rounds):
+        steps.append(f"b{k + 1} as materialized (select o.id, o.color, o.a, case when o.color = {k % 2} then 1 / (1 + exp(-(o.a + coalesce((select sum(n.b * p.belief) from n join b{k} p on p.id = n.y where n.x = o.id), 0)))) else o.belief end as belief from b{k} o)")
+    return f", {', '.join(steps)} select id, round(belief, 4) as belief from b{2 * rounds}"
+
+
+@query(tables.field_graph, belief_sql(3))
 def belief_propagation(g):
-    return run_bp(generators.ising_grid(g.vertices.sparkSession, 6), 5).select("id", F.round("belief", 4).alias("belief"))
+    return run_bp(g, 3).select("id", F.round("belief", 4).alias("belief"))
 
 
 # == paths
@@ -371,8 +388,9 @@ def triangle_count(g):
     return g.triangle_count()
 
 
-@query(session)
+@query(session, TRIANGLES)
 def triangle_count_approx(g):
+    # a sketch of 2 ** 12 entries is exact up to so many neighbours, which a user of the test tables hasn't
     return g.triangle_count("approx")
 
 
@@ -386,7 +404,17 @@ def k_core(g):
     return g.k_core().select("id", "kcore")
 
 
-@query(session)
+def independent_sql(rounds: int) -> str:
+    steps = ["m0 as materialized (select id from v)", "nbs as materialized (select x, y from nb)"]
+    for k in range(rounds):
+        h = lambda c: draw_sql(c, "'42'", f"'{k}'")  # noqa: E731, B023
+        steps.append(f"h{k} as materialized (select id, {h('id')} as h from m{k})")
+        steps.append(f"j{k} as materialized (select o.id from h{k} o where not exists (select 1 from nbs join h{k} p on p.id = nbs.y where nbs.x = o.id and (p.h, p.id) < (o.h, o.id)))")
+        steps.append(f"m{k + 1} as materialized (select id from m{k} where id not in (select id from j{k}) and id not in (select nbs.y from nbs join j{k} on j{k}.id = nbs.x))")
+    return ", " + ", ".join(steps) + " " + " union all ".join(f"select id from j{k}" for k in range(rounds))
+
+
+@query(session, independent_sql(12))
 def maximal_independent_set(g):
     return g.maximal_independent_set()
 
@@ -405,27 +433,50 @@ def svd_plus_plus(g):
 
 # == walks and embeddings
 
+WALKS = f""", nn as (select distinct id, nbr from (select src as id, dst as nbr from e union all select dst, src from e)),
+few as materialized (select * from (select id, nbr, row_number() over (partition by id order by {draw_sql("id", "nbr", "'42'")}, nbr) as k from nn) where k <= 50),
+sz as materialized (select id, max(k) as n from few group by 1),
+r(walk, home, cur, step, seen) as (
+  select sz.id || '-' || t.w, sz.id, sz.id, 0, cast([] as bigint[]) from sz join v using (id), range(1, 3) t(w)
+  union all
+  select r.walk, r.home, case when {draw_sql("r.walk", "r.step", "'42'", "'restart'")} / 281474976710656.0::double < 0.1 then r.home else b.nbr end, r.step + 1, list_append(r.seen, r.cur)
+  from r join sz on sz.id = r.cur join few b on b.id = r.cur and b.k = {draw_sql("r.walk", "r.step", "'42'")} % sz.n + 1 where r.step < 10)
+select walk as random_walk_uuid, array_to_string(seen, '>') as walk from r where step = 10"""
 
-@query(session)
+
+@query(session, WALKS, True)
 def random_walks(g):
     return g.random_walks(num_walks_per_node=2, batch_size=5, num_batches=2).select("random_walk_uuid", F.array_join("random_walk", ">").alias("walk"))
 
 
-@query(session)
-def hash2vec(g):
-    return walks.hash2vec(g.random_walks(num_walks_per_node=2, batch_size=5, num_batches=1), dim=32).select("id", F.round(vector_to_array("embedding")[0], 6).alias("x0"), F.size(vector_to_array("embedding")).alias("n"))
+def slots(found):
+    return found.select("id", F.posexplode(vector_to_array("embedding")).alias("slot", "x")).select("id", "slot", F.round("x", 5).alias("x"))
+
+
+def hash2vec(spark, sf_dir):
+    """Parts by the parts that stand near them in orders."""
+    items = tables.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    return slots(walks.hash2vec(items.select(F.expr("transform(l, x -> x.l_partkey)").alias("random_walk")), dim=16))
+
+
+QUERIES["hash2vec"] = hash2vec
+ORACLES["hash2vec"] = f"""with w as (select l_orderkey, list(l_partkey order by l_linenumber, l_partkey) as w from lineitem group by 1),
+p as (select w, unnest(range(1, len(w) + 1)) as i from w), q as (select w[i] as id, w, i, unnest(range(greatest(1, i - 5), least(len(w), i + 5) + 1)) as j from p),
+c as (select id, w[j] as c, sum(exp(-((i - j) * (i - j))::double)) as w from q where i <> j group by 1, 2),
+s as (select id, {draw_sql("c", "'42'")} % 16 as slot, sum(w * case when {draw_sql("c", "'18'")} % 2 = 0 then 1.0 else -1.0 end) as x from c group by 1, 2),
+n as (select id, sqrt(sum(x * x)) as n from s group by 1), ids as (select distinct l_partkey as id from lineitem)
+select ids.id, k.slot::int as slot, round(case when n.n is null then 0.0 when k.slot = 16 then ln(n.n + 1) / sqrt(16.0::double) else coalesce(s.x, 0.0) / (n.n + 1e-6) end, 5) as x
+from ids cross join range(17) k(slot) left join n on n.id = ids.id left join s on s.id = ids.id and s.slot = k.slot"""
 
 
 @query(session)
 def walk_embeddings_with_neighbors(g):
-    found = RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=2, batch_size=5, num_batches=1).set_hash2vec(dim=16).set_neighbors_aggregation().run()
-    return found.select("id", F.size(vector_to_array("embedding")).alias("n"))
+    return slots(RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=2, batch_size=5, num_batches=1).set_hash2vec(dim=16).set_neighbors_aggregation().run())
 
 
 @query(session)
 def word2vec_embeddings(g):
-    found = RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=2, batch_size=5, num_batches=1).set_word2vec(vector_size=8).run()
-    return found.select("id", F.size(vector_to_array("embedding")).alias("n"))
+    return slots(RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=2, batch_size=5, num_batches=1).set_word2vec(vector_size=8).run())
 
 
 # == property graphs, sources
@@ -467,6 +518,22 @@ def property_graph_join_back(p):
 ORACLES["property_graph_join_back"] = "select o_custkey::varchar as external_id, 'customer' as property_group, count(*)::int as n from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey group by 1"
 
 
+@query(session, " select e.src as id, count(*)::int as n, min(v.n_events) as least, max(v.n_events) as most from e join v on v.id = e.dst group by 1")
+def collect_neighbors(g):
+    return g.collect_neighbors("out").select("id", F.size("neighbors").alias("n"), F.array_min("neighbors.n_events").alias("least"), F.array_max("neighbors.n_events").alias("most"))
+
+
+@query(session, " select e.src, e.dst, a.n_events - b.n_events as gap, upper(e.event_type) as kind from e join v a on a.id = e.src join v b on b.id = e.dst")
+def map_triplets(g):
+    return g.map_triplets(gap=F.col("src.n_events") - F.col("dst.n_events"), kind=F.upper("edge.event_type")).edges
+
+
+@query(session, " select src, dst, event_id from e where src in (select dst from e group by 1 having count(*) > 60) and dst in (select dst from e group by 1 having count(*) > 60)")
+def filter_preprocessed(g):
+    busy = lambda x: Graph(x.vertices.join(x.in_degrees, "id", "left"), x.edges)
+    return g.filter(busy, vertex_condition="inDegree > 60").edges.select("src", "dst", "event_id")
+
+
 @query(tables.link_graph)
 def link_out_degrees(g):
     return g.out_degrees.withColumnRenamed("outDegree", "n")
@@ -489,4 +556,10 @@ def generated_log_normal(spark, sf_dir):
 
 for f in (generated_grid, generated_rmat, generated_log_normal):
     QUERIES[f.__name__] = f
+BITS = "with b as (select t.id, k, {u} as u from range(240) t(id), range(6) s(k)), c as (select id, sum((u >= 0.6)::int << (5 - k))::bigint as src, sum(((u >= 0.45 and u < 0.6) or u >= 0.75)::int << (5 - k))::bigint as dst from b group by id)"
+ORACLES["generated_rmat"] = BITS.format(u=draw_sql("t.id", "k", "'42'") + " / 281474976710656.0::double") + " select src, dst from (select src, dst, min(id) as k from c group by 1, 2 order by k limit 200)"
+ORACLES["generated_log_normal"] = f"""with u as (select id, {draw_sql("id", "'42'", "'1'")} / 281474976710656.0::double as u1, {draw_sql("id", "'42'", "'2'")} / 281474976710656.0::double as u2 from range(50) t(id)),
+d as (select id, least(50, floor(exp(1.0 + 0.5 * sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2))))::int as degree from u),
+e as (select id as src, unnest(range(1, degree + 1)) as k from d where degree > 0)
+select src, floor({draw_sql("src", "k", "'42'")} / 281474976710656.0::double * 50)::bigint as dst, 1 as attr from e"""
 ORACLES["generated_grid"] = "select r * 7 + c as src, r * 7 + c + 1 as dst from range(6) a(r), range(6) b(c) union all select r * 7 + c, r * 7 + c + 7 from range(5) a(r), range(7) b(c)"

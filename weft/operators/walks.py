@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.errors import UnsupportedVertexType
-from weft.functions.columns import quote, unit_hash
-from weft.plans.iterate import Rounds
+from weft.functions.columns import draw, quote, unit_hash
+from weft.plans.iterate import Rounds, remove_table
 
 WALK_ID_TYPES = ("string", "tinyint", "smallint", "int", "bigint")
 
@@ -18,47 +21,56 @@ def sampled_neighbors(g, max_nbrs: int, use_edge_direction: bool, seed: int) ->
     e = g.edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr"))
     if not use_edge_direction:
         e = e.unionAll(e.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")))
-    order = Window.partitionBy("id").orderBy(F.xxhash64("id", "nbr", F.lit(seed)), "nbr")
+    order = Window.partitionBy("id").orderBy(draw(F.col("id"), F.col("nbr"), seed), "nbr")
     return e.where("id is not null and nbr is not null").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_nbrs)
 
 
-def random_walks(g, max_nbrs: int = 50, num_walks_per_node: int = 5, batch_size: int = 10, num_batches: int = 5, use_edge_direction: bool = False, restart_probability: float = 0.1, seed: int = 42, path: str | None = None) -> DataFrame:
+def random_walks(g, max_nbrs: int = 50, num_walks_per_node: int = 5, batch_size: int = 10, num_batches: int = 5, use_edge_direction: bool = False, restart_probability: float = 0.1, seed: int = 42, path: str | None = None, run_id: str | None = None, starting_batch: int = 0) -> DataFrame:
     """(random_walk_uuid, random_walk): walks with restart of num_batches x batch_size vertices.
 
     Each step appends the current vertex, then goes to the start with restart_probability or to a sampled neighbour; from a vertex without
     neighbours it goes to the start. Vertices without neighbours start no walks. All choices are hashes of (walk, step, seed): runs repeat.
-    path: folder to write the walks to, one sub-folder a batch; each batch is materialised in any case.
+    path: folder to keep the walks in, as <path>/<run_id>/batch=<number>, each batch written whole before the next begins (run_id: a new one if none is given).
+    starting_batch: go on from there with the batches before it that run_id has in path; the walks are those of an uninterrupted run.
     """
     kind = dict(g.vertices.dtypes)["id"]
     if kind not in WALK_ID_TYPES:
         raise UnsupportedVertexType(f"walks need string or integral ids, not {kind}")
-    rounds = Rounds(g.vertices.sparkSession, "walks")
+    if not 0 <= starting_batch < num_batches:
+        raise ValueError("starting_batch must be one of the batches")
+    if starting_batch and not (path and run_id):
+        raise ValueError("to go on, path and run_id are needed")
+    spark = g.vertices.sparkSession
+    rounds = Rounds(spark, "walks")
+    home = f"{path or rounds.home}/{run_id or uuid.uuid4().hex}"
+    batch = lambda b: f"{home}/batch={b}"
+    schema = f"walk string, home {kind}, at {kind}, seen array<{kind}>"
     nbrs = rounds.cut(sampled_neighbors(g, max_nbrs, use_edge_direction, seed))
     sizes = nbrs.groupBy("id").agg(F.max("k").alias("size"))
     lists = rounds.cache(nbrs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "nbr"))).alias("l")).select("id", F.expr("transform(l, x -> x.nbr)").alias("nbrs")).repartition("id"))
-    starts = sizes.join(g.vertices.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.sequence(F.lit(1), F.lit(num_walks_per_node))).alias("w"))
-    state = rounds.cut(starts.select(F.concat_ws("-", F.col("id").cast("string"), F.col("w").cast("string")).alias("walk"), F.col("id").alias("home"), F.col("id").alias("at")))
-    parts = []
-    for b in range(num_batches):
+    if starting_batch:
+        state = spark.read.schema(schema).parquet(batch(starting_batch - 1)).select("walk", "home", "at")
+    else:
+        starts = sizes.join(g.vertices.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.sequence(F.lit(1), F.lit(num_walks_per_node))).alias("w"))
+        state = rounds.cut(starts.select(F.concat_ws("-", F.col("id").cast("string"), F.col("w").cast("string")).alias("walk"), F.col("id").alias("home"), F.col("id").alias("at")))
+    for b in range(starting_batch, num_batches):
         part = state.withColumn("seen", F.array().cast(f"array<{kind}>"))
         for s in range(batch_size):
             k = b * batch_size + s
             moved = part.join(lists, part["at"] == lists["id"], "left").drop("id")
-            pick = F.element_at("nbrs", (F.pmod(F.xxhash64("walk", F.lit(k), F.lit(seed)), F.size("nbrs")) + 1).cast("int"))
-            home = F.col("nbrs").isNull() | (unit_hash(F.col("walk"), k, seed, "restart") < restart_probability)
-            part = moved.select("walk", "home", F.when(home, F.col("home")).otherwise(pick).alias("next"), F.array_append("seen", F.col("at")).alias("seen")).withColumnRenamed("next", "at")
+            pick = F.element_at("nbrs", (draw(F.col("walk"), k, seed) % F.size("nbrs") + 1).cast("int"))
+            away = F.col("nbrs").isNull() | (unit_hash(F.col("walk"), k, seed, "restart") < restart_probability)
+            part = moved.select("walk", "home", F.when(away, F.col("home")).otherwise(pick).alias("next"), F.array_append("seen", F.col("at")).alias("seen")).withColumnRenamed("next", "at")
             if s % 5 == 4:
                 part = rounds.cut(part)
-        part = rounds.cut(part)
-        if path:
-            part.select("walk", "seen").write.mode("overwrite").parquet(f"{path}/batch={b}")
-        parts.append(part.select("walk", F.lit(b).alias("b"), "seen"))
-        state = part.select("walk", "home", "at")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    joined = every.groupBy("walk").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(b, seen))), x -> x.seen)")).alias("random_walk"))
-    return rounds.close(joined.select(F.col("walk").alias("random_walk_uuid"), "random_walk"))
+        part.select("walk", "home", "at", "seen").write.mode("overwrite").parquet(batch(b))
+        state = spark.read.schema(schema).parquet(batch(b)).select("walk", "home", "at")
+    every = [spark.read.schema(schema).parquet(batch(b)).select("walk", F.lit(b).alias("b"), "seen") for b in range(num_batches)]
+    joined = reduce(DataFrame.unionAll, every).groupBy("walk").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(b, seen))), x -> x.seen)")).alias("random_walk"))
+    done = rounds.close(joined.select(F.col("walk").alias("random_walk_uuid"), "random_walk"))
+    if not path:
+        remove_table(spark, home)
+    return done
 
 
 def hash2vec(walks: DataFrame, column: str = "random_walk", context_size: int = 5, dim: int = 512, decay: str = "gaussian", sigma: float = 1.0, hash_seed: int = 42, sign_seed: int = 18, normalize: bool = True, safe_norm: bool = True) -> DataFrame:
@@ -75,7 +87,7 @@ def hash2vec(walks: DataFrame, column: str = "random_walk", context_size: int =
     weight = F.exp(-(F.col("d") * F.col("d")) / F.lit(float(sigma * sigma))) if decay == "gaussian" else F.lit(1.0)
     # contexts of one element are added up before they are spread over slots
     close = near.groupBy("id", "c").agg(F.sum(weight).alias("w"))
-    slot = close.groupBy("id", F.pmod(F.xxhash64("c", F.lit(hash_seed)), F.lit(dim)).cast("int").alias("slot")).agg(F.sum(F.col("w") * F.when(F.pmod(F.xxhash64("c", F.lit(sign_seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("x"))
+    slot = close.groupBy("id", (draw(F.col("c"), hash_seed) % dim).cast("int").alias("slot")).agg(F.sum(F.col("w") * F.when(draw(F.col("c"), sign_seed) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
     maps = slot.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     dense = F.expr(f"transform(sequence(0, {dim - 1}), k -> coalesce(m[k], 0D))")
     if normalize:
@@ -115,7 +127,7 @@ class RandomWalkEmbeddings:
     """Walks, then a sequence model, then neighbour aggregation."""
 
     def __init__(self, graph):
-        self.graph, self.walks_path, self.walk_options, self.model, self.nbrs = graph, None, {}, None, None
+        self.graph, self.walks_path, self.walk_options, self.model, self.nbrs, self.clean_up = graph, None, {}, None, None, False
 
     def use_cached_random_walks(self, path: str):
         """Take the walks from a Parquet folder instead of making them."""
@@ -144,15 +156,29 @@ class RandomWalkEmbeddings:
         return self
 
     def set_clean_up_after_run(self, clean_up: bool = True):
-        """Accepted: walks live in the shared scratch folder unless a path is given."""
+        """The walks that the run makes are deleted when it ends, also where a path was given for them; those of use_cached_random_walks never are."""
+        self.clean_up = clean_up
         return self
 
     def run(self) -> DataFrame:
         if self.model is None:
             raise ValueError("set a sequence model first: set_hash2vec or set_word2vec")
-        walks = self.graph.vertices.sparkSession.read.parquet(self.walks_path) if self.walks_path else random_walks(self.graph, **self.walk_options)
+        spark = self.graph.vertices.sparkSession
+        if self.walks_path:
+            walks = spark.read.parquet(self.walks_path)
+        else:
+            options = dict(self.walk_options)
+            if self.clean_up and options.get("path"):
+                options.setdefault("run_id", uuid.uuid4().hex)
+            walks = random_walks(self.graph, **options)
         found = self.model(walks)
-        return sampling_convolution(self.graph, found, **self.nbrs) if self.nbrs else found
+        done = sampling_convolution(self.graph, found, **self.nbrs) if self.nbrs else found
+        if not self.clean_up or self.walks_path:
+            return done
+        done = Rounds(spark, "embeddings").close(done)  # written, so that it needs the walks no more
+        for made in [walks.inputFiles()[0].rsplit("/", 1)[0], *([f"{options['path']}/{options['run_id']}"] if options.get("path") else [])]:
+            remove_table(spark, made)
+        return done
 
 
 def k_min(df: DataFrame, key: str, value: str, weight: Column, k: int) -> DataFrame:

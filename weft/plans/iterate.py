@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
+import functools
 import shutil
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -44,7 +47,7 @@ def remove_table(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def storage_level(value: StorageLevel | str) -> StorageLevel:
+def as_storage_level(value: StorageLevel | str) -> StorageLevel:
     if isinstance(value, StorageLevel):
         return value
     level = getattr(StorageLevel, value.upper(), None)
@@ -53,33 +56,76 @@ def storage_level(value: StorageLevel | str) -> StorageLevel:
     return level
 
 
+#: Options of the call that is being made; operators read them where they make their Rounds.
+CALL: contextvars.ContextVar = contextvars.ContextVar("weft call", default=None)
+
+
+def tuned(method):
+    """Adds the options that all iterative methods have; any other unknown argument stays an error.
+
+    checkpoint_interval: every how many steps the state is written (1: each); between, it is cached. storage_level: of what is cached.
+    use_local_checkpoints, broadcast_threshold: known for compatibility. State always goes to the shared folder, as executors can be lost, and adaptive
+    execution decides about broadcasts; asking for something else gives a warning.
+    """
+
+    @functools.wraps(method)
+    def run(*args, checkpoint_interval: int | None = None, storage_level: StorageLevel | str | None = None, use_local_checkpoints: bool = False, broadcast_threshold: int | None = None, **options):
+        if checkpoint_interval is not None and checkpoint_interval < 1:
+            raise ValueError("checkpoint_interval must be positive")
+        if use_local_checkpoints:
+            warnings.warn("no local checkpoints: state is written to the shared folder, which survives lost executors", stacklevel=2)
+        if broadcast_threshold not in (None, -1):
+            warnings.warn("broadcast_threshold has no effect: adaptive execution decides", stacklevel=2)
+        token = CALL.set((checkpoint_interval, None if storage_level is None else as_storage_level(storage_level)))
+        try:
+            return method(*args, **options)
+        finally:
+            CALL.reset(token)
+
+    return run
+
+
 class Rounds:
     """Materialises the state of each round as a table in the shared folder.
 
     The written table ends the lineage and survives the loss of any executor. Tables that later rounds have superseded are
-    deleted as the loop goes. `level` (setting weft.intermediateStorageLevel) is that of what is cached for all rounds.
+    deleted as the loop goes. Settings weft.checkpointInterval and weft.intermediateStorageLevel stand in for options that a call doesn't give.
     """
 
-    def __init__(self, spark: SparkSession, name: str, level: StorageLevel | str | None = None):
+    def __init__(self, spark: SparkSession, name: str):
         self.spark, self.home, self.k = spark, f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}", 0
-        self.level = storage_level(level if level is not None else setting(spark, "intermediateStorageLevel", "MEMORY_AND_DISK"))
+        interval, level = CALL.get() or (None, None)
+        self.interval = interval or setting(spark, "checkpointInterval", 1)
+        self.level = level or as_storage_level(setting(spark, "intermediateStorageLevel", "MEMORY_AND_DISK"))
         self.cached: list[DataFrame] = []
-        self.paths: list[str] = []
+        self.made: list[str | DataFrame] = []
+        self.closing = False
 
     def cut(self, df: DataFrame, name: str = "") -> DataFrame:
-        path = f"{self.home}/{self.k}{name}"
+        """A step's result: written, or cached if it isn't the interval's turn."""
         self.k += 1
+        if self.k % self.interval:
+            self.made.append(df.persist(self.level))
+            return df
+        return self.write(df, name)
+
+    def write(self, df: DataFrame, name: str = "") -> DataFrame:
+        path = f"{self.home}/{self.k}{name}"
         df.write.parquet(path)
-        self.paths.append(path)
+        self.made.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def collector(self, name: str) -> Collector:
         return Collector(self, name)
 
     def forget(self, keep: int) -> None:
-        """Delete all but the last `keep` tables."""
-        while len(self.paths) > keep:
-            remove_table(self.spark, self.paths.pop(0))
+        """Delete all but the last `keep` tables. A cached one may rest on older ones, so with an interval nothing goes before the end."""
+        while len(self.made) > keep and (self.interval == 1 or self.closing):
+            old = self.made.pop(0)
+            if isinstance(old, str):
+                remove_table(self.spark, old)
+            else:
+                old.unpersist()
 
     def cache(self, df: DataFrame) -> DataFrame:
         """Cached until close(); recomputed from its source where an executor is lost."""
@@ -88,9 +134,11 @@ class Rounds:
 
     def close(self, result: DataFrame, keep: int = 1) -> DataFrame:
         """The result, materialised; nothing of the loop stays cached, and no other table is left."""
-        done = self.cut(result, "-result")
+        self.k += 1
+        done = self.write(result, "-result")
         for df in self.cached:
             df.unpersist()
+        self.closing = True
         self.forget(keep)
         return done
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,31 @@ def at(element: str, field: str) -> Column:
     return F.col(f"`{element}`").getField(field)
 
 
+def connected_order(terms: list[Vertex | Edge]) -> list[Vertex | Edge]:
+    """The terms in an order that joins rather than multiplies: of each run of terms without negation, those that touch what is bound
+    come first, in the given order otherwise. A negated term keeps its place, as it drops duplicates there; so do undirected ones,
+    which tag the rows."""
+    out: list[Vertex | Edge] = []
+    bound: set[str] = set()
+    names = lambda t: {t.name} if isinstance(t, Vertex) else {t.src, t.dst} - {""}
+    fixed = lambda t: isinstance(t, Edge) and (t.negated or not t.directed)
+    rest = list(terms)
+    while rest:
+        run = list(itertools.takewhile(lambda t: not fixed(t), rest))
+        rest = rest[len(run) :]
+        while run:
+            # an edge before a lone vertex: it may bind that too
+            k = next((i for i, t in enumerate(run) if names(t) & bound), next((i for i, t in enumerate(run) if isinstance(t, Edge)), 0))
+            bound |= names(run[k])
+            out.append(run.pop(k))
+        if rest:
+            bound |= names(rest[0])
+            out.append(rest.pop(0))
+    return out
+
+
 class Planner:
-    """Folds terms from left to right into one DataFrame."""
+    """Folds terms, in their connected order, into one DataFrame."""
 
     def __init__(self, vertices: DataFrame, edges: DataFrame, assume_valid: bool):
         self.v, self.e = vertices, edges
@@ -32,7 +56,7 @@ class Planner:
             return self.v.sparkSession.createDataFrame([], StructType([]))
         terms = [Vertex(n) for n in only_negated(terms)] + terms
         df, bound = None, set()
-        for t in terms:
+        for t in connected_order(terms):
             df, bound = self.step(df, bound, t)
         names = names_in_order(terms)
         tags = [c for c in TAGS if c in df.columns]

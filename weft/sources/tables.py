@@ -54,6 +54,17 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), e)
 
 
+def field_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Suppliers in rows of ten by key, with a field of their balance, coupled to the right and down by a function of the key."""
+    name = lambda k: F.concat_ws(",", F.floor(k / 10).cast("string"), (k % 10).cast("string"))
+    v = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") / 5000 - 0.9).cast("double").alias("a"))
+    v = v.select(name(F.col("k")).alias("id"), F.floor(F.col("k") / 10).cast("int").alias("i"), (F.col("k") % 10).cast("int").alias("j"), "a", "k")
+    side = lambda step, unit: v.select(F.col("id").alias("src"), name(F.col("k") + step).alias("dst"), (F.col("k") % unit / float(unit) - 0.4).alias("b"), "j")
+    e = side(1, 7).where("j < 9").unionAll(side(10, 5)).drop("j")
+    v = v.drop("k")
+    return Graph(v, e.join(v.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "b"))
+
+
 def rating_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers (2 x key) who bought parts (2 x key + 1), weight 1 to 5 by quantity."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
