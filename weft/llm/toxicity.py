@@ -80,6 +80,13 @@ class Texts:
         return np.where(inside, numbers[np.minimum(at, len(numbers) - 1)] + 1, 0)
 
 
+def sums_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of the rows of each."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return keys[order[first]], np.add.reduceat(values[order], first) if len(first) else values[:0]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -192,21 +199,24 @@ class Model:
         da = de[:, :, None] * self.va * (1 - a * a)
         g["wa"] = np.einsum("tnd,tnk->dk", states, da)
         dstates = dstates + da @ self.wa.T
-        dx = np.zeros_like(x)
+        at_step = np.ascontiguousarray(local.T).ravel()
+        read, dread = x[at_step], np.zeros((len(at_step), x.shape[1]), x.dtype)
         for d in (0, 1):
             u, dh = self.u[d], np.zeros((len(k), HIDDEN), np.float32)
-            dgates = np.zeros_like(gates[d])
+            dgates = np.empty((WINDOW, len(k), 3 * HIDDEN), x.dtype)
             for ti, h, z, r, c, hu in reversed(kept[d]):
                 dh = dh + dstates[ti, :, d * HIDDEN : (d + 1) * HIDDEN]
                 dc = dh * (1 - z) * (1 - c * c)
                 dz = dh * (h - c) * z * (1 - z)
                 dr = dc * hu * r * (1 - r)
                 dhu = np.concatenate([dz, dr, dc * r], 1)
-                np.add.at(dgates, local[:, ti], np.concatenate([dz, dr, dc], 1))
+                dgates[ti, :, : 2 * HIDDEN], dgates[ti, :, 2 * HIDDEN :] = dhu[:, : 2 * HIDDEN], dc
                 g["u"][d] += h.T @ dhu
                 dh = dh * z + dhu @ u.T
-            g["w"][d], g["b"][d] = x.T @ dgates, dgates.sum(0)
-            dx += dgates @ self.w[d].T
+            flat_gates = dgates.reshape(-1, 3 * HIDDEN)
+            g["w"][d], g["b"][d] = read.T @ flat_gates, flat_gates.sum(0)
+            dread += flat_gates @ self.w[d].T
+        dx = sums_of(at_step, dread)[1]  # each distinct word is read, so there is a row for each
         n = state["n"] = state.get("n", 0) + 1
         for name in self.NAMES:
             m, v = state.setdefault(name, [np.zeros_like(g[name]), np.zeros_like(g[name])])
@@ -217,9 +227,7 @@ class Model:
         grams, have = t.grams[real], t.grams[real] >= 0
         dg = (dx[:, DIMS + 2 :] / np.maximum(1, have.sum(1))[:, None])[:, None, :] * have[:, :, None]
         for table, rows, grad in ((self.word, t.word[real], dx[:, 1 : DIMS + 1]), (self.gram, np.where(have, grams, 0).ravel(), dg.reshape(-1, DIMS))):
-            own, inv = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(own), DIMS), np.float32)
-            np.add.at(total, inv, grad)
+            own, total = sums_of(rows, grad)
             acc = state.setdefault(id(table), np.zeros(BUCKETS, np.float32))
             acc[own] += (total**2).mean(1)
             table[own] -= 0.1 * total / (np.sqrt(acc[own]) + 1e-6)[:, None]
