@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import rows
-from weft.llm import common, decontamination, jaccard_join as jj
+from weft.llm import common, decontamination, jaccard_join as jj, substring_dedup as substrings
 from weft.llm.decontamination import find_contamination
 from weft.llm.jaccard_join import jaccard_join
 from weft.llm.line_dedup import line_dedup
@@ -66,9 +66,11 @@ def test_hashing_is_positional():
     assert len(set(common.hash_words(giant, s, e).tolist())) == 2
 
 
-@pytest.mark.parametrize("window", [50, 7])
-def test_substring_dedup(spark, window):
+@pytest.mark.parametrize("window, team", [(50, 4096), (7, 4096), (7, 2), (50, 3)])
+def test_substring_dedup(spark, window, team, monkeypatch):
     docs = corpus()
+    monkeypatch.setattr(substrings, "TEAM", team)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 4096 if team < 4096 else 2 << 20)
     got = Counter(tuple(r) for r in substring_dedup(frame(spark, docs), window=window, codes_per_part=500).collect())
     key = lambda i: (i is None, i or 0)
     first = {}
@@ -165,8 +167,8 @@ def test_big_groups_are_split(spark, monkeypatch):
 def test_line_dedup_keeps_columns_of_any_name(spark):
     d = spark.createDataFrame([(1, "a\nb", 3, 4, 5), (2, "a\nb", 6, 7, 8)], "doc_id long, text string, k_id int, `gone` int, `x.y` int")
     got = line_dedup(d)
-    assert got.columns == [*d.columns, "n_lines", "n_removed", "kept_text"]
-    assert sorted(map(tuple, got.collect())) == [(1, "a\nb", 3, 4, 5, 2, 0, "a\nb"), (2, "a\nb", 6, 7, 8, 2, 2, "")]
+    assert got.columns == [*d.columns, "n_lines", "n_removed", "kept_text", "all_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb", 3, 4, 5, 2, 0, "a\nb", False), (2, "a\nb", 6, 7, 8, 2, 2, "", True)]
 
 
 def test_line_dedup(spark):
@@ -189,7 +191,7 @@ def test_line_dedup(spark):
         want[(i, t)] = (len(gone), kept)
     assert got == want
     assert got[(9, "a b\nc d")] == (2, "") and got[(6, "s\ns\ns\ns")][0] == 3 and got[(7, None)] == (0, None)
-    assert line_dedup(frame(spark, docs)).columns == ["doc_id", "text", "source", "n", "chunk", "n_lines", "n_removed", "kept_text"]
+    assert line_dedup(frame(spark, docs)).columns == ["doc_id", "text", "source", "n", "chunk", "n_lines", "n_removed", "kept_text", "all_removed"]
 
 
 def test_long_lines_alone(spark):

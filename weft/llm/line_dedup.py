@@ -24,7 +24,7 @@ BLANKS = " \t\r\x0b\x0c"
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gram: int = 1, long_words: int | None = 51) -> DataFrame:
-    """The input rows with columns n_lines, n_removed and kept_text added.
+    """The input rows with columns n_lines, n_removed, kept_text and all_removed (has it lost all of its non-blank lines?) added.
 
     A line is deleted if it lies in a run of `run` consecutive non-blank lines that also
     starts at an earlier place, by (id, line number); lines are compared without the white space
@@ -33,14 +33,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any number of lines, if it stands at an earlier place too (None: no such rule). Blank lines are never deleted, except that a document left with no other lines is empty.
     Nulls: a null text has one blank line and stays null; null ids come after all ids, together with the largest long; rows of equal
     id (repeated rows) aren't earlier than each other. All other columns are kept as they are, whatever their names;
-    existing columns n_lines, n_removed and kept_text are replaced. An empty table gives an empty result.
+    existing columns of the added ones' names are replaced. An empty table gives an empty result.
     """
     if not 1 <= gram <= run:
         raise ValueError("needs 1 <= gram <= run")
     if long_words is not None and long_words < 1:
         raise ValueError("needs long_words >= 1")
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    docs = docs.drop("n_lines", "n_removed", "kept_text")
+    docs = docs.drop("n_lines", "n_removed", "kept_text", "all_removed")
     text = F.col(f"c{docs.columns.index(text_col)}").cast("string")
     # k_row tells apart rows of one id
     base = plain(docs).withColumns({"k_id": F.coalesce(F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.lit(int(NO_ID))), "k_row": row_key(text)})
@@ -50,35 +50,33 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mark = [F.transform("y", many).alias("m")] if long_words else []
     lines = lines.select("k_id", "k_row", F.expr("transform(y, z -> z.i)").alias("at"), F.transform("y", lambda z: F.xxhash64(z.s)).alias("h"), F.transform("y", lambda z: F.xxhash64(F.lit(7), z.s)).alias("g"), *mark)
     lines = lines.withColumn("n", F.size("h"))
-    grams = F.expr("h" if gram == 1 else f"transform(sequence(0, n - {gram}), j -> xxhash64(slice(h, j + 1, {gram})))")
+    grams = F.expr("h" if gram == 1 else f"case when n < {gram} then h else transform(sequence(0, n - {gram}), j -> xxhash64(slice(h, j + 1, {gram}))) end")
     width = run - gram + 1
     window = f"""transform(sequence(0, n - {run}), j -> struct(
         array_min(slice(k, j + 1, {width})) as f,
         j + cast({width} - array_position(reverse(slice(k, j + 1, {width})), array_min(slice(k, j + 1, {width}))) as int) as p,
         xxhash64(slice(h, j + 1, {run})) as a, xxhash64(7, slice(g, j + 1, {run})) as b, slice(at, j + 1, {run}) as at))"""
     short = "array(struct(xxhash64(n, h) as f, 0 as p, xxhash64(n, h) as a, xxhash64(7, n, g) as b, at as at))"
-    long = lines.where(f"n >= {run}").withColumn("k", grams).select("k_id", "k_row", F.explode(F.expr(window)).alias("w"))
-    few = lines.where(f"n < {run}").select("k_id", "k_row", F.explode(F.expr(short)).alias("w"))
-    found = long.unionAll(few)
+    found = f"case when n >= {run} then {window} else {short} end"
     if long_words:
-        alone = "transform(filter(sequence(0, n - 1), j -> m[j]), j -> struct(xxhash64(11, h[j]) as f, j as p, xxhash64(11, h[j]) as a, xxhash64(7, 11, g[j]) as b, array(at[j]) as at))"
-        found = found.unionAll(lines.select("k_id", "k_row", F.explode(F.expr(alone)).alias("w")))
-    windows = scratch.cut(found.select("k_id", "k_row", "w.*"), "windows")
+        found = f"concat({found}, transform(filter(sequence(0, n - 1), j -> m[j]), j -> struct(xxhash64(11, h[j]) as f, j as p, xxhash64(11, h[j]) as a, xxhash64(7, 11, g[j]) as b, array(at[j]) as at)))"
+    found = lines.withColumn("k", grams).select("k_id", "k_row", "n", F.explode(F.expr(found)).alias("w"))
+    windows = scratch.cut(found.select("k_id", "k_row", "n", "w.*"), "windows")
     places = windows.select("k_id", "k_row", "p", "f").distinct()
     again = places.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
     near = windows.join(again, "f", "left_semi")
     firsts = near.groupBy("a", "b").agg(F.min(F.struct("k_id", F.expr("at[0]").alias("i"))).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     late = near.join(firsts, ["a", "b"]).where("struct(k_id, at[0]) > first")
-    gone = scratch.cut(late.select("k_id", "k_row", F.explode("at").alias("i")).groupBy("k_id", "k_row").agg(F.collect_set("i").alias("gone")), "gone")
+    gone = scratch.cut(late.select("k_id", "k_row", "n", F.explode("at").alias("i")).groupBy("k_id", "k_row").agg(F.collect_set("i").alias("gone"), F.max("n").alias("n")), "gone")
     scratch.keep(gone)
-    # texts are split again after the join, so that they move once and whole
-    done = base.join(gone.hint("shuffle_hash"), ["k_id", "k_row"], "left").withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    every = F.split(text, "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "gone"), lambda i: F.get(every, i))
-    rest = F.when(F.exists(left, lambda x: F.btrim(x, F.lit(BLANKS)) != ""), F.array_join(left, "\n")).otherwise(F.lit(""))
-    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
-    kept = F.when(F.col("n_removed") == 0, text).otherwise(rest)
-    return done.select(*[f"c{i}" for i in range(len(docs.columns))], n_lines, "n_removed", kept).toDF(*docs.columns, "n_lines", "n_removed", "kept_text")
+    # texts are split again after the join, so that they move once and whole, and only those that lose lines
+    done = base.join(gone.hint("shuffle_hash"), ["k_id", "k_row"], "left").withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
+    done = done.withColumn("k_lines", F.when(F.col("n_removed") > 0, F.split(text, "\n", -1)))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(k_lines) - 1), gone), i -> k_lines[i]), '\n')")
+    kept = F.when(F.col("n_removed") == 0, text).when(F.col("n_removed") == F.col("n"), F.lit("")).otherwise(left)
+    n_lines = F.coalesce(F.when(F.col("k_lines").isNotNull(), F.size("k_lines").cast("long")), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
+    all_gone = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n"))
+    return done.select(*[f"c{i}" for i in range(len(docs.columns))], n_lines, "n_removed", kept, F.coalesce(all_gone, F.lit(False))).toDF(*docs.columns, "n_lines", "n_removed", "kept_text", "all_removed")
 
 
 SQL = r"""

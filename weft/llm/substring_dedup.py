@@ -6,7 +6,8 @@ hits, maximal exact repeats are found: a hit is extended to all the windows of
 `window` words that hold it, and each of those is compared by two hashes, 96 bits in all,
 with the first document that has it. Nothing is listed pair by pair: both
 probes and windows are pre-aggregated within a chunk of documents before they
-move, so a passage that a third of all documents share costs one entry a chunk.
+move, so a passage that a third of all documents share costs one entry a chunk. Where there are many chunks, teams of them
+are merged first, so that no task holds an entry of each chunk either.
 
 The blocks have at most (window + 1) / 2 words, so that every window of any
 reference document holds a whole one of its blocks.
@@ -30,6 +31,9 @@ PROBES = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32(
 HITS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("codes", pa.binary())])
 WINDOWS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("second", pa.binary()), ("doc", pa.binary())])
 EARLIER = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+FIRSTS = pa.schema([("part", pa.int64()), ("team", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("second", pa.binary()), ("doc", pa.binary())])
+#: Chunks whose entries of one part are merged in one task. Where there are more chunks, teams of so many are merged first, then what is left of each.
+TEAM = 4096
 DDL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
 
 
@@ -61,9 +65,13 @@ def probes(c: Chunk, block: int, parts: int) -> Iterator[tuple]:
         yield p, c.chunk, z - a, enc_sorted(short[a:z] & LOW), enc_bits(is_block[a:z]), enc_bits(multi[a:z])
 
 
-def match(table: pa.Table) -> pa.Table:
-    """Codes of one part that are a block somewhere and occur in two documents, by chunk."""
-    rows = [r for b in table.to_batches() for r in batch_rows(b)]
+def rows_of(table: pa.Table) -> list[dict]:
+    return [r for b in table.to_batches() for r in batch_rows(b)]
+
+
+def merged(rows: list[dict]):
+    """Codes of rows of one part, one after the other, with their order and the first of each distinct one in it; is a code a block
+    somewhere, and in two documents?"""
     codes = [dec_sorted(r["codes"]).astype(np.uint32) for r in rows]
     n = [len(x) for x in codes]
     every = np.concatenate(codes)
@@ -72,17 +80,55 @@ def match(table: pa.Table) -> pa.Table:
     order = np.argsort(every, kind="stable")
     first = np.flatnonzero(np.diff(every[order].astype(np.int64), prepend=-1))
     size = np.diff(np.append(first, len(every)))
-    shared = ((size > 1) | np.logical_or.reduceat(multi[order], first)) & np.logical_or.reduceat(block[order], first)
+    return codes, every, order, first, size, np.logical_or.reduceat(block[order], first), (size > 1) | np.logical_or.reduceat(multi[order], first)
+
+
+def match(table: pa.Table) -> pa.Table:
+    """Codes of one part that are a block somewhere and occur in two documents, by chunk."""
+    rows = rows_of(table)
+    codes, every, order, _, size, block, multi = merged(rows)
     hit = np.zeros(len(every), bool)
-    hit[order] = np.repeat(shared, size)
+    hit[order] = np.repeat(block & multi, size)
     out, at = [], 0
-    for r, x, k in zip(rows, codes, n):
-        if (own := hit[at : at + k]).any():
+    for r, x in zip(rows, codes):
+        if (own := hit[at : at + len(x)]).any():
             out.append((r["chunk"], r["part"], enc_sorted(x[own].astype(np.uint64))))
-        at += k
+        at += len(x)
+    return table_of(HITS, out)
+
+
+def team_codes(table: pa.Table) -> pa.Table:
+    """What a team has of one part, as if it were one chunk (its number is the team's)."""
+    rows = rows_of(table)
+    _, every, order, first, _, block, multi = merged(rows)
+    own = every[order[first]].astype(np.uint64)
+    return table_of(PROBES, [(rows[0]["part"], rows[0]["team"], len(own), enc_sorted(own), enc_bits(block), enc_bits(multi))])
+
+
+def team_hits(table: pa.Table, hits: pa.Table) -> pa.Table:
+    """The hits of a team, given to those of its chunks that have them."""
+    known = [dec_sorted(r["codes"]) for r in rows_of(hits)]
+    if not known or not table.num_rows:
+        return table_of(HITS, [])
+    out = []
+    for r in rows_of(table):
+        own = dec_sorted(r["codes"])
+        own = own[np.isin(own, known[0], assume_unique=True)]
+        if len(own):
+            out.append((r["chunk"], r["part"], enc_sorted(own)))
     return table_of(HITS, out)
 
 
+def shared_codes(probes: DataFrame, teams: int, scratch: Scratch) -> DataFrame:
+    """(chunk, part, codes): the hits of each chunk."""
+    if teams <= 1:
+        return probes.groupBy("part").applyInArrow(match, ddl(HITS))
+    probes = scratch.cut(probes.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams))), "probes")
+    of_teams = probes.groupBy("part", "team").applyInArrow(team_codes, ddl(PROBES))
+    hits = of_teams.groupBy("part").applyInArrow(match, ddl(HITS)).withColumnRenamed("chunk", "team")
+    return probes.groupBy("part", "team").cogroup(hits.groupBy("part", "team")).applyInArrow(team_hits, ddl(HITS))
+
+
 def candidates(c: Chunk, hits: list[dict], block: int, window: int, parts: int):
     """The windows that hold a hit: starts, number of the distinct window at each start, and of each
     distinct window: part, both hashes and its smallest document id here."""
@@ -116,20 +162,19 @@ def candidates(c: Chunk, hits: list[dict], block: int, window: int, parts: int):
     return at, number, p[first], a[first], b[first], least
 
 
-def first_docs(table: pa.Table) -> pa.Table:
-    """For each chunk's distinct windows of one part: has a smaller document id of another chunk it too?"""
-    rows = [r for b in table.to_batches() for r in batch_rows(b)]
+def windows_of(rows: list[dict]):
+    """Hashes (both) and documents of rows of one part, one after the other, with their order and the first of each distinct window in it."""
     low = np.concatenate([dec_sorted(r["low"]) for r in rows])
     high, second = (np.concatenate([dec(r[k], np.uint32) for r in rows]) for k in ("high", "second"))
     doc = np.concatenate([dec(r["doc"], np.int64) for r in rows])
     h = (high.astype(np.uint64) << np.uint64(32)) | low
-    order = np.lexsort((second, h))
+    order = np.lexsort((second, high, low))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1])
-    first = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
-    earlier = np.empty(len(order), bool)
-    earlier[order] = least < doc[order]
+    return h, second, doc, order, np.flatnonzero(new)
+
+
+def marked(rows: list[dict], earlier: np.ndarray) -> pa.Table:
     out, at = [], 0
     for r in rows:
         own = earlier[at : at + r["n"]]
@@ -139,6 +184,57 @@ def first_docs(table: pa.Table) -> pa.Table:
     return table_of(EARLIER, out)
 
 
+def first_docs(table: pa.Table) -> pa.Table:
+    """For each chunk's distinct windows of one part: has a smaller document id of another chunk it too?"""
+    rows = rows_of(table)
+    _, _, doc, order, first = windows_of(rows)
+    earlier = np.empty(len(order), bool)
+    earlier[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order)))) < doc[order]
+    return marked(rows, earlier)
+
+
+def firsts_row(part: int, team: int, h: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple:
+    return part, team, enc_sorted(h & LOW), enc((h >> np.uint64(32)).astype(np.uint32)), enc(second), enc(doc)
+
+
+def team_firsts(table: pa.Table) -> pa.Table:
+    """The distinct windows that a team has of one part, each with its smallest document id."""
+    rows = rows_of(table)
+    h, second, doc, order, first = windows_of(rows)
+    at = order[first]
+    return table_of(FIRSTS, [firsts_row(rows[0]["part"], rows[0]["team"], h[at], second[at], np.minimum.reduceat(doc[order], first))])
+
+
+def all_firsts(table: pa.Table) -> pa.Table:
+    """The same for each team, with the smallest document id of all teams."""
+    rows = rows_of(table)
+    h, second, doc, order, first = windows_of(rows)
+    doc = doc.copy()
+    doc[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+    ends = np.cumsum([len(dec(r["doc"], np.int64)) for r in rows])
+    return table_of(FIRSTS, [firsts_row(r["part"], r["team"], h[a:z], second[a:z], doc[a:z]) for r, a, z in zip(rows, np.append(0, ends), ends)])
+
+
+def team_earlier(table: pa.Table, firsts: pa.Table) -> pa.Table:
+    rows, known = rows_of(table), rows_of(firsts)
+    if not rows or not known:
+        return table_of(EARLIER, [])
+    h, second, doc, order, first = windows_of(rows)
+    _, _, least, by, _ = windows_of(known)  # as many distinct windows, in the same order
+    earlier = np.empty(len(order), bool)
+    earlier[order] = np.repeat(least[by], np.diff(np.append(first, len(order)))) < doc[order]
+    return marked(rows, earlier)
+
+
+def earlier_windows(found: DataFrame, teams: int, scratch: Scratch) -> DataFrame:
+    """(chunk, part, n, bits): which of a chunk's windows are in a smaller document of another chunk too."""
+    if teams <= 1:
+        return found.groupBy("part").applyInArrow(first_docs, ddl(EARLIER))
+    found = scratch.cut(found.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams))), "windows")
+    firsts = found.groupBy("part", "team").applyInArrow(team_firsts, ddl(FIRSTS)).groupBy("part").applyInArrow(all_firsts, ddl(FIRSTS))
+    return found.groupBy("part", "team").cogroup(firsts.groupBy("part", "team")).applyInArrow(team_earlier, ddl(EARLIER))
+
+
 def removed_words(c: Chunk, hits: list[dict] | None, bits: list[dict] | None, block: int, window: int, parts: int) -> np.ndarray:
     gone = np.zeros(len(c.doc), bool)
     if not hits:
@@ -171,8 +267,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = (window + 1) // 2
     scratch = Scratch(docs.sparkSession, "substring")
     packed = scratch.cut(pack(docs, id_col, text_col), "text")
-    total = packed.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(12, math.ceil(total / codes_per_part))
+    total, chunks = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+    parts, teams = max(12, math.ceil(total / codes_per_part)), math.ceil(chunks / TEAM)
 
     def probe(batches):
         for b in batches:
@@ -181,7 +277,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for k in range(0, len(out), 2000):
                     yield batch_of(PROBES, out[k : k + 2000])
 
-    hits = scratch.cut(packed.mapInArrow(probe, ddl(PROBES)).groupBy("part").applyInArrow(match, ddl(HITS)), "hits")
+    hits = scratch.cut(shared_codes(packed.mapInArrow(probe, ddl(PROBES)), teams, scratch), "hits")
+    scratch.keep(packed, hits)
     by_chunk = hits.groupBy("chunk").agg(F.collect_list(F.struct("part", "codes")).alias("hits"))
 
     def windows(batches):
@@ -193,7 +290,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield batch_of(WINDOWS, out[k : k + 2000])
 
     found = packed.join(by_chunk.hint("shuffle_hash"), "chunk").mapInArrow(windows, ddl(WINDOWS))
-    bits = scratch.cut(found.groupBy("part").applyInArrow(first_docs, ddl(EARLIER)), "first")
+    bits = scratch.cut(earlier_windows(found, teams, scratch), "first")
+    scratch.keep(packed, hits, bits)
     bits_by_chunk = bits.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "bits")).alias("earlier"))
     result = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text)
 
