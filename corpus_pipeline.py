@@ -50,7 +50,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines and of single lines of over 50 words go, and documents of which nothing is left by that."""
     rows, own = renamed(docs)
-    done = line_dedup(rows, own["doc_id"], own["text"]).where("n_removed = 0 or kept_text <> ''")
+    done = line_dedup(rows, own["doc_id"], own["text"]).where("not all_removed")
     changed = {own["text"]: F.col("kept_text")}
     if "n_chars" in own:
         changed[own["n_chars"]] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(own["n_chars"]))
