@@ -19,6 +19,17 @@ def store(spark):
     return PropertyGraph([people, movies], [likes, talk])
 
 
+def test_projection_in_blocks(spark, monkeypatch):
+    from weft import property_graph
+
+    monkeypatch.setattr(property_graph, "HUB", 3)
+    pairs = [(i, j) for i in range(12) for j in range(3) if (i * j) % 5 < 3]
+    a, b = (VertexGroup(n, spark.range(12).toDF("id")) for n in "ab")
+    p = PropertyGraph([a, b], [EdgeGroup("e", spark.createDataFrame([*pairs, (1, None)], "src long, dst long"), a, b, False)])
+    got = p.projection_by("a", "b", "e").edge_groups["projected_e"].data
+    assert rows(got, "src", "dst") == sorted(((x, y) for x, j in pairs for y, k in pairs if j == k and x < y), key=repr)
+
+
 def test_property_graph(spark, store):
     g = store.to_graph(["people", "movies"], ["likes", "messages"])
     assert g.vertices.count() == 8 and g.edges.count() == 17

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -13,6 +13,9 @@ from weft.functions.columns import expression, quote
 from weft.graph import Graph
 
 
+HUB = 4096  # rows of a block
+
+
 class VertexGroup:
     """Rows with a primary key. Internal ids are the group's name and the SHA-256 of the key as text, or the plain text."""
 
@@ -83,9 +86,16 @@ class PropertyGraph:
         (group,) = self._known(self.edge_groups, [edge_group])
         if (group.src_group.name, group.dst_group.name) != (left, right):
             raise InvalidPropertyGroup(f"edge group {edge_group!r} doesn't go from {left!r} to {right!r}")
-        side = lambda i: group.data.select(F.col(quote(group.src_column)).alias(f"s{i}"), F.col(quote(group.dst_column)).alias("via"), group.weight.alias(f"w{i}"))
+        rows = group.data.select(F.col(quote(group.src_column)).alias("s"), F.col(quote(group.dst_column)).alias("via"), group.weight.alias("w")).where("via is not null")
+        # a right vertex of d left ones makes about d * d / 2 pairs: of a hub's rows, each block meets all, in a task of its own
+        rows = rows.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("via")) / HUB))
+        side = lambda i, block: rows.withColumn("block", block).select(F.col("s").alias(f"s{i}"), "via", "block", F.col("w").alias(f"w{i}"))
+        # a fixed number of partitions, as pairs are many more than the rows that adaptive execution would go by
+        n = int(group.data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        some = side(1, F.pmod(F.xxhash64("s"), F.col("blocks"))).repartition(n, "via", "block")
+        every = side(2, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).repartition(n, "via", "block")
         weight = F.lit(1.0) if new_edge_weight is None else new_edge_weight(F.col("w1"), F.col("w2"))
-        pairs = side(1).join(side(2), "via").where("s1 < s2").select(F.col("s1").alias("src"), F.col("s2").alias("dst"), weight.alias("weight"))
+        pairs = some.join(every, ["via", "block"]).where("s1 < s2").select(F.col("s1").alias("src"), F.col("s2").alias("dst"), weight.alias("weight"))
         kept_v = [g for g in self.vertex_groups.values() if g.name != right]
         kept_e = [g for g in self.edge_groups.values() if g.name != edge_group and right not in (g.src_group.name, g.dst_group.name)]
         return PropertyGraph(kept_v, [*kept_e, EdgeGroup(f"projected_{edge_group}", pairs, a, a, False, weight="weight")])
