@@ -312,7 +312,7 @@ class Graph:
         if name not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {name!r}: {', '.join(ALGORITHMS)}")
         labels = setting(spark, "useLabelsAsComponents", True) if use_labels_as_components is None else use_labels_as_components
-        rounds = Rounds(spark, "components")
+        rounds = Rounds(spark, "components", "connectedComponents")
         ids = self._vertices.select("id")
         e = self._edges.select("src", "dst")
         if not self._ends_known:

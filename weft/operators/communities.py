@@ -104,22 +104,21 @@ def maximal_independent_set(g, seed: int = 42) -> DataFrame:
     live = rounds.cut(g.vertices.select("id").distinct())
     e = rounds.cut(both_ways(canonical(g.edges.select("src", "dst"))))
     e = e.join(live.withColumnRenamed("id", "x"), "x", "left_semi").join(live.withColumnRenamed("id", "y"), "y", "left_semi").select("x", "y")
-    parts, k = [], 0
+    members, k = rounds.collector("members"), 0
+    members.add(live.limit(0))
     while not live.isEmpty():
         mark = lambda c: F.struct(unit_hash(F.col(c), seed, k).alias("h"), F.col(c).alias("i"))
         rival = e.groupBy("x").agg(F.min(mark("y")).alias("r"))
         joined = live.join(rival, live["id"] == rival["x"], "left").where(F.col("r").isNull() | (mark("id") < F.col("r"))).select("id")
-        joined = rounds.cut(joined)
-        parts.append(joined)
+        joined = members.add(joined)
         near = e.join(joined.withColumnRenamed("id", "x"), "x", "left_semi").select(F.col("y").alias("id"))
         gone = rounds.cut(joined.unionAll(near).distinct())
         live = rounds.cut(live.join(gone, "id", "left_anti"))
         e = rounds.cut(e.join(gone.withColumnRenamed("id", "x"), "x", "left_anti").join(gone.withColumnRenamed("id", "y"), "y", "left_anti").select("x", "y"))
         k += 1
-    done = parts[0] if parts else live
-    for part in parts[1:]:
-        done = done.unionAll(part)
-    return rounds.close(done)
+    done = rounds.close(members.all())
+    members.remove()
+    return done
 
 
 def power_iteration_clustering(g, k: int, max_iter: int, weight_col: str | None = None) -> DataFrame:

@@ -175,9 +175,9 @@ def detect_cycles(g, max_length: int | None = None) -> DataFrame:
         n = now
     steps = rounds.cache(e.repartition("src"))
     paths = rounds.cut(steps.where("dst >= src").select(F.col("src").alias("first"), F.array("src").alias("path"), F.col("dst").alias("next")))
-    found, k = [], 1
+    found, k = rounds.collector("found"), 1
     while True:
-        found.append(paths.where("next = first").select(F.array_append("path", F.col("next")).alias("found_cycles")))
+        found.add(paths.where("next = first").select(F.array_append("path", F.col("next")).alias("found_cycles")))
         if max_length is not None and k >= max_length:
             break
         grown = paths.where("next > first and not array_contains(path, next)").select("first", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("src"))
@@ -185,4 +185,6 @@ def detect_cycles(g, max_length: int | None = None) -> DataFrame:
         k += 1
         if paths.isEmpty():
             break
-    return rounds.close(reduce(DataFrame.unionAll, found))
+    done = rounds.close(found.all())
+    found.remove()
+    return done

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from weft.functions.columns import expression, quote
-from weft.plans.iterate import Rounds
+from weft.plans.iterate import NO_LOCAL, Rounds, as_storage_level
 
 MSG, ACTIVE = "_pregel_msg_", "_pregel_is_active"
 
@@ -33,6 +35,7 @@ class Pregel:
         self.src_columns: list[str] | None = None
         self.dst_columns: list[str] | None = None
         self.needs_dst: bool | None = None
+        self.level = None
 
     def setMaxIter(self, value: int):
         if value < 1:
@@ -41,6 +44,8 @@ class Pregel:
         return self
 
     def setCheckpointInterval(self, value: int):
+        if value < 1:
+            raise ValueError("checkpoint interval must be positive")
         self.interval = value
         return self
 
@@ -65,11 +70,14 @@ class Pregel:
         return self
 
     def setUseLocalCheckpoints(self, value: bool):
-        """Accepted; rounds are always written to the shared folder, so that they survive lost executors."""
+        """Known for compatibility: rounds are always written to the shared folder, so that they survive lost executors; true gives a warning."""
+        if value:
+            warnings.warn(NO_LOCAL, stacklevel=2)
         return self
 
     def setIntermediateStorageLevel(self, level):
-        """Accepted; see setUseLocalCheckpoints."""
+        """Of the edges, which are cached for all supersteps."""
+        self.level = as_storage_level(level)
         return self
 
     def setNeedsDst(self, value: bool):
@@ -140,6 +148,7 @@ class Pregel:
             raise ValueError("a vertex column, a message and an aggregate are needed")
         g = self.graph
         rounds = Rounds(g.vertices.sparkSession, "pregel")
+        rounds.level = self.level or rounds.level
         state = g.vertices.select("*", self.first_active.alias(ACTIVE), *[i.alias(n) for n, i, _ in self.columns])
         state = rounds.cut(state)
         reads_dst = self.reads_dst(state, g.edges)

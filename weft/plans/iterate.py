@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 PREFIX = "weft."
+NO_LOCAL = "no local checkpoints: state is written to the shared folder, which survives lost executors"
 
 
 def setting(spark: SparkSession, name: str, default):
@@ -73,7 +74,7 @@ def tuned(method):
         if checkpoint_interval is not None and checkpoint_interval < 1:
             raise ValueError("checkpoint_interval must be positive")
         if use_local_checkpoints:
-            warnings.warn("no local checkpoints: state is written to the shared folder, which survives lost executors", stacklevel=2)
+            warnings.warn(NO_LOCAL, stacklevel=2)
         if broadcast_threshold not in (None, -1):
             warnings.warn("broadcast_threshold has no effect: adaptive execution decides", stacklevel=2)
         token = CALL.set((checkpoint_interval, None if storage_level is None else as_storage_level(storage_level)))
@@ -89,14 +90,20 @@ class Rounds:
     """Materialises the state of each round as a table in the shared folder.
 
     The written table ends the lineage and survives the loss of any executor. Tables that later rounds have superseded are
-    deleted as the loop goes. Settings weft.checkpointInterval and weft.intermediateStorageLevel stand in for options that a call doesn't give.
+    deleted as the loop goes. Settings weft.checkpointInterval and weft.intermediateStorageLevel stand in for options that a call doesn't give,
+    and before them the same under weft.<scope>.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, scope: str = ""):
         self.spark, self.home, self.k = spark, f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}", 0
         interval, level = CALL.get() or (None, None)
-        self.interval = interval or setting(spark, "checkpointInterval", 1)
-        self.level = level or as_storage_level(setting(spark, "intermediateStorageLevel", "MEMORY_AND_DISK"))
+        known = lambda name, default: setting(spark, f"{scope}.{name}", setting(spark, name, default)) if scope else setting(spark, name, default)
+        self.interval = interval or known("checkpointInterval", 1)
+        self.level = level or as_storage_level(known("intermediateStorageLevel", "MEMORY_AND_DISK"))
+        if self.interval < 1:
+            raise ValueError("weft.checkpointInterval must be positive")
+        if setting(spark, "useLocalCheckpoints", False):
+            warnings.warn(NO_LOCAL, stacklevel=3)
         self.cached: list[DataFrame] = []
         self.made: list[str | DataFrame] = []
         self.closing = False
