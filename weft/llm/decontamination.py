@@ -30,6 +30,7 @@ FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("item", pa.int64())
 ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 20_000, 32 << 20
 SHINGLE = 3
 ONE = 1 << 24
+MOST_REPEATED = 16_000_000  # 16 bytes each
 
 
 def shingled(texts: list[str]) -> list[tuple[int, np.ndarray]]:
@@ -75,7 +76,9 @@ class Weights:
                         if n:  # a null for the item itself
                             yield pa.record_batch([pa.array([None, *np.unique(s).view(np.int64).tolist()], pa.int64())], schema=COUNTS)
 
-        found = items.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 1 or s is null").toArrow()
+        found = items.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 1 or s is null").limit(MOST_REPEATED + 1).toArrow()
+        if found.num_rows > MOST_REPEATED:
+            raise ValueError(f"more than {MOST_REPEATED} shingles repeat in the benchmark: too many to send to each worker; split it")
         shingles, times = found["s"].fill_null(0).to_numpy().view(np.uint64), found["c"].to_numpy()
         one = found["s"].is_null().to_numpy()
         order = np.argsort(shingles[~one])
@@ -182,7 +185,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     at (its first word), windows (number of windows that pass). A-Z are lower-cased; words are runs of anything
     but ASCII white space. A pair is found if a window of the item's length has a weighted Jaccard similarity of
     3-word shingles of at least `threshold`. Items of fewer than 3 words are compared as a whole. Nulls: a null or blank text or item matches nothing; null ids are kept as null.
-    Repeated rows give repeated pairs once each. Other columns are ignored; empty tables give an empty result.
+    Repeated rows give repeated pairs once each. A benchmark in which more than MOST_REPEATED shingles repeat is refused. Other columns are ignored; empty tables give an empty result.
     """
     items = pick(benchmark, i=item_col, t=item_text_col).select(F.col("i").cast("long").alias("i"), F.col("t").cast("string").alias("t")).where("trim(t) <> ''")
     rows = pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long").alias("i"), F.col("t").cast("string").alias("t"))
