@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from weft.errors import InvalidGraph
-from weft.functions.columns import expression, nest, quote
+from weft.functions.columns import draw, expression, nest, quote
 from weft.operators import communities, components, factorization, messages, paths, ranking, walks
 from weft.operators.pregel import Pregel
 from weft.plans import motif
@@ -168,7 +168,7 @@ class Graph:
 
     def pick_random_vertex(self, seed: int = 42):
         """The id with the smallest hash."""
-        row = self._vertices.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").first()
+        row = self._vertices.select("id").orderBy(draw(F.col("id"), seed), "id").first()
         return row.id if row else None
 
     def partition_by(self, strategy: str, n: int | None = None) -> Graph:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from weft.examples.belief_propagation import run_bp
-from weft.graph import Graph
+from weft.functions.columns import draw
+from weft.graph import Graph, long_ids
 from weft.operators import ranking, walks
 from weft.operators.messages import AggregateMessages as AM
 from weft.operators.pregel import Pregel
 from weft.operators.walks import RandomWalkEmbeddings
-from weft.sources import generators, tables
+from weft.plans.iterate import Rounds
+from weft.sources import edge_list, generators, tables
+from weft.streaming import batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -534,6 +537,135 @@ def filter_preprocessed(g):
     return g.filter(busy, vertex_condition="inDegree > 60").edges.select("src", "dst", "event_id")
 
 
+@query(session, " select src as id, count(*)::int as n, max(event_id) as last from e group by 1")
+def collect_edges(g):
+    return g.collect_edges("out").select("id", F.size("edges").alias("n"), F.array_max("edges.event_id").alias("last"))
+
+
+@query(session, " select e.src, e.dst, e.event_id from e join v a on a.id = e.src and a.n_events > 66 join v b on b.id = e.dst and b.n_events > 66 where event_type = 'click'")
+def subgraph(g):
+    return g.subgraph("n_events > 66", "event_type = 'click'").edges.select("src", "dst", "event_id")
+
+
+@query(session, " select v.id, v.n_events, o.n as out_degree from v left join (select src, count(*)::int as n from e group by 1) o on o.src = v.id")
+def join_vertices(g):
+    return g.join_vertices(g.out_degrees.withColumnRenamed("outDegree", "out_degree")).vertices
+
+
+@query(session, f" select id from v order by {draw_sql('id', chr(39) + '5' + chr(39))}, id limit 1")
+def pick_random_vertex(g):
+    return g.vertices.sparkSession.createDataFrame([(g.pick_random_vertex(5),)], "id long")
+
+
+@query(session, " select * from (values ('v', 'id', 0), ('v', 'n_events', 1), ('e', 'src', 0), ('e', 'dst', 1), ('e', 'event_type', 2), ('e', 'event_id', 3)) t(part, name, place)")
+def column_maps(g):
+    maps = [(part, name, place) for part, columns in (("v", g.vertex_column_map), ("e", g.edge_column_map)) for name, place in columns.items()]
+    return g.vertices.sparkSession.createDataFrame(maps, "part string, name string, place int")
+
+
+@query(geo, " select 'Graph(v: [id: string, kind: string], e: [src: string, dst: string, rel: string])' as text")
+def graph_text(g):
+    return g.vertices.sparkSession.createDataFrame([(repr(g),)], "text string")
+
+
+@query(geo, " select id, row_number() over (order by id) - 1 as new_id from v")
+def long_id_index(g):
+    return long_ids(g.vertices.select("id"))
+
+
+@query(session, " select src, dst, event_id from e")
+def partitioned_edges(g):
+    return g.partition_by("edge2d", 7).partition_by("canonical", 5).edges.select("src", "dst", "event_id")
+
+
+@query(session, " select e.src as a, e.event_id from e join v on v.id = e.src where e.event_type = 'click'")
+def motif_anonymous_vertex(g):
+    return g.find("(p)-[e]->()").where("e.event_type = 'click'").select(F.col("p.id").alias("a"), F.col("e.event_id").alias("event_id"))
+
+
+@query(session, " select x.src as a, count(*) as n from e x join e y on x.dst = y.src group by 1")
+def motif_bare_ids(g):
+    bare = Graph(g.vertices.select("id"), g.edges.select("src", "dst"))
+    return bare.find("(p)-[]->(q); (q)-[]->(s)", assume_valid=True).groupBy(F.col("p.id").alias("a")).agg(F.count("*").alias("n"))
+
+
+@query(trade, " select x.src as a, y.src as b, z.dst as d from e x join e y on x.dst = y.src join e z on y.dst = z.src where x.quantity > z.quantity")
+def motif_terms_out_of_order(g):
+    return g.find("(p)-[x]->(q); (r)-[z]->(s); (q)-[y]->(r)").where("x.quantity > z.quantity").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("s.id").alias("d"))
+
+
+@query(trade, ", r(id, root) as (select id, id from v union select s.b, r.root from r join (select src as a, dst as b from e union select dst, src from e) s on s.a = r.id) select id, min(root) as least from r group by 1", True)
+def pregel_activity(g):
+    least = F.coalesce(Pregel.msg(), F.col("least"))
+    p = g.pregel.setMaxIter(50).setStopIfAllNonActiveVertices(True).setSkipMessagesFromNonActiveVertices(True).setUpdateActiveVertexExpression(least < F.col("least"))
+    p = p.withVertexColumn("least", F.col("id"), F.least("least", least)).sendMsgToDst(Pregel.src("least")).sendMsgToSrc(Pregel.dst("least"))
+    return p.aggMsgs(F.min(Pregel.msg())).run().select("id", "least")
+
+
+@query(session, " select a.id, coalesce(max(case when b.n_events > a.n_events then b.n_events end), 0) as top from v a left join e on e.src = a.id left join v b on b.id = e.dst group by 1")
+def pregel_reads_destination(g):
+    more = F.when(Pregel.dst("n_events") > Pregel.src("n_events"), Pregel.dst("n_events"))
+    return g.pregel.setMaxIter(1).withVertexColumn("top", F.lit(0).cast("long"), F.coalesce(Pregel.msg(), F.lit(0).cast("long"))).sendMsgToSrc(more).aggMsgs(F.max(Pregel.msg())).run().select("id", "top")
+
+
+@query(session, rank_sql(4, "1.0::double", "(select count(*) from v)").replace("r0 as (select id, 1.0::double as r from v)", "r0 as (select id, (id % 3 + 0.5)::double as r from v)"))
+def page_rank_warm_start(g):
+    initial = g.vertices.select("id", (F.col("id") % 3 + 0.5).alias("pagerank"))
+    return g.page_rank(max_iter=4, initial_ranks=initial).vertices.select("id", F.round("pagerank", 4).alias("rank"))
+
+
+@query(session, f" select src, dst from (select src, dst, row_number() over (partition by src order by {draw_sql('src', 'dst', chr(39) + '7' + chr(39))}, dst) as k from (select distinct src, dst from e)) where k <= 3")
+def k_min_sampling(g):
+    return walks.k_min(g.edges.select("src", "dst").distinct(), "src", "dst", draw(F.col("src"), F.col("dst"), 7), 3)
+
+
+@query(session, WALKS.split("sz as materialized")[0].replace("k <= 50", "k <= 5").rstrip().rstrip(",") + """, f as (select id, n_events::double as a, (id % 7)::double as b from v), m as (select few.id, avg(f.a) as a, avg(f.b) as b from few join f on f.id = few.nbr group by 1)
+select f.id, k.slot::int as slot, round(case k.slot when 0 then f.a when 1 then f.b when 2 then coalesce(m.a, 0) else coalesce(m.b, 0) end, 5) as x from f cross join range(4) k(slot) left join m on m.id = f.id""")
+def sampling_convolution(g):
+    features = g.vertices.select("id", array_to_vector(F.array(F.col("n_events").cast("double"), (F.col("id") % 7).cast("double"))).alias("embedding"))
+    return slots(walks.sampling_convolution(g, features, max_nbrs=5))
+
+
+def scratch(g) -> str:
+    return Rounds(g.vertices.sparkSession, "query").home
+
+
+@query(trade, " select src, dst, 1 as attr from e")
+def edge_list_reader(g):
+    home, spark = scratch(g), g.vertices.sparkSession
+    lines = g.edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
+    lines.unionAll(spark.createDataFrame([("# a comment",), ("",)], "value string")).write.text(home)
+    return edge_list.read_edge_list(spark, home).edges
+
+
+@query(session, " select src, dst, event_type, event_id from e")
+def saved_graph(g):
+    home = scratch(g)
+    edge_list.write_graph(g, home, "orc")
+    return edge_list.read_graph(g.vertices.sparkSession, home, "orc").edges
+
+
+@query(session, " select id, n_events from v where n_events > 66 union all select id, 0 from (select src as id from e union select dst from e) x where id not in (select id from v where n_events > 66)")
+def default_vertices(g):
+    return edge_list.with_default_vertices(g.vertices.where("n_events > 66"), g.edges, {"n_events": 0}).vertices
+
+
+@query(session, " select src, dst, count(*)::int as attr from e group by 1, 2")
+def unique_edge_tuples(g):
+    return edge_list.from_edge_tuples(g.edges.select("src", "dst"), unique=True).edges
+
+
+@query(geo, REACH.replace("select v.id, v.kind, min", "select v.id, min").replace("group by 1, 2", "group by 1"), True)
+def streamed_components(g):
+    home, spark = scratch(g), g.vertices.sparkSession
+    g.edges.select("src", "dst").write.parquet(f"{home}/in")
+    stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    q = batches.on_each_batch(stream, f"{home}/all", Graph.connected_components, f"{home}/out", f"{home}/log")
+    q.processAllAvailable()
+    q.stop()
+    return batches.latest_result(spark, f"{home}/out")
+
+
 @query(tables.link_graph)
 def link_out_degrees(g):
     return g.out_degrees.withColumnRenamed("outDegree", "n")
@@ -554,8 +686,23 @@ def generated_log_normal(spark, sf_dir):
     return generators.log_normal(spark, 50, mu=1.0, sigma=0.5).edges
 
 
-for f in (generated_grid, generated_rmat, generated_log_normal):
+def generated_chain(spark, sf_dir):
+    return generators.chain(spark, 9).edges
+
+
+def generated_star(spark, sf_dir):
+    return generators.star(spark, 9).edges
+
+
+def generated_blobs(spark, sf_dir):
+    return generators.two_blobs(spark, 4).edges
+
+
+for f in (generated_grid, generated_rmat, generated_log_normal, generated_chain, generated_star, generated_blobs):
     QUERIES[f.__name__] = f
+ORACLES["generated_chain"] = "select k as src, k + 1 as dst from range(8) t(k)"
+ORACLES["generated_star"] = "select 0::bigint as src, k + 1 as dst from range(9) t(k)"
+ORACLES["generated_blobs"] = "select a + o as src, b + o as dst, (a + o) || '-' || (b + o) as e_attr1 from range(4) x(a), range(4) y(b), range(0, 8, 4) z(o) union all select 0, 4, '0-4'"
 BITS = "with b as (select t.id, k, {u} as u from range(240) t(id), range(6) s(k)), c as (select id, sum((u >= 0.6)::int << (5 - k))::bigint as src, sum(((u >= 0.45 and u < 0.6) or u >= 0.75)::int << (5 - k))::bigint as dst from b group by id)"
 ORACLES["generated_rmat"] = BITS.format(u=draw_sql("t.id", "k", "'42'") + " / 281474976710656.0::double") + " select src, dst from (select src, dst, min(id) as k from c group by 1, 2 order by k limit 200)"
 ORACLES["generated_log_normal"] = f"""with u as (select id, {draw_sql("id", "'42'", "'1'")} / 281474976710656.0::double as u1, {draw_sql("id", "'42'", "'2'")} / 281474976710656.0::double as u2 from range(50) t(id)),
