@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import rows
-from weft.llm import common, decontamination, jaccard_join as jj, substring_dedup as substrings
+from weft.llm import common, decontamination, jaccard_join as jj, line_dedup as line_dedup_module, substring_dedup as substrings
 from weft.llm.decontamination import find_contamination
 from weft.llm.jaccard_join import jaccard_join
 from weft.llm.line_dedup import line_dedup
@@ -205,10 +205,11 @@ def test_long_lines_alone(spark):
     assert Counter((i, t) for i, t in kept.select("doc_id", "text").collect()) == Counter((i, k) for i, n, k in want if n == 0 or k)
 
 
-def test_winnowing_of_longer_runs(spark):
+def test_winnowing_of_longer_runs(spark, monkeypatch):
     lines = [f"line {k}" for k in range(30)]
     docs = [(1, "\n".join(lines)), (2, "\n".join(["p"] + lines[5:9] + ["q"] + lines[20:22] + ["r"]))]
-    for run, gram in ((4, 2), (3, 1), (5, 3)):
+    for run, gram, written_out in ((4, 2, 6), (3, 1, 6), (5, 3, 6), (4, 2, 1), (3, 3, 1), (5, 3, 1), (4, 4, 6)):
+        monkeypatch.setattr(line_dedup_module, "UNROLLED", written_out)
         got = dict(rows(line_dedup(frame(spark, docs), run=run, gram=gram), "doc_id", "n_removed"))
         assert got == {1: 0, 2: 4 if run <= 4 else 0}
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import NO_ID, Scratch, plain, row_key
 
 BLANKS = " \t\r\x0b\x0c"
+UNROLLED = 6  # lines of a run whose windows are written out, which is quicker than slices of arrays
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, gram: int = 1, long_words: int | None = 51) -> DataFrame:
@@ -46,16 +47,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = plain(docs).withColumns({"k_id": F.coalesce(F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.lit(int(NO_ID))), "k_row": row_key(text)})
     solid = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("s"))), lambda y: y.s != "")
     lines = base.select("k_id", "k_row", solid.alias("y")).where("size(y) > 0")
-    many = lambda z: (F.length(z.s) >= 2 * long_words - 1) & (F.size(F.split(z.s, f"[{BLANKS}]+")) >= long_words)
+    # as many blanks as that are needed at least; their runs are counted in lines that have so many only
+    many = lambda z: (F.length(z.s) - F.length(F.translate(z.s, BLANKS, "")) >= long_words - 1) & (F.regexp_count(z.s, F.lit(f"[{BLANKS}]+")) >= long_words - 1)
     mark = [F.transform("y", many).alias("m")] if long_words else []
     lines = lines.select("k_id", "k_row", F.expr("transform(y, z -> z.i)").alias("at"), F.transform("y", lambda z: F.xxhash64(z.s)).alias("h"), F.transform("y", lambda z: F.xxhash64(F.lit(7), z.s)).alias("g"), *mark)
     lines = lines.withColumn("n", F.size("h"))
     grams = F.expr("h" if gram == 1 else f"case when n < {gram} then h else transform(sequence(0, n - {gram}), j -> xxhash64(slice(h, j + 1, {gram}))) end")
     width = run - gram + 1
-    window = f"""transform(sequence(0, n - {run}), j -> struct(
-        array_min(slice(k, j + 1, {width})) as f,
-        j + cast({width} - array_position(reverse(slice(k, j + 1, {width})), array_min(slice(k, j + 1, {width}))) as int) as p,
-        xxhash64(slice(h, j + 1, {run})) as a, xxhash64(7, slice(g, j + 1, {run})) as b, slice(at, j + 1, {run}) as at))"""
+    if run <= UNROLLED:
+        every = lambda name, n: ", ".join(f"{name}[j + {o}]" for o in range(n))
+        least = f"least({every('k', width)})" if width > 1 else "k[j]"
+        place = "".join(f" when k[j + {o}] = {least} then j + {o}" for o in range(width - 1, 0, -1))
+        place = f"case{place} else j end" if place else "j"
+        window = f"transform(sequence(0, n - {run}), j -> struct({least} as f, {place} as p, xxhash64({every('h', run)}) as a, xxhash64(7, {every('g', run)}) as b, array({every('at', run)}) as at))"
+    else:
+        window = f"""transform(sequence(0, n - {run}), j -> struct(
+            array_min(slice(k, j + 1, {width})) as f,
+            j + cast({width} - array_position(reverse(slice(k, j + 1, {width})), array_min(slice(k, j + 1, {width}))) as int) as p,
+            xxhash64(slice(h, j + 1, {run})) as a, xxhash64(7, slice(g, j + 1, {run})) as b, slice(at, j + 1, {run}) as at))"""
     short = "array(struct(xxhash64(n, h) as f, 0 as p, xxhash64(n, h) as a, xxhash64(7, n, g) as b, at as at))"
     found = f"case when n >= {run} then {window} else {short} end"
     if long_words:
