@@ -282,6 +282,45 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert {k: x[0] for k, x in got.items()} == pytest.approx({k: x[0] for k, x in want.items()}, abs=2e-6)
 
 
+def test_fingerprints_of_windows():
+    r = np.random.default_rng(5)
+    shingles = r.integers(0, 40, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    weights = (1 + shingles % np.uint64(7)).astype(np.int64) << 24
+    for span, block in ((1, 4096), (12, 64), (300, 7)):
+        decontamination.WINDOWS = block
+        got = decontamination.window_prints(shingles, weights, decontamination.earlier(shingles), span, 300 - span + 1)
+        decontamination.WINDOWS = 4096
+        for p in range(0, 300 - span + 1, 17):
+            own, first = np.unique(shingles[p : p + span], return_index=True)
+            assert (got[p] == decontamination.prints_of(decontamination.votes(own, weights[p + first]).sum(0, keepdims=True))[0]).all()
+    prints = r.integers(0, 1 << 63, (4000, 4)).astype(np.uint64) * np.uint64(2)
+    for k in range(4000):  # around the radius, spread over the blocks at random
+        prints[k] = prints[0]
+        for bit in r.choice(256, r.integers(80, 120), replace=False):
+            prints[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    item = prints[0].copy()
+    scan = np.flatnonzero([sum(int(x ^ y).bit_count() for x, y in zip(p.tolist(), item.tolist())) <= 100 for p in prints])
+    assert decontamination.radius(0.5) == 100 and 100 < len(scan) < 3900
+    assert (decontamination.within(prints, item, 100) == scan).all()
+
+
+def test_the_radius_covers_the_threshold():
+    """Sets of chosen weighted similarity: the share within the radius, by size and by how weights lie."""
+    r, lost, n = np.random.default_rng(8), 0, 0
+    for _ in range(3000):
+        size = int(r.integers(4, 80))
+        every, w = r.integers(0, 1 << 62, 2 * size).astype(np.uint64), (r.integers(15, 65, 2 * size) << 24) // 10
+        cut = int(r.integers(0, size))
+        a, b = np.arange(size), np.arange(cut, size + cut)
+        both = np.intersect1d(a, b)
+        j = w[both].sum() / w[np.union1d(a, b)].sum()
+        if j < 0.5:
+            continue
+        pa_, pb_ = (decontamination.prints_of(decontamination.votes(every[x], w[x]).sum(0, keepdims=True)) for x in (a, b))
+        lost, n = lost + (not len(decontamination.within(pa_, pb_[0], decontamination.radius(0.5)))), n + 1
+    assert n > 800 and lost == 0
+
+
 def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     items, docs = edited_benchmark()
     items += [items[3], (5, items[8][1]), (None, items[9][1]), (91, " \t "), (92, "two words"), (93, None)]

@@ -1,12 +1,17 @@
-"""Benchmark decontamination: item-sized windows of words, exact weighted Jaccard similarity of their shingles.
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted Jaccard similarity of word shingles.
 
-For every benchmark item of L words, every window of L consecutive words of every document is held against the item
-by the exact weighted Jaccard similarity of the sets of word shingles. Items that share too little weight with a whole
-document can't pass in any of its windows; they are found by an inverted index of the items' shingles and skipped, which
-loses nothing. For the others, the weight of the distinct shingles of each window comes from running
-sums: a shingle counts in the windows that begin after its previous place. No SimHash fingerprint sifts the windows: at a radius that
-loses no pair, tables of Hamming blocks bring up nearly all of them (README has the figures). Weights are whole multiples of 2^-24, so
-sums are exact in any order.
+For every benchmark item of L words, every window of L consecutive words of every document is held against the item.
+
+1. An inverted index of the items' shingles gives the weight that each item shares with a whole document. An item that shares too little
+   can't pass in any window, so this loses nothing.
+2. For the items that are left, all windows get a SimHash fingerprint of 256 bits. Features weigh the square root of the shingle's weight, so
+   the cosine of two sets is at least 2 J / (1 + J) for a weighted Jaccard similarity of J, and the bits that differ are a binomial
+   number. The radius lies 4.5 standard deviations above its mean at the threshold: a window at the threshold is lost with a
+   probability of 3e-6, one above it with less. Fingerprints within the radius r are found by four blocks of 64 bits: by the pigeonhole
+   principle one block differs in r / 4 bits at most, so none within r is lost; the other windows are dropped by that block test alone.
+3. The windows within the radius are verified by the exact weighted Jaccard similarity. The weight of the distinct shingles of each
+   window comes from running sums: a shingle counts in the windows that begin after its previous place. Weights are whole
+   multiples of 2^-24, so sums are exact in any order.
 
 The benchmark is used in blocks of a bounded number of items, each sent to the workers as a whole. Weights are those
 of the whole benchmark for every block, so results don't depend on how it is split; for that, the shingles of more than one item
@@ -23,13 +28,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import CHUNK_BYTES, LOWER, Scratch, batch_of, flat, hash_words, pick, row_key, window_hash, word_spans
+from weft.llm.common import CHUNK_BYTES, LOWER, Scratch, batch_of, flat, hash_words, mix, pick, row_key, window_hash, word_spans
 
 COUNTS = pa.schema([("s", pa.int64())])
 FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64()), ("at", pa.int64()), ("windows", pa.int64())])
 ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 20_000, 32 << 20
 SHINGLE = 3
 ONE = 1 << 24
+BITS, BLOCKS = 256, 4
+WINDOWS = 4096  # fingerprints made at a time
 MOST_REPEATED = 16_000_000  # 16 bytes each
 
 
@@ -100,6 +107,51 @@ def earlier(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def radius(threshold: float) -> int:
+    """Bits in which a pair of sets at the threshold differs: the mean and 4.5 standard deviations."""
+    p = math.acos(min(1.0, 2 * threshold / (1 + threshold))) / math.pi
+    return math.floor(BITS * p + 4.5 * math.sqrt(BITS * p * (1 - p)))
+
+
+def votes(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What each shingle adds to each bit's sum: plus or minus the square root of its weight."""
+    words = np.stack([mix(shingles + np.uint64(77 + 1000 * k)) for k in range(BITS // 64)], 1)
+    signs = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
+    return signs * np.rint(np.sqrt(weights / ONE) * 4096).astype(np.int32)[:, None]
+
+
+def prints_of(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums > 0, axis=1).view(np.uint64)
+
+
+def window_prints(shingles: np.ndarray, weights: np.ndarray, before: np.ndarray, span: int, windows: int) -> np.ndarray:
+    """SimHash fingerprints (four numbers of 64 bits) of the distinct shingles of each window of `span` places."""
+    out = np.empty((windows, BITS // 64), np.uint64)
+    for s in range(0, windows, WINDOWS):
+        e = min(windows, s + WINDOWS)
+        at = np.arange(s, e + span - 1)
+        lo, hi = np.maximum(np.maximum(before[at], at - span) + 1, s) - s, np.minimum(at, e - 1) + 1 - s
+        ok = np.flatnonzero(lo < hi)
+        vote = votes(shingles[at[ok]], weights[at[ok]])
+        sums = None
+        for edge, sign in ((lo[ok], 1), (hi[ok], -1)):  # a shingle counts from window lo on, and from hi on no more
+            order = np.argsort(edge, kind="stable")
+            running = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(vote[order], axis=0, dtype=np.int64)])
+            part = running[np.searchsorted(edge[order], np.arange(e - s), "right")]
+            sums = part if sums is None else sums - part
+        out[s:e] = prints_of(sums)
+    return out
+
+
+def within(prints: np.ndarray, item: np.ndarray, most: int) -> np.ndarray:
+    """Windows whose fingerprint lies within `most` bits of the item's: those of which a block does by its share, then by all bits."""
+    maybe = np.zeros(len(prints), bool)
+    for k in range(BLOCKS):
+        maybe |= np.bitwise_count(prints[:, k] ^ item[k]) <= most // BLOCKS
+    at = np.flatnonzero(maybe)
+    return at[np.bitwise_count(prints[at] ^ item).sum(1, dtype=np.int64) <= most]
+
+
 def distinct_sums(at: np.ndarray, weights: np.ndarray, before: np.ndarray, span: int, windows: int) -> np.ndarray:
     """For each window of `span` places, the weight of the distinct shingles among those at `at`."""
     lo, hi = np.maximum(np.maximum(before, at - span) + 1, 0), np.minimum(at, windows - 1) + 1
@@ -128,6 +180,8 @@ class Index:
         sizes = [len(x) for x in sets]
         self.own = np.split(inverse, np.cumsum(sizes)[:-1]) if sets else []
         self.full = np.array([self.known_w[x].sum() for x in self.own], np.int64)
+        self.prints = np.concatenate([np.zeros((0, BITS // 64), np.uint64), *[prints_of(votes(self.known[x], self.known_w[x]).sum(0, dtype=np.int64, keepdims=True)) for x in self.own]])
+        self.radius = radius(threshold)
         self.having = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
         self.bounds = np.searchsorted(np.sort(inverse), np.arange(len(self.known) + 1))
 
@@ -165,11 +219,16 @@ class Index:
                 span = min(int(self.words[k]), len(words)) - g + 1
                 windows = len(shingles) - span + 1
                 if span != last:
-                    total, last = distinct_sums(np.arange(len(shingles)), weights, before, span, windows), span
+                    prints, total, last = window_prints(shingles, weights, before, span, windows), None, span
+                near = within(prints, self.prints[k], self.radius)
+                if not len(near):
+                    continue
+                if total is None:
+                    total = distinct_sums(np.arange(len(shingles)), weights, before, span, windows)
                 own = at[np.isin(which, self.own[k])]
                 common = distinct_sums(own, weights[own], before[own], span, windows)
                 similarity = common / (self.full[k] + total - common)
-                passed = np.flatnonzero(similarity >= self.threshold)
+                passed = near[similarity[near] >= self.threshold]
                 if len(passed):
                     p = int(passed[np.argmax(similarity[passed])])
                     have = best.get(self.item[k], (0.0, 0, 0))
@@ -184,7 +243,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Columns: id, _row (a hash of the text; tells apart rows of one id), item_id, similarity (of the best window),
     at (its first word), windows (number of windows that pass). A-Z are lower-cased; words are runs of anything
     but ASCII white space. A pair is found if a window of the item's length has a weighted Jaccard similarity of
-    3-word shingles of at least `threshold`. Items of fewer than 3 words are compared as a whole. Nulls: a null or blank text or item matches nothing; null ids are kept as null.
+    3-word shingles of at least `threshold`, but for a probability of 3e-6 for each such window (see the module). Items of fewer than 3 words are compared as a whole. Nulls: a null or blank text or item matches nothing; null ids are kept as null.
     Repeated rows give repeated pairs once each. A benchmark in which more than MOST_REPEATED shingles repeat is refused. Other columns are ignored; empty tables give an empty result.
     """
     items = pick(benchmark, i=item_col, t=item_text_col).select(F.col("i").cast("long").alias("i"), F.col("t").cast("string").alias("t")).where("trim(t) <> ''")
