@@ -133,13 +133,14 @@ def window_prints(shingles: np.ndarray, weights: np.ndarray, before: np.ndarray,
         lo, hi = np.maximum(np.maximum(before[at], at - span) + 1, s) - s, np.minimum(at, e - 1) + 1 - s
         ok = np.flatnonzero(lo < hi)
         vote = votes(shingles[at[ok]], weights[at[ok]])
-        sums = None
-        for edge, sign in ((lo[ok], 1), (hi[ok], -1)):  # a shingle counts from window lo on, and from hi on no more
+        kind = np.int32 if len(ok) * int(np.abs(vote[:, 0]).max(initial=0)) < 1 << 30 else np.int64
+        parts = []
+        for edge in (lo[ok], hi[ok]):  # a shingle counts from window lo on, and from hi on no more
             order = np.argsort(edge, kind="stable")
-            running = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(vote[order], axis=0, dtype=np.int64)])
-            part = running[np.searchsorted(edge[order], np.arange(e - s), "right")]
-            sums = part if sums is None else sums - part
-        out[s:e] = prints_of(sums)
+            running = np.zeros((len(ok) + 1, BITS), kind)
+            np.cumsum(vote[order], axis=0, dtype=kind, out=running[1:])
+            parts.append(running[np.searchsorted(edge[order], np.arange(e - s), "right")])
+        out[s:e] = prints_of(parts[0] - parts[1])
     return out
 
 
