@@ -42,6 +42,16 @@ e as (select x.id as src, y.id as dst, x.k % 7 / 7.0::double - 0.4 as b from v x
 """
 
 
+SUPPLY = """
+s as (select s_suppkey as k, s_nationkey::bigint as src, lead(s_nationkey::bigint) over (order by s_suppkey) as dst from supplier),
+e as (select distinct src, unnest([arg_min(dst, k), arg_max(dst, k)]) as dst from s where dst is not null group by src)
+"""
+RATING = """
+e as materialized (select (o_custkey * 2)::bigint as u, (l_partkey * 2 + 1)::bigint as i, least(5.0, floor(l_quantity / 10) + 1)::double as w from lineitem join orders on l_orderkey = o_orderkey),
+mean as materialized (select avg(w) as m from e), ends as (select u as id, w from e union all select i, w from e)
+"""
+
+
 def draw_sql(*parts: str) -> str:
     """SQL of weft.functions.columns.draw."""
     return "('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 12))::bigint"
@@ -54,7 +64,7 @@ def query(graph, sql: str | None = None, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(graph(spark, sf_dir))
         if sql is not None:
-            base = {tables.session_graph: SESSION, tables.geo_graph: GEO, tables.trade_graph: TRADE, tables.field_graph: FIELD}[graph]
+            base = {tables.session_graph: SESSION, tables.geo_graph: GEO, tables.trade_graph: TRADE, tables.field_graph: FIELD, tables.rating_graph: RATING, tables.supply_graph: SUPPLY}[graph]
             ORACLES[f.__name__] = f"with {'recursive ' if recursive else ''}{base.strip()}{sql}"
         return f
 
@@ -293,9 +303,12 @@ def detect_cycles(g):
     return c.groupBy("n").agg(F.count("*").alias("cycles"), F.sum("s").alias("total"))
 
 
-@query(tables.supply_graph)
+@query(tables.supply_graph, """, r(first, cur, path) as (
+  select src, dst, [src] from e where dst >= src
+  union all select r.first, e.dst, list_append(r.path, r.cur) from r join e on e.src = r.cur where r.cur > r.first and not list_contains(r.path, r.cur) and e.dst >= r.first)
+select array_to_string(list_append(path, cur), '>') as cycle from r where cur = first""", True)
 def detect_all_cycles(g):
-    return g.detect_cycles()
+    return g.detect_cycles().select(F.array_join("found_cycles", ">").alias("cycle"))
 
 
 # == components
@@ -428,9 +441,26 @@ def power_iteration_clustering(g):
     return e.power_iteration_clustering(2, 10, "weight")
 
 
-@query(tables.rating_graph)
+def factor_sql(rank: int, rounds: int) -> str:
+    ks = range(rank)
+    each = lambda form: ", ".join(form.format(k=k) for k in ks)
+    first = lambda tag, name: ", ".join(f"{draw_sql('id', repr(tag), repr(str(k)), repr('42'))} / 281474976710656.0::double as {name}{k}" for k in ks)
+    steps = [f"s0 as materialized (select id, {first('p', 'f')}, {first('y', 'y')}, avg(w) - (select m from mean) as b, 1 / sqrt(count(*)) as norm from ends group by id)"]
+    for t in range(rounds + 1):
+        guess = " + ".join(f"q.f{k} * (p.f{k} + p.norm * sy{k})" for k in ks)
+        steps.append(f"t{t} as materialized (select e.u as t, {each('sum(q.y{k}) as sy{k}')} from e join s{t} q on q.id = e.i group by 1)")
+        steps.append(f"r{t} as materialized (select e.u, e.i, p.b as bu, q.b as bi, p.norm, {each('q.f{k} as q{k}')}, {each('q.y{k} as y{k}')}, {each('p.f{k} as p{k}')}, {each('p.f{k} + p.norm * sy{k} as z{k}')}, e.w - least(5.0, greatest(0.0, m + p.b + q.b + {guess})) as err from e join s{t} q on q.id = e.i join s{t} p on p.id = e.u join t{t} on t = e.u, mean)")
+        if t < rounds:
+            user = f"select u as id, {each('sum((err * q{k} - 0.015 * p{k}) * 0.007) as d{k}')}, {each('0.0::double as g{k}')}, sum((err - 0.005 * bu) * 0.007) as db from r{t} group by 1"
+            item = f"select i, {each('sum((err * z{k} - 0.015 * q{k}) * 0.007)')}, {each('sum((err * norm * q{k} - 0.015 * y{k}) * 0.007)')}, sum((err - 0.005 * bi) * 0.007) from r{t} group by 1"
+            steps.append(f"m{t} as materialized ({user} union all {item})")
+            steps.append(f"s{t + 1} as materialized (select s.id, {each('f{k} + d{k} as f{k}')}, {each('y{k} + g{k} as y{k}')}, b + db as b, norm from s{t} s join m{t} m on m.id = s.id)")
+    return f", {', '.join(steps)} select id, round(f0, 4) as factor, round(b, 4) as bias, round((select avg(err * err) from r{rounds}), 4) as loss from s{rounds}"
+
+
+@query(tables.rating_graph, factor_sql(3, 2))
 def svd_plus_plus(g):
-    v, loss = g.svd_plus_plus(rank=4, max_iter=2)
+    v, loss = g.svd_plus_plus(rank=3, max_iter=2)
     return v.select("id", F.round(F.col("column1")[0], 4).alias("factor"), F.round("column3", 4).alias("bias"), F.lit(round(loss, 4)).alias("loss"))
 
 
@@ -462,17 +492,24 @@ def hash2vec(spark, sf_dir):
     return slots(walks.hash2vec(items.select(F.expr("transform(l, x -> x.l_partkey)").alias("random_walk")), dim=16))
 
 
+def embed_sql(walks: str, ids: str) -> str:
+    """CTEs from lists w to emb (id, slot, x): vectors of 16 slots and one for their length."""
+    return f"""w as materialized ({walks}),
+at1 as (select w, unnest(range(1, len(w) + 1)) as i from w), at2 as (select w[i] as id, w, i, unnest(range(greatest(1, i - 5), least(len(w), i + 5) + 1)) as j from at1),
+near as (select id, w[j] as c, sum(exp(-((i - j) * (i - j))::double)) as w from at2 where i <> j group by 1, 2),
+slot as (select id, {draw_sql("c", "'42'")} % 16 as slot, sum(w * case when {draw_sql("c", "'18'")} % 2 = 0 then 1.0 else -1.0 end) as x from near group by 1, 2),
+norm as (select id, sqrt(sum(x * x)) as n from slot group by 1), ids as ({ids}),
+emb as materialized (select ids.id, k.slot::int as slot, case when n.n is null then 0.0 when k.slot = 16 then ln(n.n + 1) / sqrt(16.0::double) else coalesce(s.x, 0.0) / (n.n + 1e-6) end as x
+  from ids cross join range(17) k(slot) left join norm n on n.id = ids.id left join slot s on s.id = ids.id and s.slot = k.slot)"""
+
+
 QUERIES["hash2vec"] = hash2vec
-ORACLES["hash2vec"] = f"""with w as (select l_orderkey, list(l_partkey order by l_linenumber, l_partkey) as w from lineitem group by 1),
-p as (select w, unnest(range(1, len(w) + 1)) as i from w), q as (select w[i] as id, w, i, unnest(range(greatest(1, i - 5), least(len(w), i + 5) + 1)) as j from p),
-c as (select id, w[j] as c, sum(exp(-((i - j) * (i - j))::double)) as w from q where i <> j group by 1, 2),
-s as (select id, {draw_sql("c", "'42'")} % 16 as slot, sum(w * case when {draw_sql("c", "'18'")} % 2 = 0 then 1.0 else -1.0 end) as x from c group by 1, 2),
-n as (select id, sqrt(sum(x * x)) as n from s group by 1), ids as (select distinct l_partkey as id from lineitem)
-select ids.id, k.slot::int as slot, round(case when n.n is null then 0.0 when k.slot = 16 then ln(n.n + 1) / sqrt(16.0::double) else coalesce(s.x, 0.0) / (n.n + 1e-6) end, 5) as x
-from ids cross join range(17) k(slot) left join n on n.id = ids.id left join s on s.id = ids.id and s.slot = k.slot"""
+ORACLES["hash2vec"] = f"with {embed_sql('select list(l_partkey order by l_linenumber, l_partkey) as w from lineitem group by l_orderkey', 'select distinct l_partkey as id from lineitem')} select id, slot, round(x, 5) as x from emb"
 
 
-@query(session)
+@query(session, WALKS.split("select walk as")[0].replace("r.step < 10", "r.step < 5") + ", " + embed_sql("select seen as w from r where step = 5", "select distinct unnest(seen) as id from r where step = 5") + """,
+nbr as (select few.id, emb.slot, avg(emb.x) as x from few join emb on emb.id = few.nbr group by 1, 2)
+select id, slot, round(x, 5) as x from emb union all select id, slot + 17, round(coalesce(nbr.x, 0.0), 5) from emb left join nbr using (id, slot)""", True)
 def walk_embeddings_with_neighbors(g):
     return slots(RandomWalkEmbeddings(g).set_rw_model(num_walks_per_node=2, batch_size=5, num_batches=1).set_hash2vec(dim=16).set_neighbors_aggregation().run())
 
@@ -531,10 +568,10 @@ def map_triplets(g):
     return g.map_triplets(gap=F.col("src.n_events") - F.col("dst.n_events"), kind=F.upper("edge.event_type")).edges
 
 
-@query(session, " select src, dst, event_id from e where src in (select dst from e group by 1 having count(*) > 60) and dst in (select dst from e group by 1 having count(*) > 60)")
+@query(session, " select src, dst, event_id from e where src in (select dst from e group by 1 having count(*) > 44) and dst in (select dst from e group by 1 having count(*) > 44)")
 def filter_preprocessed(g):
     busy = lambda x: Graph(x.vertices.join(x.in_degrees, "id", "left"), x.edges)
-    return g.filter(busy, vertex_condition="inDegree > 60").edges.select("src", "dst", "event_id")
+    return g.filter(busy, vertex_condition="inDegree > 44").edges.select("src", "dst", "event_id")
 
 
 @query(session, " select src as id, count(*)::int as n, max(event_id) as last from e group by 1")
