@@ -47,8 +47,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = plain(docs).withColumns({"k_id": F.coalesce(F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.lit(int(NO_ID))), "k_row": row_key(text)})
     solid = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("s"))), lambda y: y.s != "")
     lines = base.select("k_id", "k_row", solid.alias("y")).where("size(y) > 0")
-    # as many blanks as that are needed at least; their runs are counted in lines that have so many only
-    many = lambda z: (F.length(z.s) - F.length(F.translate(z.s, BLANKS, "")) >= long_words - 1) & (F.regexp_count(z.s, F.lit(f"[{BLANKS}]+")) >= long_words - 1)
+    many = lambda z: (F.length(z.s) >= 2 * long_words - 1) & F.rlike(z.s, F.lit(f"^(?:[^{BLANKS}]++[{BLANKS}]++){{{long_words - 1}}}"))
     mark = [F.transform("y", many).alias("m")] if long_words else []
     lines = lines.select("k_id", "k_row", F.expr("transform(y, z -> z.i)").alias("at"), F.transform("y", lambda z: F.xxhash64(z.s)).alias("h"), F.transform("y", lambda z: F.xxhash64(F.lit(7), z.s)).alias("g"), *mark)
     lines = lines.withColumn("n", F.size("h"))
