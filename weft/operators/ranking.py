@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from weft.functions.columns import quote
 from weft.operators.paths import check_vertices
-from weft.plans.iterate import Rounds
+from weft.plans.iterate import Rounds, fitting, shuffled_to
 
 UNROLLED = 4  # rounds between two cuts
+TOGETHER = 8  # the same, where a round is cheap and there are many of them
+ROWS = 250_000  # edges of a partition in such rounds
 
 
 def weighted(g) -> DataFrame:
@@ -43,9 +45,11 @@ def page_rank(g, reset_probability: float = 0.15, source_id=None, max_iter: int
     if source_id is not None:
         check_vertices(g, [source_id])
     rounds = Rounds(g.vertices.sparkSession, "pagerank")
-    e = rounds.cache(weighted(g).repartition("src"))
     ids = g.vertices.select("id").distinct()
-    ranks = fixed(ids, e, rounds, reset_probability, source_id, max_iter, initial_ranks) if tol is None else converged(ids, e, rounds, reset_probability, source_id, tol)
+    if tol is None:
+        ranks = fixed(ids, rounds.cache(weighted(g).repartition("src")), rounds, reset_probability, source_id, max_iter, initial_ranks)
+    else:
+        ranks = converged(ids, weighted(g), rounds, reset_probability, source_id, tol)
     total, n = ranks.agg(F.sum("rank"), F.count("*")).first()
     scale = (1.0 if source_id is not None else n) / total if total else 0.0
     return with_ranks(g, rounds.close(ranks.select("id", (F.col("rank") * scale).alias("pagerank"))), "pagerank")
@@ -69,13 +73,22 @@ def fixed(ids: DataFrame, e: DataFrame, rounds: Rounds, p: float, source, max_it
 def converged(ids: DataFrame, e: DataFrame, rounds: Rounds, p: float, source, tol: float) -> DataFrame:
     first = F.lit(p) if source is None else F.when(F.col("id") == source, 1.0).otherwise(0.0)
     state = rounds.cut(ids.select("id", first.alias("rank"), first.alias("delta")))
-    while True:
-        live = state.where(F.col("delta") > tol)
-        if live.isEmpty():
-            return state.select("id", "rank")
-        sent = e.join(live.select(F.col("id").alias("src"), "delta"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum((1 - p) * F.col("delta") * F.col("w")).alias("got"))
-        state = rounds.cut(state.join(sent, "id", "left").select("id", (F.col("rank") + F.coalesce("got", F.lit(0.0))).alias("rank"), F.coalesce("got", F.lit(0.0)).alias("delta")))
-        rounds.forget(3)
+    # a row from each vertex to itself carries its rank along with what edges carry, so a round is one join and one aggregation,
+    # and the plan of several grows by as many; rounds after the last change nothing
+    edges = rounds.write(e.select("src", "dst", "w", F.lit(False).alias("own")).unionAll(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))), "-edges")
+    n = fitting(edges.sparkSession, edges.count(), ROWS)
+    rounds.made.remove(kept := rounds.made[-1])  # the edges outlive the states
+    with shuffled_to(edges.sparkSession, n):
+        edges = rounds.cache(edges.repartition(n, "src").sortWithinPartitions("src"))
+        live, left, got = F.col("own") | (F.col("delta") > tol), state.withColumnRenamed("id", "src"), (1 - p) * F.col("delta") * F.col("w")
+        key, sums = F.col("dst").alias("src"), [F.sum(F.when(F.col("own"), F.col("rank")).otherwise(got)).alias("rank"), F.sum(F.when(F.col("own"), 0.0).otherwise(got)).alias("delta")]
+        while not left.where(F.col("delta") > tol).isEmpty():
+            for _ in range(TOGETHER):
+                left = edges.join(left, "src").where(live).groupBy(key).agg(*sums)
+            left = rounds.cut(left)
+            rounds.forget(2)
+    rounds.made.insert(0, kept)
+    return left.select(F.col("src").alias("id"), "rank")
 
 
 def parallel_personalized(g, reset_probability: float = 0.15, source_ids: list | None = None, max_iter: int | None = None):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import contextvars
 import functools
 import shutil
@@ -48,6 +49,22 @@ def remove_table(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def fitting(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions of about `each` rows, as many as the session's shuffles have at most."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)))
+
+
+@contextlib.contextmanager
+def shuffled_to(spark: SparkSession, n: int):
+    """Shuffles of the actions within go to n partitions, as cached tables of so many then need no other shuffle to be joined with."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def as_storage_level(value: StorageLevel | str) -> StorageLevel:
     if isinstance(value, StorageLevel):
         return value
