@@ -45,3 +45,25 @@ def test_tolerance_pagerank_writes_few_tables(spark, written):
         rank = {k: 0.15 + 0.85 * into[k] for k in rank}
     assert found == pytest.approx(rank, abs=1e-4)
     assert len(written) < 20  # about 75 rounds
+
+
+def exchanges(df) -> str:
+    """The physical plan before it runs, and the keys that its shuffles go by."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_two_hops_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch):
+    edges = [(k % 7, k % 5) for k in range(40)] + [(9, 100), (3, 3)]  # parallel ones, a self-loop, one that ends nowhere
+    g = Graph(spark.range(10), spark.createDataFrame(edges, "src long, dst long"))
+    df = g.count_matches("(p)-[]->(q); (q)-[]->(s)", ["p", "s"])
+    want = {}
+    for a, b in edges:
+        for c, d in edges:
+            if b == c and b != 100 and d != 100:
+                want[a, d] = want.get((a, d), 0) + 1
+    assert rows(df, "p", "s", "n") == sorted(((*k, n) for k, n in want.items()), key=repr)
+    old = g.find("(p)-[]->(q); (q)-[]->(s)").groupBy(F.col("p.id").alias("p"), F.col("s.id").alias("s")).agg(F.count("*").alias("n"))
+    assert rows(df, "p", "s", "n") == rows(old, "p", "s", "n")
+    both = graph_queries.QUERIES["motif_two_hops"](spark, SF)
+    assert not [x for x in exchanges(both) if "a#" in x and "c#" in x]
+    against_sql(spark, "motif_two_hops")

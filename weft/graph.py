@@ -271,6 +271,10 @@ class Graph:
         """Matches of a motif; see weft.plans.motif_parser for the language."""
         return motif.find(self._vertices, self._edges, pattern, assume_valid or self._ends_known)
 
+    def count_matches(self, pattern: str, by: list[str]) -> DataFrame:
+        """(by..., n): the number of matches of a motif for each combination of the ids of the named vertices."""
+        return motif.counts(self._vertices, self._edges, pattern, by, self._ends_known)
+
     def bfs(self, from_expr, to_expr, edge_filter=None, max_path_length: int = 10, **old) -> DataFrame:
         return tuned(paths.bfs)(self, from_expr, to_expr, **renamed(old, {"edge_filter": edge_filter, "max_path_length": max_path_length}, edgeFilter="edge_filter", maxPathLength="max_path_length"))
 

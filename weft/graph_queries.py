@@ -181,7 +181,7 @@ def motif_mutual(g):
 
 @query(session, " select x.src as a, y.dst as c, count(*) as n from e x join e y on x.dst = y.src group by 1, 2")
 def motif_two_hops(g):
-    return g.find("(p)-[]->(q); (q)-[]->(s)").groupBy(F.col("p.id").alias("a"), F.col("s.id").alias("c")).agg(F.count("*").alias("n"))
+    return g.count_matches("(p)-[]->(q); (q)-[]->(s)", ["p", "s"]).withColumnsRenamed({"p": "a", "s": "c"})
 
 
 @query(trade, " select x.src as a, y.src as b, z.src as c from e x join e y on x.dst = y.src join e z on y.dst = z.src and z.dst = x.src")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weft.functions.columns import nest
+from weft.plans.hops import two_hops
 from weft.plans.motif_parser import Edge, VarLength, Vertex, names_in_order, only_negated, parse
 
 TAGS = ("_pattern", "_direction")
@@ -113,6 +114,31 @@ class Planner:
         return df.distinct()
 
 
+def hop_pair(terms) -> tuple[str, str] | None:
+    """The ends of a motif of two unnamed edges in a row, over three vertices."""
+    if isinstance(terms, VarLength) or len(terms) != 2 or not all(isinstance(t, Edge) and t.directed and not t.negated and not t.name and t.src and t.dst for t in terms):
+        return None
+    for x, y in (terms, terms[::-1]):
+        if x.dst == y.src and len({x.src, x.dst, y.dst}) == 3:
+            return x.src, y.dst
+    return None
+
+
+def counts(vertices: DataFrame, edges: DataFrame, pattern: str, by: list[str], assume_valid: bool = False) -> DataFrame:
+    """(by..., n): how many matches of a motif have these vertices, by their ids. Two hops counted by both ends send lists instead of matches."""
+    terms = parse(pattern)
+    ends = hop_pair(terms)
+    if not ends or set(ends) != set(by):
+        found = find(vertices, edges, pattern, assume_valid)
+        return found.groupBy(*[at(b, "id").alias(b) for b in by]).agg(F.count("*").alias("n"))
+    e = edges.select("src", "dst")
+    if not assume_valid:
+        e = e.join(vertices.select(F.col("id").alias("dst")), "dst")  # a repeated vertex makes as many matches
+    left = e if assume_valid else e.join(vertices.select(F.col("id").alias("src")), "src")
+    pairs = two_hops(left, e).select(F.col("a").alias(ends[0]), F.col("c").alias(ends[1]), "n")
+    return pairs.groupBy(*by).agg(F.sum("n").alias("n"))
+
+
 def find(vertices: DataFrame, edges: DataFrame, pattern: str, assume_valid: bool = False) -> DataFrame:
     """All matches of a motif, one row each.
 
