@@ -67,3 +67,19 @@ def test_two_hops_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch):
     both = graph_queries.QUERIES["motif_two_hops"](spark, SF)
     assert not [x for x in exchanges(both) if "a#" in x and "c#" in x]
     against_sql(spark, "motif_two_hops")
+
+
+def test_projection_is_counted_without_a_shuffle_of_pairs(spark):
+    assert not [x for x in exchanges(graph_queries.QUERIES["property_graph_projection"](spark, SF)) if "src#" in x and "dst#" in x]
+
+
+@pytest.mark.parametrize("most", [2, 4096])
+def test_weighted_projection(spark, monkeypatch, most):
+    from weft import property_graph
+
+    monkeypatch.setattr(property_graph, "HUB", most)
+    rated = [(i, j, float(i + 10 * j)) for i in range(7) for j in range(3) if (i + j) % 3] + [(2, 0, 5.0)]  # one twice
+    a, b = (property_graph.VertexGroup(n, spark.range(9).toDF("id")) for n in "ab")
+    p = property_graph.PropertyGraph([a, b], [property_graph.EdgeGroup("e", spark.createDataFrame(rated, "src long, dst long, w double"), a, b, False, weight="w")])
+    got = p.projection_by("a", "b", "e", lambda x, y: x - 2 * y).edge_groups["projected_e"].data
+    assert rows(got, "src", "dst", "weight") == sorted(((x, y, u - 2 * v) for x, j, u in rated for y, k, v in rated if j == k and x < y), key=repr)

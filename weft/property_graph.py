@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from weft.errors import InvalidPropertyGroup
 from weft.functions.columns import expression, quote
 from weft.graph import Graph
+from weft.plans.hops import lists, partitions
 
 
 HUB = 4096  # rows of a block
@@ -87,15 +88,16 @@ class PropertyGraph:
         if (group.src_group.name, group.dst_group.name) != (left, right):
             raise InvalidPropertyGroup(f"edge group {edge_group!r} doesn't go from {left!r} to {right!r}")
         rows = group.data.select(F.col(quote(group.src_column)).alias("s"), F.col(quote(group.dst_column)).alias("via"), group.weight.alias("w")).where("via is not null")
-        # a right vertex of d left ones makes about d * d / 2 pairs: of a hub's rows, each block meets all, in a task of its own
-        rows = rows.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("via")) / HUB))
-        side = lambda i, block: rows.withColumn("block", block).select(F.col("s").alias(f"s{i}"), "via", "block", F.col("w").alias(f"w{i}"))
-        # a fixed number of partitions, as pairs are many more than the rows that adaptive execution would go by
-        n = int(group.data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        some = side(1, F.pmod(F.xxhash64("s"), F.col("blocks"))).repartition(n, "via", "block")
-        every = side(2, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).repartition(n, "via", "block")
-        weight = F.lit(1.0) if new_edge_weight is None else new_edge_weight(F.col("w1"), F.col("w2"))
-        pairs = some.join(every, ["via", "block"]).where("s1 < s2").select(F.col("s1").alias("src"), F.col("s2").alias("dst"), weight.alias("weight"))
+        # a right vertex of d left ones makes about d * d / 2 pairs. A left vertex gets the lists of those that come after it, so that pairs
+        # are made where they can be counted by src without a shuffle; of a hub's list, each block meets all
+        weighted = new_edge_weight is not None
+        some = lists(rows.where("s is not null"), "via", F.struct("s", "w") if weighted else F.col("s"), most=HUB).select("via", "block", F.array_sort("l").alias("l"))
+        meet = some.join(some.select("via", F.col("block").alias("other"), F.col("l").alias("l2")), "via").select("block", "other", "l2", F.posexplode("l").alias("k", "one"))
+        rest = F.when(F.col("block") == F.col("other"), F.expr("slice(l2, k + 2, size(l2))")).otherwise(F.col("l2"))
+        sent = meet.select((F.col("one.s") if weighted else F.col("one")).alias("src"), *([F.col("one.w").alias("w1")] if weighted else []), rest.alias("rest")).where(F.size("rest") > 0)
+        pairs = sent.repartition(partitions(group.data), "src").select("src", *(["w1"] if weighted else []), F.explode("rest").alias("two"))
+        pairs = pairs.withColumns({"dst": F.col("two.s"), "w2": F.col("two.w")}) if weighted else pairs.withColumnRenamed("two", "dst")
+        pairs = pairs.where("src < dst").select("src", "dst", (new_edge_weight(F.col("w1"), F.col("w2")) if weighted else F.lit(1.0)).alias("weight"))
         kept_v = [g for g in self.vertex_groups.values() if g.name != right]
         kept_e = [g for g in self.edge_groups.values() if g.name != edge_group and right not in (g.src_group.name, g.dst_group.name)]
         return PropertyGraph(kept_v, [*kept_e, EdgeGroup(f"projected_{edge_group}", pairs, a, a, False, weight="weight")])
