@@ -83,3 +83,12 @@ def test_weighted_projection(spark, monkeypatch, most):
     p = property_graph.PropertyGraph([a, b], [property_graph.EdgeGroup("e", spark.createDataFrame(rated, "src long, dst long, w double"), a, b, False, weight="w")])
     got = p.projection_by("a", "b", "e", lambda x, y: x - 2 * y).edge_groups["projected_e"].data
     assert rows(got, "src", "dst", "weight") == sorted(((x, y, u - 2 * v) for x, j, u in rated for y, k, v in rated if j == k and x < y), key=repr)
+
+
+def test_triangles_without_a_shuffle_of_wedges(spark):
+    g = graph_queries.QUERIES["triangle_count"](spark, SF)
+    assert not [x for x in exchanges(g) if "b#" in x and "c#" in x]
+    edges = [(a, b) for a in range(14) for b in range(a, 14) if (a * b + a) % 4 != 1] + [(5, 0), (5, 0)]
+    near = {(a, b) for x, y in edges if x != y for a, b in ((x, y), (y, x))}
+    want = sorted((v, sum((v, x) in near and (v, y) in near and (x, y) in near for x in range(14) for y in range(x))) for v in range(14))
+    assert rows(Graph.from_edges(spark.createDataFrame(edges, "src long, dst long")).triangle_count(), "id", "count") == sorted(want, key=repr)

@@ -45,15 +45,18 @@ def label_propagation(g, max_iter: int, is_directed: bool = False) -> DataFrame:
 
 def triangle_rows(g) -> DataFrame:
     """(a, b, c) of every triangle once. Edges point from the smaller to the larger degree, so that no vertex, hubs included, has more
-    than about sqrt(2 E) of them, and wedges are joined from that side."""
+    than about sqrt(2 E) of them. A vertex sends each of its ends the list of those that come after it, which meets that end's own list,
+    so wedges are never rows."""
     e = canonical(g.edges.select("src", "dst"))
     degree = both_ways(e).groupBy("x").agg(F.count("*").alias("d"))
     e = e.join(degree.select(F.col("x").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("x").alias("v"), F.col("d").alias("dv")), "v")
-    up = F.struct("du", "u") < F.struct(F.col("dv").alias("du"), F.col("v").alias("u"))
-    directed = e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"))
-    wedges = directed.join(directed.withColumnRenamed("b", "c"), "a").where("b < c")
-    closing = e.select(F.col("u").alias("b"), F.col("v").alias("c"))
-    return wedges.join(closing, ["b", "c"]).select("a", "b", "c")
+    low, high = F.struct(F.col("du").alias("d"), F.col("u").alias("i")), F.struct(F.col("dv").alias("d"), F.col("v").alias("i"))
+    up = low < high
+    after = e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, high).otherwise(low).alias("to")).groupBy("a").agg(F.array_sort(F.collect_list("to")).alias("l")).select("a", F.col("l.i").alias("l"))
+    sent = after.select("a", "l", F.posexplode("l").alias("k", "b")).select("a", "b", F.expr("slice(l, k + 2, size(l))").alias("rest")).where(F.size("rest") > 0)
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as lists are more than the rows that adaptive execution would go by
+    met = sent.repartition(n, "b").join(after.select(F.col("a").alias("b"), F.col("l").alias("own")).repartition(n, "b"), "b")
+    return met.select("a", "b", F.explode(F.array_intersect("rest", "own")).alias("c"))
 
 
 def triangle_count(g, algorithm: str = "exact", lg_nom_entries: int = 12) -> DataFrame:
