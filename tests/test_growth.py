@@ -92,3 +92,12 @@ def test_triangles_without_a_shuffle_of_wedges(spark):
     near = {(a, b) for x, y in edges if x != y for a, b in ((x, y), (y, x))}
     want = sorted((v, sum((v, x) in near and (v, y) in near and (x, y) in near for x in range(14) for y in range(x))) for v in range(14))
     assert rows(Graph.from_edges(spark.createDataFrame(edges, "src long, dst long")).triangle_count(), "id", "count") == sorted(want, key=repr)
+
+
+def test_hash2vec_adds_up_behind_one_shuffle(spark):
+    from weft.operators import walks
+
+    w = spark.createDataFrame([([1, 2, 3, 1],), ([4],), ([],), ([2, 2],)], "random_walk array<long>")
+    found = walks.hash2vec(w, dim=4, normalize=False)
+    assert len(exchanges(found)) == 1
+    assert dict((i, any(v)) for i, v in rows(found, "id", "embedding")) == {1: True, 2: True, 3: True, 4: False}

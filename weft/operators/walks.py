@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.errors import UnsupportedVertexType
 from weft.functions.columns import draw, quote, unit_hash
+from weft.plans.hops import partitions
 from weft.plans.iterate import Rounds, remove_table
 
 WALK_ID_TYPES = ("string", "tinyint", "smallint", "int", "bigint")
@@ -81,23 +82,22 @@ def hash2vec(walks: DataFrame, column: str = "random_walk", context_size: int =
         raise ValueError("decay must be gaussian or constant")
     if dim < 1 or context_size < 1:
         raise ValueError("dim and context_size must be positive")
-    pairs = walks.select(F.posexplode(column).alias("i", "id"), F.col(column).alias("w"))
-    near = pairs.select("id", "i", F.explode(F.expr(f"filter(sequence(greatest(0, i - {context_size}), least(size(w) - 1, i + {context_size})), j -> j <> i)")).alias("j"), "w")
-    near = near.where("i <> j").select("id", F.col("w")[F.col("j")].alias("c"), F.abs(F.col("i") - F.col("j")).alias("d"))
+    # slot and sign of an element are worked out once; a position sends the codes around it to its own element, so what is added up
+    # there is one partition's share of elements, however many pairs a task makes. The element itself adds 0, so that none is lost.
+    codes = F.transform(column, lambda c: (draw(c, hash_seed) % dim * 2 + draw(c, sign_seed) % 2).cast("int"))
+    places = walks.select(F.posexplode(column).alias("i", "id"), codes.alias("h")).withColumn("from", F.greatest(F.lit(0), F.col("i") - context_size))
+    sent = places.select("id", (F.col("i") - F.col("from")).alias("at"), F.expr(f"slice(h, from + 1, least(size(h), i + {context_size} + 1) - from)").alias("near"))
+    near = sent.repartition(partitions(walks), "id").select("id", "at", F.posexplode("near").alias("j", "h")).withColumn("d", F.abs(F.col("j") - F.col("at")))
     weight = F.exp(-(F.col("d") * F.col("d")) / F.lit(float(sigma * sigma))) if decay == "gaussian" else F.lit(1.0)
-    # contexts of one element are added up before they are spread over slots
-    close = near.groupBy("id", "c").agg(F.sum(weight).alias("w"))
-    slot = close.groupBy("id", (draw(F.col("c"), hash_seed) % dim).cast("int").alias("slot")).agg(F.sum(F.col("w") * F.when(draw(F.col("c"), sign_seed) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
+    signed = F.when(F.col("d") == 0, 0.0).otherwise(weight * F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0))
+    slot = near.groupBy("id", F.shiftright("h", 1).alias("slot")).agg(F.sum(signed).alias("x"))
     maps = slot.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     dense = F.expr(f"transform(sequence(0, {dim - 1}), k -> coalesce(m[k], 0D))")
     if normalize:
         dense = F.transform(dense, lambda x: x / (F.col("length") + F.lit(1e-6)))
         if safe_norm:
             dense = F.concat(dense, F.array(F.log(F.col("length") + 1) / F.sqrt(F.lit(float(dim)))))
-    ids = walks.select(F.explode(column).alias("id")).distinct()
-    size = dim + (1 if normalize and safe_norm else 0)
-    none = F.array_repeat(F.lit(0.0), size)
-    return ids.join(maps, "id", "left").select("id", array_to_vector(F.when(F.col("m").isNull(), none).otherwise(dense)).alias("embedding"))
+    return maps.select("id", array_to_vector(dense).alias("embedding"))
 
 
 def word2vec(walks: DataFrame, column: str = "random_walk", vector_size: int = 100, max_iter: int = 1, window_size: int = 5, min_count: int = 0, num_partitions: int = 1, step_size: float = 0.025, seed: int = 42, id_type: str = "string") -> DataFrame:
