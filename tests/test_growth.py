@@ -101,3 +101,60 @@ def test_hash2vec_adds_up_behind_one_shuffle(spark):
     found = walks.hash2vec(w, dim=4, normalize=False)
     assert len(exchanges(found)) == 1
     assert dict((i, any(v)) for i, v in rows(found, "id", "embedding")) == {1: True, 2: True, 3: True, 4: False}
+
+
+def plain_svd(edges, rank, rounds, g1=0.007, g2=0.007, g6=0.005, g7=0.015):
+    """{id: (column1, column2, column3, column4)} and the loss, edge by edge."""
+    from hashlib import md5
+
+    known = [w for _, _, w in edges if w is not None]
+    mean, ids = sum(known) / len(known), sorted({x for u, i, _ in edges for x in (u, i)})
+    unit = lambda x, tag, k: int(md5(f"{x}:{tag}:{k}:42".encode()).hexdigest()[:12], 16) / 2**48
+    f, y = ({x: [unit(x, tag, k) for k in range(rank)] for x in ids} for tag in "py")
+    at = {x: [w for u, i, w in edges for end in (u, i) if end == x] for x in ids}
+    b = {x: sum(w for w in at[x] if w is not None) / max(1, sum(w is not None for w in at[x])) - mean for x in ids}
+    norm = {x: len(at[x]) ** -0.5 for x in ids}
+    for t in range(rounds + 1):
+        z = {u: [f[u][k] + norm[u] * sum(y[i][k] for v, i, _ in edges if v == u) for k in range(rank)] for u, _, _ in edges}
+        err = [(u, i, w - min(5, max(0, mean + b[u] + b[i] + sum(p * q for p, q in zip(z[u], f[i]))))) for u, i, w in edges if w is not None]
+        if t == rounds:
+            sq = {x: [e * e for _, i, e in err if i == x] for x in ids}
+            return {x: (f[x], z.get(x, y[x]), b[x] if any(w is not None for w in at[x]) else None, sum(sq[x]) if sq[x] else norm[x]) for x in ids}, sum(e * e for _, _, e in err) / len(err)
+        f2, y2, b2 = {x: [*f[x]] for x in ids}, {x: [*y[x]] for x in ids}, dict(b)
+        for u, i, e in err:
+            for k in range(rank):
+                f2[u][k] += g2 * (e * f[i][k] - g7 * f[u][k])
+                f2[i][k] += g2 * (e * z[u][k] - g7 * f[i][k])
+                y2[i][k] += g2 * (e * norm[u] * f[i][k] - g7 * y[i][k])
+            b2[u] += g1 * (e - g6 * b[u])
+            b2[i] += g1 * (e - g6 * b[i])
+        f, y, b = f2, y2, b2
+
+
+@pytest.mark.parametrize("few, most, block, interval", [(50_000, 12_000_000, 16 << 20, None), (3, 4, 200, None), (3, 12_000_000, 200, 3)])
+def test_svd_against_every_edge_by_itself(spark, monkeypatch, few, most, block, interval):
+    from weft.operators import factorization
+
+    for name, value in (("FEW", few), ("MOST", most), ("BLOCK_BYTES", block)):
+        monkeypatch.setattr(factorization, name, value)
+    # a hub, repeated edges, ends in both roles, a self-loop, ratings that aren't there, an item and a user without any
+    edges = [(f"u{k % 9}", f"i{k * k % 7}", float(k % 5 + 1)) for k in range(50)] + [(f"u{k}", "hub", 4.0) for k in range(9)]
+    edges += [("u1", "u2", 2.0), ("i1", "i2", 5.0), ("u3", "u3", 1.0), ("u1", "i0", None), ("u4", "none", None), ("ü", "i3", None)]
+    g = Graph(spark.createDataFrame([(x, len(x)) for x in sorted({x for u, i, _ in edges for x in (u, i)} | {"alone"})], "id string, n int"), spark.createDataFrame(edges, "src string, dst string, weight double"))
+    v, loss = g.svd_plus_plus(rank=2, max_iter=3, checkpoint_interval=interval)
+    want, want_loss = plain_svd(edges, 2, 3)
+    got = {r.id: r for r in v.collect()}
+    assert loss == pytest.approx(want_loss) and got.keys() == want.keys() and v.count() == len(want)
+    for x, (f, z, b, last) in want.items():
+        assert got[x].n == len(x) and got[x].column1 == pytest.approx(f) and got[x].column2 == pytest.approx(z)
+        assert got[x].column3 == (None if b is None else pytest.approx(b)) and got[x].column4 == pytest.approx(last)
+
+
+def test_svd_moves_vertices_not_edges(spark, written, monkeypatch):
+    from weft.operators import factorization
+
+    monkeypatch.setattr(factorization, "FEW", 500)
+    found = graph_queries.QUERIES["svd_plus_plus"](spark, SF)
+    assert sum("w" in c for c in written) == 1  # edges are written as rows once, before the rounds
+    assert not exchanges(found)  # bare vertices aren't made a second time
+    against_sql(spark, "svd_plus_plus")

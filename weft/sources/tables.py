@@ -69,7 +69,7 @@ def rating_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers (2 x key) who bought parts (2 x key + 1), weight 1 to 5 by quantity."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     e = items.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.least(F.lit(5.0), F.floor(F.col("l_quantity") / 10) + 1).cast("double").alias("weight"))
-    return Graph(Graph.from_edges(e).vertices, e)
+    return Graph(Graph.from_edges(e).vertices, e, True)
 
 
 def link_graph(spark: SparkSession, sf_dir: str) -> Graph:
